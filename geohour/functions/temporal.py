@@ -4,19 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Timestamp spellings found in the feeds.
+# Timestamp spellings found in the feeds, besides ISO dates and times.
 LEGACY_LEVEL_FORMAT = "dd-MMM-yy HH:mm:ss"
-MIXED_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
-    "yyyyMMddHHmmss",
-    "yyyyMMddHH",
-    "yyyyMMdd",
-    "yyyy/MM/dd HH:mm:ss",
-    "yyyy/MM/dd HH:mm",
-    "yyyy/MM/dd",
-)
+COMPACT_FORMATS = ("yyyyMMdd", "yyyyMMddHH", "yyyyMMddHHmmss")
+SLASH_FORMATS = ("yyyy/MM/dd", "yyyy/MM/dd HH:mm", "yyyy/MM/dd HH:mm:ss")
+MIXED_FORMATS = (*COMPACT_FORMATS, *SLASH_FORMATS)
 
 
 def col(c: Column | str) -> Column:
@@ -48,11 +40,14 @@ def hour_range_stamps(now: Column | str) -> tuple[Column, Column]:
     return hour_stamp(now - F.make_dt_interval(F.lit(0), F.lit(1))), hour_stamp(now)
 
 
-def parse_time(c: Column | str, formats: tuple[str, ...] = MIXED_FORMATS) -> Column:
-    """First format that fits; NULL when none does."""
+def parse_time(c: Column | str, formats: tuple[str, ...] | None = None) -> Column:
+    """First format that fits; NULL when none does. Without formats: ISO, then the mixed ones."""
     text = F.trim(col(c).cast("string"))
-    tries = [F.try_to_timestamp(text, F.lit(f)) for f in formats]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+    tries = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz")
+             for f in formats or MIXED_FORMATS]
+    if formats is None:
+        tries.insert(0, text.try_cast("timestamp_ntz"))
+    return F.coalesce(*tries)
 
 
 def day_bucket(c: Column | str, days: int) -> Column:

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from geohour.operators.tables import cross_skeleton
-
 # Fixed value: guard against a gauge at the very place of a cell.
 WEIGHT_GUARD = 1e-12
 
@@ -39,27 +37,41 @@ def idw_interpolate(
 
 
 def idw_over_time(
-    neighbours: DataFrame, values: DataFrame, cell: str, station: str, time: str, period: str,
-    features: tuple[str, ...], cells: DataFrame,
+    neighbours: DataFrame, values: DataFrame, cell_periods: DataFrame, cell: str, station: str,
+    time: str, period: str, features: tuple[str, ...], blocks: int = 16,
 ) -> DataFrame:
     """Weighted means for every cell at every time of `values`.
 
     `values` holds (time, period, station, features); `neighbours` holds (period, cell, station,
-    distance); `cells` lists every cell. Each (time, cell) gets a row; cells without neighbours
-    have NULL features.
+    distance); `cell_periods` lists every cell of every period. Each (time, cell) gets a row;
+    cells without neighbours, and hours in which none of them reports, have NULL features.
 
-    Readings are few compared with the (time, cell) rows made of them, so they are spread by
-    time and the rest stays in place: where the neighbour table is small enough to be broadcast,
-    the aggregate needs no further shuffle.
+    Readings are few compared with the (time, cell) rows made of them. So they are spread by
+    time and block of cells, and everything after stays in that partitioning: where the
+    neighbour table is small enough to be broadcast, the aggregate needs no shuffle at all.
+    A reading without a station and a neighbour without a weight keep each row alive.
     """
-    weighted = neighbours.withColumn("_w", weight("distance")).drop("distance")
+    block = F.pmod(F.xxhash64(cell), F.lit(blocks)).cast("int")
+    weighted = neighbours.select(period, cell, station, weight("distance").alias("_w"))
+    weighted = weighted.unionByName(
+        cell_periods.select(period, cell), allowMissingColumns=True
+    ).select(
+        F.col(period).alias("_p"), F.col(station).alias("_st"), cell, "_w", block.alias("_b2")
+    )
     hours = values.select(time, period).distinct()
-    spread = values.repartition(time)
-    means = (
-        spread.join(weighted, [period, station])
-        .groupBy(time, cell)
+    readings = values.select(time, period, station, *features).unionByName(
+        hours, allowMissingColumns=True
+    )
+    spread = readings.withColumn(
+        "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    ).repartition(time, "_block")
+    return (
+        spread.join(
+            weighted,
+            (F.col(period) == F.col("_p")) & F.col(station).eqNullSafe(F.col("_st"))
+            & (F.col("_block") == F.col("_b2")),
+        )
+        .groupBy(time, "_block", cell)
         .agg(*idw_aggregates(features))
+        .select(cell, time, *features)
     )
-    # Hours and cells meet through their block, so that the product is spread over tasks.
-    skeleton = cross_skeleton(hours.select(time).distinct(), cells.select(cell).distinct())
-    return skeleton.join(means, [time, cell], "left").select(cell, time, *features)

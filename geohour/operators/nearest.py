@@ -135,7 +135,8 @@ def nearest_distance(
         return points.withColumns({out: F.lit(None).cast("double"), feature: none})
     b = _union_bounds(b, s)
     top = _levels_to_cover(b, step)
-    located = with_cell(points.select(point_id, x, y).dropna(), x, y, b.min_x, b.min_y, step)
+    places = points.select(point_id, F.col(x).alias("px"), F.col(y).alias("py")).dropna()
+    located = with_cell(places, "px", "py", b.min_x, b.min_y, step)
     shape = [feature, "x1", "y1", "x2", "y2"]
     touched = edge_cells(segments.select(*shape), b.min_x, b.min_y, step)
     occupied = touched.groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("n"))
@@ -150,8 +151,9 @@ def nearest_distance(
     best = (
         _meet(located, chosen, candidates, placed)
         .groupBy(F.col(point_id).alias("_id"))
-        .agg(F.min(F.struct(point_segment_distance2(F.col(x), F.col(y)).alias("d2"), feature))
-             .alias("_best"))
+        .agg(F.min(F.struct(
+            point_segment_distance2(F.col("px"), F.col("py")).alias("d2"), feature
+        )).alias("_best"))
         .select("_id", F.sqrt("_best.d2").alias(out), F.col(f"_best.{feature}").alias(feature))
     )
     return points.join(best, F.col(point_id) == F.col("_id"), "left").drop("_id")

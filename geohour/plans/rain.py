@@ -10,6 +10,7 @@ from geohour.operators.intervals import expand_hours
 from geohour.operators.nearest import NEIGHBOURS, RADIUS, knn_radius
 from geohour.operators.rolling import RAIN_FEATURES, rain_features
 from geohour.operators.tables import cross_skeleton
+from geohour.session import materialize
 
 # The season and the years of the study.
 MONTHS = (5, 10)
@@ -55,27 +56,27 @@ def gridded_rain(
     start_ts, end_ts).
     """
     flood = flood.dropna(subset=["start_ts", "end_ts"])
-    cells = cells.join(flood.select("grid_id"), "grid_id", "left_semi")
+    cells = materialize(cells.join(flood.select("grid_id"), "grid_id", "left_semi"), "wet-cells")
     meta = stations.join(rain.select("station"), "station", "left_semi")
     rows = rain.join(relevant_hours(rain, flood), "time", "left_semi")
 
     # Hours before the first period have no row; an hour keeps the latest period with anyone in it.
-    hours = asof_join(
+    hours = materialize(asof_join(
         rows.select("time").distinct(),
         breakpoints(meta, "start_date", "expired_date", bucket_days),
         [], "time", "period_start", ["n_active"], bucket_days, "inner",
-    ).select("time", "period_start")
+    ).select("time", "period_start"), "hour-periods")
     periods = hours.select("period_start").distinct()
     active = active_at(periods, "period_start", meta, "start_date", "expired_date", "station",
                        bucket_days)
     cell_periods = cross_skeleton(periods, cells.select("grid_id", "x", "y"))
-    neighbours = knn_radius(
+    neighbours = materialize(knn_radius(
         cell_periods, "grid_id", active.select("period_start", "station", "x", "y"), "station",
         k, radius, within=["period_start"],
-    )
+    ), "neighbours")
     values = rows.join(hours, "time").select("time", "period_start", "station", *features)
-    return idw_over_time(neighbours, values, "grid_id", "station", "time", "period_start",
-                         features, cells).select(
+    return idw_over_time(neighbours, values, cell_periods, "grid_id", "station", "time",
+                         "period_start", features).select(
         "grid_id", "time", *[F.col(c).cast("float").alias(c) for c in features]
     )
 

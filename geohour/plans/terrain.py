@@ -12,6 +12,7 @@ from geohour.operators.cells import (
 from geohour.operators.nearest import nearest_distance
 from geohour.operators.shapes import covering_grid, polygon_cells, segment_bounds
 from geohour.operators.tables import fill_with_aggregate
+from geohour.session import materialize
 
 
 def grid_generate(segments: DataFrame, step: float = CELL_STEP, b: Bounds | None = None):
@@ -38,7 +39,7 @@ def cell_elevation(
     # Means per (ix, iy) first: points are reduced before they meet the grid.
     means = placed.groupBy("ix", "iy").agg(F.avg("elevation").alias("elevation"))
     cells = join_cells(means, grid).select("grid_id", "elevation")
-    all_cells = grid.select("grid_id").join(cells, "grid_id", "left")
+    all_cells = materialize(grid.select("grid_id").join(cells, "grid_id", "left"), "elevation")
     return fill_with_aggregate(all_cells, "elevation", F.avg("elevation"))
 
 
@@ -59,8 +60,10 @@ def river_distance_class(
 
     The distance is to the boundary: it is not 0 inside the river.
     """
-    near = nearest_distance(grid.select("grid_id", "cx", "cy"), "grid_id", "cx", "cy",
-                            segments, feature, step)
+    centres = grid.select("grid_id", "cx", "cy")
+    near = materialize(
+        nearest_distance(centres, "grid_id", "cx", "cy", segments, feature, step), "bank-distance"
+    )
     near = fill_with_aggregate(near, "distance", F.max("distance"))
     return near.select(
         "grid_id", "distance", distance_class("distance").alias("distance_class"),

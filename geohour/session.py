@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings the library relies on. AQE picks broadcast or shuffle joins from
 # measured sizes and splits skewed join partitions, also where that costs one more shuffle.
@@ -59,3 +59,14 @@ def shared_dir(spark: SparkSession) -> str:
 def run_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one for the tables of one run."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    For tables that several later steps read: it cuts their lineage, survives lost executors,
+    and gives the planner true sizes.
+    """
+    path = run_dir(df.sparkSession, name)
+    df.write.option("compression", "snappy").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

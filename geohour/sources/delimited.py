@@ -107,7 +107,7 @@ def _grouped(heads: list[Row]) -> dict[tuple[str, tuple[str, ...]], list[str]]:
     return groups
 
 
-def _read_rows(
+def read_rows(
     spark: SparkSession, paths: list[str], columns: list[str], header: bool, encoding: str
 ) -> DataFrame:
     """All-string rows of files with one layout.
@@ -130,7 +130,7 @@ def _read_rows(
 def read_csv_any_charset(spark: SparkSession, path: str) -> DataFrame:
     """Headered csv files of mixed charset and header as one table; empty files are skipped."""
     parts = [
-        _read_rows(spark, paths, list(names), True, encoding)
+        read_rows(spark, paths, list(names), True, encoding)
         for (encoding, names), paths in _grouped(file_heads(spark, path)).items()
     ]
     if not parts:
@@ -161,14 +161,14 @@ def read_level_files(spark: SparkSession, path: str) -> DataFrame:
             legacy.setdefault(h.encoding, []).append(h.path)
     parts = []
     for encoding, paths in legacy.items():
-        rows = _read_rows(spark, paths, list(LEGACY_COLUMNS), False, encoding)
+        rows = read_rows(spark, paths, list(LEGACY_COLUMNS), False, encoding)
         rows = rows.withColumn("se_cd", F.col("legacy_se_cd"))
         parts.append(standardize_columns(rows, F.col("source_file")).withColumn(
             "msrmt_ymd", parse_time("msrmt_ymd", (LEGACY_LEVEL_FORMAT,))
         ))
     recent = [h for h in heads if not _is_legacy(h.path)]
     for (encoding, names), paths in _grouped(recent).items():
-        rows = _read_rows(spark, paths, list(names), True, encoding)
+        rows = read_rows(spark, paths, list(names), True, encoding)
         parts.append(standardize_columns(rows, F.col("source_file")).withColumn(
             "msrmt_ymd", parse_time("msrmt_ymd")
         ))
