@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from geohour.functions.temporal import day_bucket
+
 # Fixed value: guard against a gauge at the very place of a cell.
 WEIGHT_GUARD = 1e-12
 
@@ -39,39 +41,54 @@ def idw_interpolate(
 def idw_over_time(
     neighbours: DataFrame, values: DataFrame, cell_periods: DataFrame, cell: str, station: str,
     time: str, period: str, features: tuple[str, ...], blocks: int = 16,
+    broadcast_rows: int = 2_000_000, group_rows: int = 10_000, slot_days: int = 10,
 ) -> DataFrame:
     """Weighted means for every cell at every time of `values`.
 
     `values` holds (time, period, station, features); `neighbours` holds (period, cell, station,
     distance); `cell_periods` lists every cell of every period. Each (time, cell) gets a row;
-    cells without neighbours, and hours in which none of them reports, have NULL features.
+    cells without neighbours, and hours in which none of them reports, have NULL features: a
+    reading without a station meets a neighbour without a weight and keeps the row alive.
 
-    Readings are few compared with the (time, cell) rows made of them. So they are spread by
-    time and block of cells, and everything after stays in that partitioning: where the
-    neighbour table is small enough to be broadcast, the aggregate needs no shuffle at all.
-    A reading without a station and a neighbour without a weight keep each row alive.
+    Readings are few compared with the (time, cell) rows made of them. While the neighbour table
+    is small enough to be broadcast, which is counted first, readings are spread by time and
+    block of cells, and all that follows stays in that partitioning without a shuffle. A larger
+    neighbour table meets the readings by (period, slot of days, station, block), with as many
+    blocks as keep one such group small.
     """
-    block = F.pmod(F.xxhash64(cell), F.lit(blocks)).cast("int")
-    weighted = neighbours.select(period, cell, station, weight("distance").alias("_w"))
-    weighted = weighted.unionByName(
+    weighted = neighbours.select(period, cell, station, weight("distance").alias("_w")).unionByName(
         cell_periods.select(period, cell), allowMissingColumns=True
-    ).select(
+    )
+    # Two numbers: all neighbours, and those of the largest (period, station) group.
+    n, largest = weighted.groupBy(period, station).agg(F.count(F.lit(1)).alias("n")).agg(
+        F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))
+    ).first()
+    small = n <= broadcast_rows
+    if not small:
+        blocks = 1 + largest // group_rows
+    block = F.pmod(F.xxhash64(cell), F.lit(blocks)).cast("int")
+    weighted = weighted.select(
         F.col(period).alias("_p"), F.col(station).alias("_st"), cell, "_w", block.alias("_b2")
     )
     hours = values.select(time, period).distinct()
     readings = values.select(time, period, station, *features).unionByName(
         hours, allowMissingColumns=True
+    ).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    same = (
+        (F.col(period) == F.col("_p")) & F.col(station).eqNullSafe(F.col("_st"))
+        & (F.col("_block") == F.col("_b2"))
     )
-    spread = readings.withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    ).repartition(time, "_block")
+    if small:
+        pairs = readings.repartition(time, "_block").join(F.broadcast(weighted), same)
+    else:
+        slots = hours.select(
+            F.col(period).alias("_sp"), day_bucket(time, slot_days).alias("_s2")
+        ).distinct()
+        weighted = weighted.join(slots, F.col("_p") == F.col("_sp"))
+        readings = readings.withColumn("_slot", day_bucket(time, slot_days))
+        pairs = readings.join(weighted, same & (F.col("_slot") == F.col("_s2")))
     return (
-        spread.join(
-            weighted,
-            (F.col(period) == F.col("_p")) & F.col(station).eqNullSafe(F.col("_st"))
-            & (F.col("_block") == F.col("_b2")),
-        )
-        .groupBy(time, "_block", cell)
+        pairs.groupBy(time, "_block", cell)
         .agg(*idw_aggregates(features))
         .select(cell, time, *features)
     )

@@ -45,54 +45,57 @@ def _around(df: DataFrame, reach: int, keep: list[str]) -> DataFrame:
     )
 
 
+def _same(left: list[str], right: list[str]) -> Column:
+    cond = F.lit(True)
+    for a, b in zip(left, right):
+        cond = cond & (F.col(a) == F.col(b))
+    return cond
+
+
 def _candidate_cells(
     points: DataFrame, targets: DataFrame, need: int, top: int, step: float,
-    radius: float | None,
+    radius: float | None, within: list[str],
 ) -> tuple[DataFrame, DataFrame]:
     """Level of each level-0 point cell, and the target cells that can matter for it.
 
-    `points` holds (ix, iy); `targets` holds (ix, iy, n), n counting targets in the cell.
-    Returns (ix, iy, level, cx, cy) and (level, cx, cy, ox, oy).
+    `points` holds (within, ix, iy); `targets` holds (within, ix, iy, n), n counting targets.
+    Returns (within, ix, iy, level, cx, cy) and (within, level, cx, cy, ox, oy).
     """
+    other = [f"_o{i}" for i in range(len(within))]
+    renamed = [F.col(c).alias(o) for c, o in zip(within, other)]
     occupied = (
-        _lift(targets, top).groupBy("level", "cx", "cy").agg(F.sum("n").alias("n"))
+        _lift(targets, top).groupBy(*within, "level", "cx", "cy").agg(F.sum("n").alias("n"))
     )
     enough = (
-        _around(occupied, 1, ["n"])
-        .groupBy("level", F.col("ox").alias("ex"), F.col("oy").alias("ey"))
+        _around(occupied, 1, [*within, "n"])
+        .groupBy(*within, "level", F.col("ox").alias("ex"), F.col("oy").alias("ey"))
         .agg(F.sum("n").alias("n"))
         .where(F.col("n") >= need)
-        .select(F.col("level").alias("el"), "ex", "ey")
+        .select(*renamed, F.col("level").alias("el"), "ex", "ey")
     )
-    asked = points.select("ix", "iy").distinct()
+    asked = points.select(*within, "ix", "iy").distinct()
     hits = _lift(asked, top).join(
-        enough,
-        (F.col("level") == F.col("el")) & (F.col("cx") == F.col("ex"))
-        & (F.col("cy") == F.col("ey")),
-        "left",
+        enough, _same([*within, "level", "cx", "cy"], [*other, "el", "ex", "ey"]), "left"
     )
     # Without enough targets on any level the top one is searched.
-    chosen = hits.groupBy("ix", "iy").agg(
+    chosen = hits.groupBy(*within, "ix", "iy").agg(
         F.coalesce(F.min(F.when(F.col("el").isNotNull(), F.col("level"))), F.lit(top))
         .alias("level")
     ).withColumns({
         "cx": F.expr("shiftright(ix, level)"), "cy": F.expr("shiftright(iy, level)"),
     })
-    near2 = sum(
-        (F.pow(F.greatest(F.abs(d) - 1, F.lit(0)), 2) for d in (F.col("_dx"), F.col("_dy"))),
-        F.lit(0.0),
-    )
-    far2 = sum((F.pow(F.abs(d) + 1, 2) for d in (F.col("_dx"), F.col("_dy"))), F.lit(0.0))
+    offsets = (F.abs("_dx"), F.abs("_dy"))
+    near2 = sum((F.pow(F.greatest(o - 1, F.lit(0)), 2) for o in offsets), F.lit(0.0))
+    far2 = sum((F.pow(o + 1, 2) for o in offsets), F.lit(0.0))
     found = (
-        _around(chosen.select("level", "cx", "cy").distinct(), 3, [])
-        .join(occupied.select(F.col("level").alias("tl"), F.col("cx").alias("tx"),
+        _around(chosen.select(*within, "level", "cx", "cy").distinct(), 3, within)
+        .join(occupied.select(*renamed, F.col("level").alias("tl"), F.col("cx").alias("tx"),
                               F.col("cy").alias("ty"), "n"),
-              (F.col("level") == F.col("tl")) & (F.col("ox") == F.col("tx"))
-              & (F.col("oy") == F.col("ty")))
+              _same([*within, "level", "ox", "oy"], [*other, "tl", "tx", "ty"]))
         .withColumns({"_near2": near2, "_far2": far2})
     )
     # At most 49 rows per cell.
-    by_cell = Window.partitionBy("level", "cx", "cy")
+    by_cell = Window.partitionBy(*within, "level", "cx", "cy")
     found = found.withColumn(
         "_seen", F.sum("n").over(by_cell.orderBy("_far2"))
     ).withColumn(
@@ -102,19 +105,17 @@ def _candidate_cells(
     if radius is not None:
         edge = F.pow(F.lit(2.0), F.col("level")) * step
         keep = keep & (F.col("_near2") * edge * edge < radius * radius)
-    return chosen, found.where(keep).select("level", "cx", "cy", "ox", "oy")
+    return chosen, found.where(keep).select(*within, "level", "cx", "cy", "ox", "oy")
 
 
-def _meet(points: DataFrame, chosen: DataFrame, candidates: DataFrame, placed: DataFrame):
+def _meet(points: DataFrame, chosen: DataFrame, candidates: DataFrame, placed: DataFrame,
+          within: list[str]) -> DataFrame:
     """Points with the targets in their candidate cells."""
-    where = chosen.select(
-        F.col("ix").alias("_ix"), F.col("iy").alias("_iy"), "level", "cx", "cy"
-    )
     return (
-        points.join(where, (F.col("ix") == F.col("_ix")) & (F.col("iy") == F.col("_iy")))
-        .join(candidates, ["level", "cx", "cy"])
-        .drop("_ix", "_iy", "ix", "iy", "cx", "cy")
-        .join(placed, ["level", "ox", "oy"])
+        points.join(chosen, [*within, "ix", "iy"])
+        .join(candidates, [*within, "level", "cx", "cy"])
+        .drop("ix", "iy", "cx", "cy")
+        .join(placed, [*within, "level", "ox", "oy"])
         .drop("level", "ox", "oy")
     )
 
@@ -140,7 +141,7 @@ def nearest_distance(
     shape = [feature, "x1", "y1", "x2", "y2"]
     touched = edge_cells(segments.select(*shape), b.min_x, b.min_y, step)
     occupied = touched.groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("n"))
-    chosen, candidates = _candidate_cells(located, occupied, 1, top, step, None)
+    chosen, candidates = _candidate_cells(located, occupied, 1, top, step, None, [])
     wanted = candidates.select("level", F.col("ox").alias("cx"), F.col("oy").alias("cy")).distinct()
     placed = (
         _lift(touched, top)
@@ -149,7 +150,7 @@ def nearest_distance(
         .distinct()
     )
     best = (
-        _meet(located, chosen, candidates, placed)
+        _meet(located, chosen, candidates, placed, [])
         .groupBy(F.col(point_id).alias("_id"))
         .agg(F.min(F.struct(
             point_segment_distance2(F.col("px"), F.col("py")).alias("d2"), feature
@@ -175,8 +176,9 @@ def knn_radius(
     in which they must agree. Equally near targets are ranked by id. Returns the point id, the
     `within` columns, the target id, `distance` and `rank`.
 
-    A target list of checked small size meets the points in cells of one radius; a longer one
-    goes over the pyramid, whose cells get finer where targets are dense.
+    Where no group of targets is larger than `small_targets`, which is checked, points meet all
+    targets of the radius-sized cells around them: so many at most. Longer lists go over the
+    pyramid, whose cells get finer where targets are dense.
     """
     within = within or []
     # Of targets at one place only the first k can be among anyone's k nearest.
@@ -186,41 +188,30 @@ def knn_radius(
         .withColumn("_rn", F.row_number().over(here)).where(F.col("_rn") <= k).drop("_rn")
     )
     points = points.select(*within, point_id, "x", "y").dropna()
-    spots = targets.select(
-        *[F.col(c).alias(f"_w{i}") for i, c in enumerate(within)],
-        target_id, F.col("x").alias("tx"), F.col("y").alias("ty"),
-    )
-    same = F.lit(True)
-    for i, c in enumerate(within):
-        same = same & (F.col(c) == F.col(f"_w{i}"))
+    spots = targets.select(*within, target_id, F.col("x").alias("tx"), F.col("y").alias("ty"))
     dx, dy = F.col("x") - F.col("tx"), F.col("y") - F.col("ty")
     distance = F.sqrt(dx * dx + dy * dy)
 
-    if targets.limit(small_targets + 1).count() <= small_targets:
+    largest = targets.groupBy(*within).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if (largest or 0) <= small_targets:
         reach = F.sequence(F.lit(-1), F.lit(1))
         spread = (
-            with_cell(spots, "tx", "ty", 0.0, 0.0, radius, out=("_bx", "_by"))
-            .withColumn("_bx", F.explode(F.transform(reach, lambda d: F.col("_bx") + d)))
-            .withColumn("_by", F.explode(F.transform(reach, lambda d: F.col("_by") + d)))
-        )
-        pairs = with_cell(points, "x", "y", 0.0, 0.0, radius).join(
-            spread,
-            (F.col("ix") == F.col("_bx")) & (F.col("iy") == F.col("_by")) & same,
+            with_cell(spots, "tx", "ty", 0.0, 0.0, radius)
+            .withColumn("ix", F.explode(F.transform(reach, lambda i: F.col("ix") + i)))
+            .withColumn("iy", F.explode(F.transform(reach, lambda i: F.col("iy") + i)))
         )
+        pairs = with_cell(points, "x", "y", 0.0, 0.0, radius).join(spread, [*within, "ix", "iy"])
     else:
         step = radius / 2**splits
         b = _union_bounds(bounds_of(points), bounds_of(targets))
         located = with_cell(points, "x", "y", b.min_x, b.min_y, step)
-        placed0 = with_cell(spots, "tx", "ty", b.min_x, b.min_y, step)
-        # Counts may only promise what every value of `within` holds: with such columns the
-        # pyramid narrows by the radius alone, and the ranking below decides.
-        need = k if not within else 2**62
-        occupied = placed0.groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("n"))
-        chosen, candidates = _candidate_cells(located, occupied, need, splits, step, radius)
-        placed = _lift(placed0, splits).drop("ix", "iy").withColumnsRenamed(
+        placed = with_cell(spots, "tx", "ty", b.min_x, b.min_y, step)
+        occupied = placed.groupBy(*within, "ix", "iy").agg(F.count(F.lit(1)).alias("n"))
+        chosen, candidates = _candidate_cells(located, occupied, k, splits, step, radius, within)
+        placed = _lift(placed, splits).drop("ix", "iy").withColumnsRenamed(
             {"cx": "ox", "cy": "oy"}
         )
-        pairs = _meet(located, chosen, candidates, placed).where(same)
+        pairs = _meet(located, chosen, candidates, placed, within)
     nearest = Window.partitionBy(*within, point_id).orderBy("distance", target_id)
     return (
         pairs.withColumn("distance", distance)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 
@@ -37,49 +39,68 @@ def class_balance(df: DataFrame, flag: str) -> DataFrame:
     ).withColumn("positive_pct", F.col("n_positive") * 100 / F.nullif("n_rows", F.lit(0)))
 
 
+def _range_of(column: str, cuts: list[float]) -> str:
+    """SQL for the number of cuts below a value, as a balanced tree of comparisons."""
+    def tree(lo: int, hi: int) -> str:
+        if lo == hi:
+            return str(lo)
+        mid = (lo + hi) // 2
+        return (f"CASE WHEN {column} <= {cuts[mid]!r}D THEN {tree(lo, mid)} "
+                f"ELSE {tree(mid + 1, hi)} END")
+
+    return tree(0, len(cuts))
+
+
 def exact_quantiles(
     df: DataFrame, column: str, quantiles: dict[str, float], pivots: int = 256
 ) -> DataFrame:
     """Exact linear-interpolated quantiles as one row.
 
-    Spark's `percentile` gathers all distinct values in one task. Here values are counted,
-    spread over ranges between approximate pivots, and ranked in two levels.
+    Spark's `percentile` gathers all distinct values in one task. Here an approximate sketch
+    cuts the values into ranges, rows are counted per range, and only the few ranges that hold
+    a wanted rank are sorted. The sketch and the counts, at most `pivots` numbers each, are all
+    that comes to the driver.
     """
-    values = (
-        df.where(F.col(column).isNotNull())
-        .groupBy(F.col(column).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    steps = F.array(*[F.lit(i / pivots) for i in range(1, pivots)])
-    # A bounded sketch, one row; only the balance of the ranges depends on it.
-    cuts = values.agg(F.percentile_approx("_v", steps, 4 * pivots)).scalar()
-    values = values.withColumn("_cuts", cuts).withColumn(
-        "_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
-    ).drop("_cuts")
-    totals = values.groupBy("_range").agg(F.sum("_n").alias("_total"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    # At most `pivots` rows.
-    totals = totals.select(
-        F.col("_range").alias("_r"),
-        F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"),
-    )
-    inside = Window.partitionBy("_range").orderBy("_v")
-    ranked = values.join(totals, F.col("_range") == F.col("_r")).withColumn(
-        "_end", F.col("_before") + F.sum("_n").over(inside)
-    ).withColumn("_begin", F.col("_end") - F.col("_n"))
-    n = values.agg(F.sum("_n")).scalar()
-    picks = []
+    values = df.select(F.col(column).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    shares = F.array(*[F.lit(i / pivots) for i in range(1, pivots)])
+    sketch = values.agg(F.percentile_approx("_v", shares, 4 * pivots)).first()[0]
+    ranged = values.withColumn("_range", F.expr(_range_of("_v", sorted(set(sketch or [])))))
+    counts = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}
+    n = sum(counts.values())
+
+    def locate(rank: int) -> tuple[int, int]:
+        """Range of a rank, and the rank inside it."""
+        for r in sorted(counts):
+            if rank < counts[r]:
+                return r, rank
+            rank -= counts[r]
+        return -1, 0
+
+    spots = {}
     for name, q in quantiles.items():
-        at = F.lit(q) * (n - 1)
-        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            hit = (F.col("_begin") <= rank) & (rank < F.col("_end"))
-            picks.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{name}_{side}"))
-        picks.append(F.max(at - F.floor(at)).alias(f"_{name}_w"))
+        at = q * (n - 1)
+        spots[f"_{name}_lo"], spots[f"_{name}_hi"] = locate(math.floor(at)), locate(math.ceil(at))
+    wanted = sorted({r for r, _ in spots.values()})
+    inside = Window.partitionBy("_range").orderBy("_v")
+    ranked = (
+        ranged.where(F.col("_range").isin(wanted))
+        .groupBy("_range", "_v").agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_end", F.sum("_n").over(inside))
+    )
+    picks = [
+        F.max(F.when(
+            (F.col("_range") == r) & (F.col("_end") - F.col("_n") <= rank) & (F.col("_end") > rank),
+            F.col("_v"),
+        )).alias(spot)
+        for spot, (r, rank) in spots.items()
+    ]
     row = ranked.agg(*picks)
-    return row.select(*[
-        (F.col(f"_{q}_lo") + (F.col(f"_{q}_hi") - F.col(f"_{q}_lo")) * F.col(f"_{q}_w")).alias(q)
-        for q in quantiles
-    ])
+    out = []
+    for name, q in quantiles.items():
+        share = q * (n - 1) - math.floor(q * (n - 1))
+        low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
+        out.append((low + (high - low) * F.lit(share)).alias(name))
+    return row.select(*out)
 
 
 # Quartiles of a description.

@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import json
-import time as clock
 
 from pyspark.sql import functions as F
 
-from geohour.functions.temporal import floor_hour
 from geohour.session import run_dir
 from geohour.sources import storage
 from geohour.sources.rest import PAYLOAD_ROOT, level_source
@@ -107,13 +105,15 @@ def stream_upsert(spark, d):
 
 # ---- polled service -------------------------------------------------------------------------
 
+PAGE_ROWS = 25_000
+
+
 def payload_store(spark, d) -> str:
     """The service's answers, made by Spark of the events: one JSON file per district and page.
 
-    A page holds at most 1000 rows, so collecting one is bounded.
+    A page covers a fixed span of event ids, so the rows collected into one are bounded.
     """
     root = run_dir(spark, "service")
-    page_rows = 1000
     record = F.struct(
         F.col("user_id").cast("string").alias("UNQ_NO"), F.col("value").cast("string").alias("MSRMT_WATL"),
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("MSRMT_YMD"),
@@ -121,7 +121,7 @@ def payload_store(spark, d) -> str:
     )
     district = F.lpad((F.pmod("user_id", F.lit(25)) + 1).cast("string"), 2, "0")
     pages = table(spark, d, "events").groupBy(
-        district.alias("district"), F.floor(F.col("event_id") / page_rows).alias("page")
+        district.alias("district"), F.floor(F.col("event_id") / PAGE_ROWS).alias("page")
     ).agg(F.collect_list(record).alias("row"))
     body = F.to_json(F.struct(F.struct("row").alias(PAYLOAD_ROOT)))
     pages.select("district", "page", body.alias("value")).write.partitionBy(
@@ -132,22 +132,28 @@ def payload_store(spark, d) -> str:
 
 def service(root: str):
     """A client over the stored answers; it is shipped to the tasks."""
-    def files(district):
+    uri = root if "://" in root else f"file://{root}"
+    page_rows = PAGE_ROWS
+
+    def listing(path):
         from pyarrow import fs
 
-        system, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
-        found = system.get_file_info(fs.FileSelector(f"{base}/district={int(district)}", recursive=True)) \
-            if system.get_file_info(f"{base}/district={int(district)}").type != fs.FileType.NotFound \
-            else system.get_file_info(fs.FileSelector(f"{base}/district={district}", recursive=True))
-        return system, sorted(f.path for f in found if f.path.endswith(".txt"))
+        system, base = fs.FileSystem.from_uri(uri)
+        return system, system.get_file_info(fs.FileSelector(f"{base}/{path}", allow_not_found=True))
 
     def count(district):
-        return 1000 * len(files(district)[1])
+        pages = [int(f.base_name.removeprefix("page=")) for f in listing(f"district={district}")[1]
+                 if f.base_name.startswith("page=")]
+        return page_rows * (max(pages, default=-1) + 1)
 
     def fetch(district, first, last, start, end):
-        system, paths = files(district)
-        with system.open_input_stream(paths[first // 1000]) as f:
-            return json.loads(f.read())
+        system, files = listing(f"district={district}/page={first // page_rows}")
+        answer = {PAYLOAD_ROOT: {"row": []}}
+        for f in files:
+            if f.path.endswith(".txt"):
+                with system.open_input_stream(f.path) as body:
+                    answer[PAYLOAD_ROOT]["row"] += json.loads(body.read())[PAYLOAD_ROOT]["row"]
+        return answer
 
     return fetch, count
 
@@ -160,7 +166,7 @@ READINGS_SQL = """
 @query("rest_source", READINGS_SQL)
 def rest_source(spark, d):
     fetch, count = service(payload_store(spark, d))
-    spark.dataSource.register(level_source("geohour_levels", fetch, count))
+    spark.dataSource.register(level_source("geohour_levels", fetch, count, page_rows=PAGE_ROWS))
     return spark.read.format("geohour_levels").load()
 
 
@@ -168,7 +174,8 @@ def rest_source(spark, d):
 def stream_poll(spark, d):
     # Two polls bring the same readings; the second adds nothing.
     fetch, count = service(payload_store(spark, d))
-    spark.dataSource.register(level_source("geohour_level_stream", fetch, count, ticks=2))
+    spark.dataSource.register(level_source(
+        "geohour_level_stream", fetch, count, page_rows=PAGE_ROWS, ticks=2))
     root = run_dir(spark, "stream-poll")
     readings = spark.readStream.format("geohour_level_stream").load()
     q = levels.start_level_stream(readings, sensor_map(spark, d), root, f"{root}-checkpoint",
