@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
@@ -92,7 +93,11 @@ def file_heads(spark: SparkSession, path: str) -> list[Row]:
         F.when(F.col("utf8"), F.lit("utf-8")).otherwise(F.lit(KOREAN)).alias("encoding"),
         F.when(F.col("utf8"), F.decode(raw, "utf-8")).otherwise(F.decode(raw, KOREAN)).alias("head"),
     )
-    return list(rows.orderBy("path").toLocalIterator())
+    # The metadata column shows paths percent-encoded; the readers want them plain.
+    return [
+        Row(path=unquote(r.path), encoding=r.encoding, head=r.head)
+        for r in rows.orderBy("path").toLocalIterator()
+    ]
 
 
 def _fields(head: str) -> tuple[str, ...]:

@@ -25,29 +25,28 @@ def _lines(lines: Column) -> Column:
 
 
 def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
-    """Features of GeoJSON files: collections, or one feature per line.
+    """Features of GeoJSON files: collections, or one feature per line; one file per task.
 
     `properties` is the schema of the properties as DDL. Adds `geom_type`, `lines` (for lines
     and points: an array of vertex arrays) and `parts` (for polygons: parts of rings of
     vertices). Coordinates nest to different depths by type, so each type is cast on its own.
     """
-    docs = spark.read.text(path).select(F.try_parse_json("value").alias("doc"))
-    whole = (
-        spark.read.option("wholetext", True).text(path)
-        .select(F.try_parse_json("value").alias("doc"))
-        .where(F.expr("try_variant_get(doc, '$.type', 'string')") == "FeatureCollection")
-        .select(F.explode(F.expr("try_variant_get(doc, '$.features', 'array<variant>')")).alias("f"))
+    files = spark.read.text(path, wholetext=True).select(
+        "value", F.try_parse_json("value").alias("doc")
+    ).withColumn("kind", F.expr("try_variant_get(doc, '$.type', 'string')"))
+    whole = files.where(F.col("kind") == "FeatureCollection").select(
+        F.explode(F.expr("try_variant_get(doc, '$.features', 'array<variant>')")).alias("f")
     )
-    by_line = docs.where(
-        F.expr("try_variant_get(doc, '$.type', 'string')") == "Feature"
-    ).select(F.col("doc").alias("f"))
+    by_line = files.where(F.col("kind") == "Feature").select(
+        F.explode(F.split("value", "\n")).alias("line")
+    ).select(F.try_parse_json("line").alias("f")).where(F.col("f").isNotNull())
     return _decode(whole.unionByName(by_line), properties)
 
 
 def read_feature_lines(spark: SparkSession, path: str, properties: str) -> DataFrame:
     """Features of files with one feature per line, the form this library writes.
 
-    Such files are split between tasks; a feature collection is one document per task.
+    Such files are split between tasks, so they are the form for large layers.
     """
     docs = spark.read.text(path).select(F.try_parse_json("value").alias("f"))
     return _decode(docs.where(F.col("f").isNotNull()), properties)
