@@ -7,9 +7,9 @@ spread over many tasks and every frame is still complete.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from geohour.functions.temporal import day_bucket
+from geohour.functions.temporal import day_bucket, floor_hour
 
 # The rain features and their window lengths in hours.
 RAIN_SUMS = {"rain_3h": 3, "rain_6h": 6, "rain_12h": 12, "rain_24h": 24}
@@ -36,31 +36,49 @@ def rolling_features(
     maxes: dict[str, int] | None = None,
     chunk_days: int = 16,
     unique: bool = False,
+    sliding_rows: int = 2000,
 ) -> DataFrame:
     """Add rolling sums, means and maxima over (t - hours, t] to every row.
 
-    Nulls are skipped; a frame without any value gives NULL. `unique=True` states that
-    (key, time) is unique, as in a gauge table. Otherwise copies of one (key, time) are first
-    reduced to one row, and the features are joined back.
+    Nulls are skipped; a frame without any value gives NULL. `unique=True` states that the rows
+    are hourly and (key, time) is unique, as in a gauge table. Otherwise copies of one
+    (key, time) are first reduced to one row, and the features are joined back; and where some
+    key has more than `sliding_rows` times on one day, which is counted, frames are put together
+    from whole hours, since Spark adds up a sliding frame anew for every row.
     """
     sums, means, maxes = sums or {}, means or {}, maxes or {}
     longest = max([*sums.values(), *means.values(), *maxes.values()])
     if longest > 24 * chunk_days:
         raise ValueError("chunk_days must cover the longest window")
-
     if unique:
         rows = df.withColumns({
             "_s": F.col(value).cast("double"),
             "_n": F.col(value).isNotNull().cast("long"),
             "_m": F.col(value),
         })
+        return _sliding(rows, key, time, sums, means, maxes, chunk_days)
+
+    rows = df.groupBy(key, time).agg(
+        F.sum(F.col(value).cast("double")).alias("_s"),
+        F.count(value).alias("_n"),
+        F.max(value).alias("_m"),
+    )
+    per_day = df.select(key, time).distinct().groupBy(key, F.to_date(time)).count()
+    densest = per_day.agg(F.max("count")).first()[0] or 0
+    if densest <= sliding_rows:
+        out = _sliding(rows, key, time, sums, means, maxes, chunk_days)
     else:
-        rows = df.groupBy(key, time).agg(
-            F.sum(F.col(value).cast("double")).alias("_s"),
-            F.count(value).alias("_n"),
-            F.max(value).alias("_m"),
-        )
+        out = _by_hours(rows, key, time, sums, means, maxes)
+    names = [*sums, *means, *maxes]
+    joined = df.join(out.select(F.col(key).alias("_k"), F.col(time).alias("_t"), *names),
+                     F.col(key).eqNullSafe(F.col("_k")) & F.col(time).eqNullSafe(F.col("_t")),
+                     "left")
+    return joined.select(*df.columns, *names)
 
+
+def _sliding(rows: DataFrame, key: str, time: str, sums: dict[str, int], means: dict[str, int],
+             maxes: dict[str, int], chunk_days: int) -> DataFrame:
+    longest = max([*sums.values(), *means.values(), *maxes.values()])
     own = day_bucket(time, chunk_days)
     later = day_bucket(F.col(time) + F.make_dt_interval(F.lit(0), F.lit(longest)), chunk_days)
     # A row goes to its own chunk and, when near its end, also to the next one.
@@ -75,18 +93,79 @@ def rolling_features(
         features[name] = F.expr(f"sum(_s) {frame} / nullif(sum(_n) {frame}, 0)")
     for name, hours in maxes.items():
         features[name] = F.expr(f"max(_m) {over % _frame(hours)}")
-    out = (
+    return (
         rows.withColumns(features)
         .where(F.col("_chunk") == F.col("_own"))
         .drop("_s", "_n", "_m", "_own", "_chunk")
     )
-    if unique:
-        return out
-    names = list(features)
-    joined = df.join(out.select(F.col(key).alias("_k"), F.col(time).alias("_t"), *names),
-                     F.col(key).eqNullSafe(F.col("_k")) & F.col(time).eqNullSafe(F.col("_t")),
-                     "left")
-    return joined.select(*df.columns, *names)
+
+
+def _by_hours(rows: DataFrame, key: str, time: str, sums: dict[str, int],
+              means: dict[str, int], maxes: dict[str, int]) -> DataFrame:
+    """Frames as (rest of the first hour) + (whole hours between) + (own hour up to t).
+
+    The two ends are running totals inside one hour of one key, forward and backward, so that
+    the work per row does not grow with the frame. Nothing is subtracted: a dry frame stays 0.
+    """
+    windows = sorted({*sums.values(), *means.values(), *maxes.values()})
+    rows = rows.select(F.col(key).alias("_k"), F.col(time).alias("_t"), "_s", "_n", "_m",
+                       floor_hour(time).alias("_h"))
+
+    def totals(w) -> list[Column]:
+        return [F.sum("_s").over(w).alias("s"), F.sum("_n").over(w).alias("n"),
+                F.max("_m").over(w).alias("m")]
+
+    in_hour = Window.partitionBy("_k", "_h")
+    forward = in_hour.orderBy("_t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = rows.select("_k", "_t", "_h", F.struct(*totals(forward)).alias("_own"))
+
+    # The frame of w hours starts right after t - w: a question put to that hour.
+    asked = rows.select(
+        "_k", F.explode(F.array(*[F.lit(w) for w in windows])).alias("_w"),
+        F.col("_t").alias("_for"), "_h",
+    ).select("_k", "_for", "_w", *[
+        (F.col(c) - F.make_dt_interval(F.lit(0), F.col("_w"))).alias(o)
+        for c, o in (("_for", "_t"), ("_h", "_h"))
+    ])
+    # Later rows first; a row at the very time of the question is outside the frame.
+    backward = in_hour.orderBy(F.desc("_t"), F.asc_nulls_last("_w")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    starts = (
+        rows.unionByName(asked, allowMissingColumns=True)
+        .withColumn("_part", F.struct(*totals(backward)))
+        .where(F.col("_w").isNotNull())
+        .groupBy("_k", F.col("_for").alias("_t"))
+        .agg(*[F.max(F.when(F.col("_w") == w, F.col("_part"))).alias(f"_first{w}") for w in windows])
+    )
+    hourly = rows.groupBy("_k", "_h").agg(
+        F.sum("_s").alias("_s"), F.sum("_n").alias("_n"), F.max("_m").alias("_m")
+    )
+    between = hourly.select("_k", "_h", *[
+        F.struct(*[
+            F.expr(f"{f}({c}) OVER (PARTITION BY _k ORDER BY _h RANGE BETWEEN INTERVAL '{w - 1}' "
+                   "HOUR PRECEDING AND INTERVAL '1' HOUR PRECEDING)").alias(o)
+            for f, c, o in (("sum", "_s", "s"), ("sum", "_n", "n"), ("max", "_m", "m"))
+        ]).alias(f"_mid{w}")
+        for w in windows if w > 1
+    ])
+    joined = ends.join(between, ["_k", "_h"]).join(starts, ["_k", "_t"])
+
+    def parts(w: int, field: str) -> list[Column]:
+        pieces = [f"_first{w}", *([f"_mid{w}"] if w > 1 else []), "_own"]
+        return [F.col(f"{p}.{field}") for p in pieces]
+
+    def total(w: int, field: str) -> Column:
+        terms = parts(w, field)
+        some = F.coalesce(*terms).isNotNull()
+        return F.when(some, sum((F.coalesce(t, F.lit(0)) for t in terms[1:]),
+                                F.coalesce(terms[0], F.lit(0))))
+
+    features = {name: total(w, "s") for name, w in sums.items()}
+    features |= {name: total(w, "s") / F.nullif(total(w, "n"), F.lit(0)) for name, w in means.items()}
+    features |= {name: F.greatest(*parts(w, "m")) for name, w in maxes.items()}
+    return joined.select(F.col("_k").alias(key), F.col("_t").alias(time),
+                         *[c.alias(n) for n, c in features.items()])
 
 
 def rain_features(df: DataFrame, key: str = "station", time: str = "time",

@@ -20,20 +20,23 @@ def series(spark, values, key=1):
     )
 
 
-@pytest.mark.parametrize("unique", [True, False])
-def test_rolling_frame_is_open_on_the_left(spark, unique):
+WAYS = [dict(unique=True), dict(), dict(sliding_rows=0)]
+
+
+@pytest.mark.parametrize("way", WAYS)
+def test_rolling_frame_is_open_on_the_left(spark, way):
     out = rolling_features(series(spark, [1.0, None, 4.0, 8.0, 16.0]), "station", "time", "rain_1h",
-                           {"s": 3}, {"m": 3}, {"x": 3}, unique=unique)
+                           {"s": 3}, {"m": 3}, {"x": 3}, **way)
     got = {r.time.hour: (r.s, r.m, r.x) for r in out.collect()}
     assert [got[h][0] for h in range(5)] == [1, 1, 5, 12, 28]
     assert [got[h][1] for h in range(5)] == [1, 1, 2.5, 6, pytest.approx(28 / 3)]
     assert [got[h][2] for h in range(5)] == [1, 1, 4, 8, 16]
 
 
-@pytest.mark.parametrize("unique", [True, False])
-def test_rolling_without_values_is_null(spark, unique):
+@pytest.mark.parametrize("way", WAYS)
+def test_rolling_without_values_is_null(spark, way):
     out = rolling_features(series(spark, [None, None]), "station", "time", "rain_1h",
-                           {"s": 3}, {"m": 3}, {"x": 3}, unique=unique)
+                           {"s": 3}, {"m": 3}, {"x": 3}, **way)
     assert {(r.s, r.m, r.x) for r in out.collect()} == {(None, None, None)}
 
 
@@ -49,10 +52,22 @@ def test_rolling_crosses_chunk_borders(spark):
         assert r.s == sum(int(r.v) - i for i in range(n))
 
 
-def test_rolling_keeps_copies(spark):
+def test_rolling_by_hours_equals_sliding(spark):
+    df = spark.range(0, 3000).select(
+        (F.col("id") % 3).alias("k"), (F.col("id") % 7).cast("double").alias("v"),
+        (F.lit(dt(2020, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval(
+            F.lit(0), F.lit(0), F.lit(0), F.pmod(F.xxhash64("id"), F.lit(400_000)).cast("int"))).alias("t"))
+    asked = ({"a": 1, "b": 3, "c": 24}, {"d": 3}, {"e": 1, "f": 6})
+    one = rolling_features(df, "k", "t", "v", *asked)
+    two = rolling_features(df, "k", "t", "v", *asked, sliding_rows=0)
+    assert rows(one) == rows(two)
+
+
+@pytest.mark.parametrize("sliding_rows", [2000, 0])
+def test_rolling_keeps_copies(spark, sliding_rows):
     df = spark.createDataFrame([(1, H[0], 2.0), (1, H[0], 2.0), (1, H[1], 5.0)],
                                "k int, t timestamp_ntz, v double")
-    out = rolling_features(df, "k", "t", "v", {"s": 3})
+    out = rolling_features(df, "k", "t", "v", {"s": 3}, sliding_rows=sliding_rows)
     assert rows(out.select("t", "s")) == [(H[0], 4.0), (H[0], 4.0), (H[1], 9.0)]
 
 
