@@ -120,6 +120,21 @@ def _meet(points: DataFrame, chosen: DataFrame, candidates: DataFrame, placed: D
     )
 
 
+def _fine_step(segments: DataFrame, b: Bounds, step: float, crowd: int = 256) -> float:
+    """A cell edge at which no cell is crowded with segments, as far as that does not cut the
+    segments into very many cells. Only the work depends on it, not the result.
+    """
+    while True:
+        cells = edge_cells(segments.select("x1", "y1", "x2", "y2"), b.min_x, b.min_y, step)
+        per_cell = cells.groupBy("ix", "iy").count()
+        fullest, cut = per_cell.agg(F.max("count"), F.sum("count")).first()
+        finer = step / 8
+        extent = max(b.max_x - b.min_x, b.max_y - b.min_y)
+        if fullest <= crowd or extent / finer > 2**30 or cut > 16 * segments.count():
+            return step
+        step = finer
+
+
 def nearest_distance(
     points: DataFrame, point_id: str, x: str, y: str, segments: DataFrame, feature: str,
     step: float = 100.0, out: str = "distance",
@@ -135,6 +150,7 @@ def nearest_distance(
         none = F.lit(None).cast(segments.schema[feature].dataType)
         return points.withColumns({out: F.lit(None).cast("double"), feature: none})
     b = _union_bounds(b, s)
+    step = _fine_step(segments, b, step)
     top = _levels_to_cover(b, step)
     places = points.select(point_id, F.col(x).alias("px"), F.col(y).alias("py")).dropna()
     located = with_cell(places, "px", "py", b.min_x, b.min_y, step)
@@ -160,6 +176,21 @@ def nearest_distance(
     return points.join(best, F.col(point_id) == F.col("_id"), "left").drop("_id")
 
 
+def _splits(targets: DataFrame, within: list[str], b: Bounds, radius: float, crowd: int) -> int:
+    """How often to halve the radius until no cell holds more than `crowd` targets.
+
+    One number per try comes back. Places closer than the finest cell stay together.
+    """
+    extent = max(b.max_x - b.min_x, b.max_y - b.min_y, radius)
+    finest = int(math.log2(2**30 * radius / extent))
+    for splits in (4, 8, 12, 16, 20):
+        cells = with_cell(targets, "x", "y", b.min_x, b.min_y, radius / 2**min(splits, finest))
+        fullest = cells.groupBy(*within, "ix", "iy").count().agg(F.max("count")).first()[0]
+        if (fullest or 0) <= crowd or splits >= finest:
+            break
+    return min(splits, finest)
+
+
 # Neighbours per cell and search radius in metres.
 NEIGHBOURS = 5
 RADIUS = 10_000.0
@@ -168,7 +199,7 @@ RADIUS = 10_000.0
 def knn_radius(
     points: DataFrame, point_id: str, targets: DataFrame, target_id: str,
     k: int = NEIGHBOURS, radius: float = RADIUS, within: list[str] | None = None,
-    small_targets: int = 2000, splits: int = 6,
+    small_targets: int = 2000,
 ) -> DataFrame:
     """The k nearest targets of each point at a distance strictly below the radius.
 
@@ -202,8 +233,9 @@ def knn_radius(
         )
         pairs = with_cell(points, "x", "y", 0.0, 0.0, radius).join(spread, [*within, "ix", "iy"])
     else:
-        step = radius / 2**splits
         b = _union_bounds(bounds_of(points), bounds_of(targets))
+        splits = _splits(targets, within, b, radius, 16 * k)
+        step = radius / 2**splits
         located = with_cell(points, "x", "y", b.min_x, b.min_y, step)
         placed = with_cell(spots, "tx", "ty", b.min_x, b.min_y, step)
         occupied = placed.groupBy(*within, "ix", "iy").agg(F.count(F.lit(1)).alias("n"))
