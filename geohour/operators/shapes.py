@@ -133,14 +133,14 @@ def polygon_cells(
     return touched.unionByName(inside).distinct()
 
 
-def covering_grid(segments: DataFrame, b: Bounds, step: float = CELL_STEP) -> DataFrame:
+def covering_grid(
+    segments: DataFrame, b: Bounds, step: float = CELL_STEP, feature: str = "feature_id"
+) -> DataFrame:
     """Cells of the grid over the bounds that meet any polygon: (ix, iy), distinct.
 
     The grid starts at the lower-left bound and stops before the upper one.
     """
-    hit = polygon_cells(segments.withColumn("_f", F.lit(0)) if "feature_id" not in segments.columns
-                        else segments.withColumnRenamed("feature_id", "_f"),
-                        "_f", b.min_x, b.min_y, step)
+    hit = polygon_cells(segments, feature, b.min_x, b.min_y, step)
     corner_x = F.lit(b.min_x) + F.col("ix") * step
     corner_y = F.lit(b.min_y) + F.col("iy") * step
     return hit.where(

@@ -15,10 +15,11 @@ from geohour.operators.tables import fill_with_aggregate
 from geohour.session import materialize
 
 
-def grid_generate(segments: DataFrame, step: float = CELL_STEP, b: Bounds | None = None):
+def grid_generate(segments: DataFrame, step: float = CELL_STEP, b: Bounds | None = None,
+                  feature: str = "feature_id") -> DataFrame:
     """Numbered cells that meet the polygons, with corner and centre."""
     b = b or segment_bounds(segments)
-    numbered = number_cells(covering_grid(segments, b, step))
+    numbered = number_cells(covering_grid(segments, b, step, feature))
     return cell_geometry(numbered, b.min_x, b.min_y, step)
 
 

@@ -43,12 +43,12 @@ def rain_located(spark, d):
 @query("rain_features", f"""
     WITH {RAIN0_SQL}, {LOCATED_SQL}
     SELECT time, station, rain_1h, lat, lon,
-           CAST(sum(rain_1h::DOUBLE) {stage._over(3)} AS FLOAT) AS rain_3h,
-           CAST(sum(rain_1h::DOUBLE) {stage._over(6)} AS FLOAT) AS rain_6h,
-           CAST(sum(rain_1h::DOUBLE) {stage._over(12)} AS FLOAT) AS rain_12h,
-           CAST(sum(rain_1h::DOUBLE) {stage._over(24)} AS FLOAT) AS rain_24h,
-           CAST(avg(rain_1h::DOUBLE) {stage._over(3)} AS FLOAT) AS rain_intensity,
-           max(rain_1h) {stage._over(3)} AS rain_max_3h FROM located""")
+           CAST(sum(rain_1h::DOUBLE) {stage.hours_back(3)} AS FLOAT) AS rain_3h,
+           CAST(sum(rain_1h::DOUBLE) {stage.hours_back(6)} AS FLOAT) AS rain_6h,
+           CAST(sum(rain_1h::DOUBLE) {stage.hours_back(12)} AS FLOAT) AS rain_12h,
+           CAST(sum(rain_1h::DOUBLE) {stage.hours_back(24)} AS FLOAT) AS rain_24h,
+           CAST(avg(rain_1h::DOUBLE) {stage.hours_back(3)} AS FLOAT) AS rain_intensity,
+           max(rain_1h) {stage.hours_back(3)} AS rain_max_3h FROM located""")
 def rain_features(spark, d):
     return rain.rain_with_features(located(spark, d))
 

@@ -203,7 +203,7 @@ FLOOD_CELLS_SQL = f"""
                        AS is_flooded FROM grid LEFT JOIN once USING (grid_id))"""
 
 
-def _over(hours: int) -> str:
+def hours_back(hours: int) -> str:
     return (f"OVER (PARTITION BY station ORDER BY time RANGE BETWEEN INTERVAL '{hours - 1} hours 59 "
             "minutes 59.999999 seconds' PRECEDING AND CURRENT ROW)")
 
@@ -212,12 +212,12 @@ RAIN_SQL = f"""
     rain0 AS (SELECT user_id AS station, date_trunc('hour', ts) AS time,
                      CAST(greatest(max(value) - 30, 0) AS FLOAT) AS rain_1h FROM events GROUP BY ALL),
     rain AS (SELECT station, time, rain_1h,
-                    CAST(sum(rain_1h::DOUBLE) {_over(3)} AS FLOAT) AS rain_3h,
-                    CAST(sum(rain_1h::DOUBLE) {_over(6)} AS FLOAT) AS rain_6h,
-                    CAST(sum(rain_1h::DOUBLE) {_over(12)} AS FLOAT) AS rain_12h,
-                    CAST(sum(rain_1h::DOUBLE) {_over(24)} AS FLOAT) AS rain_24h,
-                    CAST(avg(rain_1h::DOUBLE) {_over(3)} AS FLOAT) AS rain_intensity,
-                    max(rain_1h) {_over(3)} AS rain_max_3h FROM rain0)"""
+                    CAST(sum(rain_1h::DOUBLE) {hours_back(3)} AS FLOAT) AS rain_3h,
+                    CAST(sum(rain_1h::DOUBLE) {hours_back(6)} AS FLOAT) AS rain_6h,
+                    CAST(sum(rain_1h::DOUBLE) {hours_back(12)} AS FLOAT) AS rain_12h,
+                    CAST(sum(rain_1h::DOUBLE) {hours_back(24)} AS FLOAT) AS rain_24h,
+                    CAST(avg(rain_1h::DOUBLE) {hours_back(3)} AS FLOAT) AS rain_intensity,
+                    max(rain_1h) {hours_back(3)} AS rain_max_3h FROM rain0)"""
 
 
 def weighted(name: str) -> str:
