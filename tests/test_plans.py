@@ -20,8 +20,8 @@ def plan(df):
 def test_filters_and_columns_reach_the_scan(spark):
     spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
     box = plan(QUERIES["bbox_filter"](spark, SF_DIR))
-    assert "GreaterThanOrEqual(c_custkey,20)" in box and "LessThanOrEqual(c_acctbal,4000.0)" in box
-    assert "ReadSchema: struct<c_custkey:bigint,c_acctbal:double>" in box
+    assert "GreaterThanOrEqual(c_nationkey,5)" in box and "LessThanOrEqual(c_acctbal,4000.0)" in box
+    assert "ReadSchema: struct<c_custkey:bigint,c_nationkey:int,c_acctbal:double>" in box
     scan = plan(QUERIES["scan_parquet"](spark, SF_DIR))
     assert "GreaterThanOrEqual(l_quantity,30.0)" in scan and "l_tax" not in scan
 

@@ -27,13 +27,13 @@ def total_bounds(spark, d):
 
 
 @query("bbox_filter", """
-    SELECT c_custkey, c_acctbal FROM customer
-    WHERE c_custkey BETWEEN 20 AND 1200 AND c_acctbal BETWEEN 1000 AND 4000""")
+    SELECT c_custkey, c_nationkey, c_acctbal FROM customer
+    WHERE c_nationkey BETWEEN 5 AND 15 AND c_acctbal BETWEEN 1000 AND 4000""")
 def bbox_filter(spark, d):
     # On the stored columns themselves, so that the box reaches the file scan.
-    rows = table(spark, d, "customer").select("c_custkey", "c_acctbal")
-    box = Bounds(20, 1000.0, 1200, 4000.0)
-    return keep_in_box(rows, box, "c_custkey", "c_custkey", "c_acctbal", "c_acctbal")
+    rows = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    box = Bounds(5, 1000.0, 15, 4000.0)
+    return keep_in_box(rows, box, "c_nationkey", "c_nationkey", "c_acctbal", "c_acctbal")
 
 
 @query("spatial_point_cell", f"""

@@ -110,7 +110,8 @@ def scan_legacy_layout(spark, d):
 def write_read_roundtrip(spark, d):
     root = run_dir(spark, "roundtrip")
     rows = table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
-    storage.write_version(rows.limit(0), f"{root}/table")  # an earlier output to be replaced
+    earlier = rows.withColumn("o_totalprice", -F.col("o_totalprice"))
+    storage.write_version(earlier, f"{root}/table")  # an earlier output, to be replaced
     storage.write_version(rows, f"{root}/table")
     storage.write_csv(rows, f"{root}/csv")
     stored = storage.read_latest(spark, f"{root}/table")
