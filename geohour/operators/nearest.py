@@ -124,15 +124,15 @@ def _fine_step(segments: DataFrame, b: Bounds, step: float, crowd: int = 256) ->
     """A cell edge at which no cell is crowded with segments, as far as that does not cut the
     segments into very many cells. Only the work depends on it, not the result.
     """
-    while True:
+    extent = max(b.max_x - b.min_x, b.max_y - b.min_y)
+    for _ in range(6):
         cells = edge_cells(segments.select("x1", "y1", "x2", "y2"), b.min_x, b.min_y, step)
         per_cell = cells.groupBy("ix", "iy").count()
         fullest, cut = per_cell.agg(F.max("count"), F.sum("count")).first()
-        finer = step / 8
-        extent = max(b.max_x - b.min_x, b.max_y - b.min_y)
-        if fullest <= crowd or extent / finer > 2**30 or cut > 16 * segments.count():
-            return step
-        step = finer
+        if fullest <= crowd or extent / step > 2**26 or cut > 16 * segments.count():
+            break
+        step = step / 8
+    return step
 
 
 def nearest_distance(

@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows
 from geohour.operators.cells import Bounds, join_cells, number_cells, with_cell
@@ -138,6 +139,15 @@ def test_nearest_is_to_the_boundary_also_inside(spark):
     assert rows(out) == [(1, 300.0), (2, None)]
 
 
+def test_nearest_with_many_copies_of_a_segment(spark):
+    copies = spark.range(400).select(
+        F.col("id").alias("feature_id"), *[F.lit(v).alias(c) for c, v in
+                                           (("x1", 0.0), ("y1", 0.0), ("x2", 0.0), ("y2", 0.0))])
+    df = spark.createDataFrame([(1, 3.0, 4.0), (2, 0.0, 0.0)], "id int, x double, y double")
+    out = nearest_distance(df, "id", "x", "y", copies, "feature_id")
+    assert rows(out.select("id", "distance", "feature_id")) == [(1, 5.0, 0), (2, 0.0, 0)]
+
+
 def test_nearest_without_features(spark):
     df = spark.createDataFrame([(1, 500.0, 300.0)], "id int, x double, y double")
     none = polygons(spark, [[box(0, 0, 1, 1)]]).where("feature_id = 5")
