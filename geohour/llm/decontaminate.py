@@ -8,7 +8,7 @@ from geohour.llm.common import lower_ascii
 from geohour.session import materialize
 
 WINDOW = 10
-ANCHORS = 3  # rarest terms of a window whose posting lists are intersected
+ANCHORS = 2  # rarest terms of a window whose posting lists are intersected
 # Characters outside words, once A-Z are lower case.
 _OUTSIDE = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -42,7 +42,8 @@ def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text")
 def _anchors(windows: DataFrame, counts: DataFrame, anchors: int) -> DataFrame:
     """The `anchors` rarest positions of each window, those of windows that can occur at all.
 
-    Returns (item, first, size, term, at): `at` counts from the item's start.
+    Returns (item, first, size, term, at, lead): `at` counts from the item's start, `lead` marks
+    the rarest position of the window.
     """
     terms = windows.select(
         "item", "first", "size", F.posexplode(F.slice("item_words", F.col("first") + 1, F.col("size")))
@@ -53,16 +54,18 @@ def _anchors(windows: DataFrame, counts: DataFrame, anchors: int) -> DataFrame:
         F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "k"))),
                 1, anchors).alias("rarest"),  # a window has WINDOW terms at most
     ).where("least > 0")
-    return ranked.select("item", "first", "size", F.explode("rarest").alias("r")).select(
-        "item", "first", "size", F.col("r.term").alias("term"), (F.col("first") + F.col("r.k")).alias("at"))
+    return ranked.select("item", "first", "size", F.posexplode("rarest").alias("rank", "r")).select(
+        "item", "first", "size", F.col("r.term").alias("term"), (F.col("first") + F.col("r.k")).alias("at"),
+        (F.col("rank") == 0).alias("lead"))
 
 
 def build_index(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 around: int = WINDOW - 1) -> DataFrame:
     """Postings (term, doc_id, text_key, pos, left, near) of the terms in `terms`, stored.
 
-    `near` holds the words from `around` before to `around` after the position and `left` how
-    many of them come before it: whoever reads a posting can confirm a phrase without the text.
+    `terms` has term and lead. For lead terms, the rarest ones, `near` holds the words from
+    `around` before to `around` after the position and `left` how many of them come before it:
+    whoever reads such a posting can confirm a phrase without the text.
     """
     w = F.col("words")
     opened = docs.select(
@@ -71,8 +74,9 @@ def build_index(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text:
     left = F.least(F.col("pos"), F.lit(around))
     return materialize(opened.join(terms, "term").select(
         "term", "doc_id", "text_key", "pos", left.alias("left"),
-        F.array_join(F.slice(w, F.col("pos") - left + 1, left + 1 + around), " ").alias("near"),
-    ).distinct(), "postings")
+        F.when(F.col("lead"), F.array_join(F.slice(w, F.col("pos") - left + 1, left + 1 + around), " "))
+        .alias("near"),
+    ), "postings")
 
 
 def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
@@ -98,10 +102,10 @@ def matches(docs: DataFrame, items: DataFrame, slop: int = 0, anchors: int = ANC
         windows.select(F.explode("item_words").alias("term")).distinct(), "test-terms")
     counts = materialize(term_counts(docs, vocabulary), "term-counts")
     wanted = materialize(_anchors(windows, counts, anchors), "anchors")
-    index = build_index(docs, wanted.select("term").distinct())
-    places = wanted.groupBy("item", "term", "at").agg(F.count("*").alias("windows"))
+    index = build_index(docs, wanted.groupBy("term").agg(F.max("lead").alias("lead")))
+    places = wanted.select("item", "term", "at").distinct()
     # One row per posting and place in an item; all windows of the item share the alignment.
-    hit = index.join(places.drop("windows"), "term").select(
+    hit = index.join(places, "term").select(
         "doc_id", "text_key", "item", "at", (F.col("pos") - F.col("at")).alias("shift"), "left", "near")
     if slop:
         steps = F.explode(F.sequence(F.lit(-slop), F.lit(slop)))
@@ -112,7 +116,7 @@ def matches(docs: DataFrame, items: DataFrame, slop: int = 0, anchors: int = ANC
         F.collect_set("at").alias("ats"))  # `anchors` places at most
     aligned = hit.groupBy("doc_id", "text_key", "item", "shift").agg(
         F.collect_set("at").alias("seen"),  # places of one item at most
-        F.collect_set(F.when(F.col("moved") == 0, F.struct("at", "left", "near"))).alias("views"))
+        F.collect_set(F.when((F.col("moved") == 0) & F.col("near").isNotNull(), F.struct("at", "left", "near"))).alias("views"))
     found = aligned.join(need, "item").where(
         F.size(F.array_intersect("seen", "ats")) == F.size("ats"))
     texts = windows.select(
