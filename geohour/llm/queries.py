@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from geohour.llm import decontaminate, grades, quality_rules, urls, warc
+from geohour.llm import decontaminate, grades, packing, quality_rules, simhash, urls, warc
 from geohour.llm.common import prepare, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,11 @@ WORDS_SQL = r"""list_filter(regexp_split_to_array(
   '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
 
 
+@query("op1_pack_mixture")
+def op1_pack_mixture(spark, sf_dir):
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 @query("op3_decontaminate", f"""
 WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
 i AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark),
@@ -72,6 +77,11 @@ def op6_quality_rules(spark, sf_dir):
     return quality_rules.judge(docs, forest).select("doc_id", "rules.*")
 
 
+@query("op7_simhash_pivots")
+def op7_simhash_pivots(spark, sf_dir):
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 @query("op9_warc_derivatives")
 def op9_warc_derivatives(spark, sf_dir):
     return warc.build_records(read(spark, sf_dir, "pages")).drop("record").withColumn(
