@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from geohour.llm import decontaminate, grades, packing, quality_rules, simhash, urls, warc
+from geohour.llm import decontaminate, grades, packing, quality_rules, simhash, suffixes, urls, warc
 from geohour.llm.common import prepare, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,11 @@ def op7_simhash_pivots(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+@query("op8_suffix_repeats")
+def op8_suffix_repeats(spark, sf_dir):
+    return suffixes.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 @query("op9_warc_derivatives")
 def op9_warc_derivatives(spark, sf_dir):
     return warc.build_records(read(spark, sf_dir, "pages")).drop("record").withColumn(
