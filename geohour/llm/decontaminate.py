@@ -165,3 +165,11 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
         rows.doc_id, "n_words", n_hit.alias("n_hit"),
         F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), *keep)
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of `docs` of which no word is hit, with their columns; see `contamination`."""
+    found = matches(docs.select("doc_id", "text"), items).select(
+        F.col("doc_id").alias("__d"), F.col("text_key").alias("__t")).distinct()
+    found = materialize(found, "contaminated")
+    return docs.join(found, docs.doc_id.eqNullSafe(F.col("__d")) & (_text_key(docs.text) == F.col("__t")), "left_anti")

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from geohour.llm import decontaminate, grades, packing, quality_rules, simhash, suffixes, urls, warc
+from geohour.llm import (
+    decontaminate, extract, grades, licenses, packing, quality_rules, simhash, suffixes, urls, warc,
+)
 from geohour.llm.common import prepare, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +39,38 @@ def op1_pack_mixture(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+LICENCE_SQL = r"""list_filter(regexp_split_to_array(lower(coalesce(text, '')),
+  '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
+LICENCE_RUNS = """CASE WHEN len(w) = 0 THEN [] ELSE list_transform(range(1, greatest(len(w) - 4, 1) + 1),
+  lambda i: array_to_string(w[i : i + 4], ' ')) END"""
+LICENCE_ROWS = ", ".join(f"('{a}', '{b}')" for a, b in licenses.TEMPLATES)
+
+
+@query("op2_license_scan", f"""
+WITH t AS (SELECT template, list_distinct({LICENCE_RUNS}) AS own FROM
+  (SELECT template, {LICENCE_SQL} AS w FROM (VALUES {LICENCE_ROWS}) v(template, text))),
+d AS (SELECT doc_id, {LICENCE_RUNS} AS s FROM (SELECT doc_id, {LICENCE_SQL} AS w FROM documents)),
+sizes AS (SELECT DISTINCT len(own) AS n FROM t),
+win AS (
+  SELECT doc_id, n, k, s[k * n + 1 : k * n + 2 * n] AS win FROM
+    (SELECT doc_id, n, s, unnest(range(0, (len(s) + n - 1) // n)) AS k FROM d, sizes)),
+runs AS (SELECT doc_id, n, k, unnest(list_distinct(win)) AS run FROM win),
+own AS (SELECT template, len(own) AS n, unnest(own) AS run FROM t),
+shared AS (
+  SELECT doc_id, template, k, count(*) / any_value(own.n) AS containment
+  FROM runs JOIN own ON runs.n = own.n AND runs.run = own.run GROUP BY doc_id, template, k)
+SELECT doc_id, template, max(containment) AS containment, min(k) AS first_window, count(*) AS n_windows
+FROM shared WHERE containment >= 0.8 GROUP BY doc_id, template""")
+def op2_license_scan(spark, sf_dir):
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+@query("op4_extract_main_text")
+def op4_extract_main_text(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    return extract.extract(pages, extract.fit(pages))
+
+
 @query("op3_decontaminate", f"""
 WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
 i AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark),
