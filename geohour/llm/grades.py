@@ -17,7 +17,7 @@ from geohour.llm.common import struct_type
 from geohour.llm.quality_rules import labelled_counts, struct_of
 
 BUCKETS = 1 << 18
-MAX_TRAIN_ROWS = 12_000  # labelled rows that the fit may read
+MAX_TRAIN_ROWS = 6_000  # labelled rows that the fit may read
 CACHED_WORDS = 200_000
 _CORE = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 

@@ -44,10 +44,14 @@ def words_of(text: Column) -> Column:
 
 def shingles_of(words: Column) -> Column:
     """Hashes of the runs of SHINGLE words in order; fewer words, but not none, are one run."""
-    n = F.size(words)
-    runs = F.sequence(F.lit(1), F.greatest(n - SHINGLE + 1, F.lit(1)))
-    return F.when(n > 0, F.transform(runs, lambda i: F.xxhash64(F.array_join(F.slice(words, i, SHINGLE), " ")))).otherwise(
-        F.array().cast("array<bigint>"))
+
+    def runs(w: Column) -> Column:
+        last = F.greatest(F.size(w) - SHINGLE + 1, F.lit(1))
+        return F.when(F.size(w) > 0, F.transform(
+            F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.array_join(F.slice(w, i, SHINGLE), " "))))
+
+    # As a lambda's argument the words are split once, not once per run.
+    return F.coalesce(F.transform(F.array(words), runs)[0], F.array().cast("array<bigint>"))
 
 
 def _band(shingle: Column, band: Column) -> Column:
