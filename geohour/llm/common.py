@@ -33,6 +33,25 @@ def lower_ascii(col: Column) -> Column:
     return F.translate(col, UPPER, UPPER.lower())
 
 
+BROADCAST_BYTES = 64 << 20
+
+
+def small(df: DataFrame, *, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` marked for broadcast if its rows, which are counted, take at most `limit` bytes.
+
+    A row counts 16 bytes a column and the length of its strings and arrays. Beyond the limit
+    `df` is returned as it is, and the join shuffles.
+    """
+    width = F.lit(16 * len(df.columns))
+    for name, kind in df.dtypes:
+        if kind == "string":
+            width = width + F.coalesce(F.octet_length(name), F.lit(0))
+        elif kind.startswith("array"):
+            width = width + 8 * F.greatest(F.size(name), F.lit(0))
+    size = df.agg(F.sum(width.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """`base`, or the first of base_1, base_2, ... that is no column of `df` in any case."""
     taken = {c.lower() for c in df.columns}

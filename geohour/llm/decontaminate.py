@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from geohour.llm.common import lower_ascii
+from geohour.llm.common import free_name, lower_ascii, small
 from geohour.session import materialize
 
 WINDOW = 10
@@ -66,23 +66,40 @@ def build_index(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text:
     `terms` has term and lead. For lead terms, the rarest ones, `near` holds the words from
     `around` before to `around` after the position and `left` how many of them come before it:
     whoever reads such a posting can confirm a phrase without the text.
+
+    Words meet the terms where the text is read while the terms can be broadcast. More terms are
+    joined by a shuffle of (term, document, position), and only documents with lead terms are
+    opened again for the words near them.
     """
-    w = F.col("words")
-    opened = docs.select(
-        F.col(doc_id).alias("doc_id"), _text_key(F.col(text)).alias("text_key"), words_of(F.col(text)).alias("words"),
-    ).select("doc_id", "text_key", "words", F.posexplode("words").alias("pos", "term"))
-    left = F.least(F.col("pos"), F.lit(around))
-    return materialize(opened.join(terms, "term").select(
-        "term", "doc_id", "text_key", "pos", left.alias("left"),
-        F.when(F.col("lead"), F.array_join(F.slice(w, F.col("pos") - left + 1, left + 1 + around), " "))
-        .alias("near"),
-    ), "postings")
+    key = ["doc_id", "text_key"]
+    rows = docs.select(F.col(doc_id).alias("doc_id"), _text_key(F.col(text)).alias("text_key"),
+                       words_of(F.col(text)).alias("words"))
+    left = F.least(F.col("pos"), F.lit(around)).alias("left")
+    near = F.array_join(F.slice("words", F.col("pos") - F.least(F.col("pos"), F.lit(around)) + 1,
+                                F.least(F.col("pos"), F.lit(around)) + 1 + around), " ")
+    chosen = small(terms)
+    if chosen is not terms:
+        return materialize(
+            rows.select(*key, "words", F.posexplode("words").alias("pos", "term")).join(chosen, "term")
+            .select("term", *key, "pos", left, F.when(F.col("lead"), near).alias("near")), "postings")
+    found = materialize(
+        rows.select(*key, F.posexplode("words").alias("pos", "term")).join(terms, "term"), "found-terms")
+    lead = found.where("lead").groupBy(*key).agg(
+        F.collect_list(F.struct("pos", "term")).alias("at"))  # at most a document's words
+    again = rows.alias("d").join(
+        lead.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d.text_key") == F.col("l.text_key"))
+    ).select("d.doc_id", "d.text_key", "words", F.explode("at").alias("p")).select(
+        *key, "words", F.col("p.pos").alias("pos"), F.col("p.term").alias("term"))
+    return materialize(
+        again.select("term", *key, "pos", left, near.alias("near")).unionByName(
+            found.where("NOT lead").select("term", *key, "pos", left, F.lit(None).cast("string").alias("near"))),
+        "postings")
 
 
 def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
     """(term, n): how often each of `terms` occurs in all documents."""
     return (
-        docs.select(F.explode(words_of(F.col(text))).alias("term")).join(terms, "term")
+        docs.select(F.explode(words_of(F.col(text))).alias("term")).join(small(terms), "term")
         .groupBy("term").agg(F.count("*").alias("n"))
     )
 
@@ -102,7 +119,8 @@ def matches(docs: DataFrame, items: DataFrame, slop: int = 0, anchors: int = ANC
         windows.select(F.explode("item_words").alias("term")).distinct(), "test-terms")
     counts = materialize(term_counts(docs, vocabulary), "term-counts")
     wanted = materialize(_anchors(windows, counts, anchors), "anchors")
-    index = build_index(docs, wanted.groupBy("term").agg(F.max("lead").alias("lead")))
+    index = build_index(
+        docs, materialize(wanted.groupBy("term").agg(F.max("lead").alias("lead")), "anchor-terms"))
     places = wanted.select("item", "term", "at").distinct()
     # One row per posting and place in an item; all windows of the item share the alignment.
     hit = index.join(places, "term").select(
@@ -169,7 +187,8 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of `docs` of which no word is hit, with their columns; see `contamination`."""
-    found = matches(docs.select("doc_id", "text"), items).select(
-        F.col("doc_id").alias("__d"), F.col("text_key").alias("__t")).distinct()
-    found = materialize(found, "contaminated")
-    return docs.join(found, docs.doc_id.eqNullSafe(F.col("__d")) & (_text_key(docs.text) == F.col("__t")), "left_anti")
+    d, t = free_name(docs, "__doc"), free_name(docs, "__key")
+    found = materialize(matches(docs.select("doc_id", "text"), items).select(
+        F.col("doc_id").alias(d), F.col("text_key").alias(t)).distinct(), "contaminated")
+    return docs.join(
+        found, docs["doc_id"].eqNullSafe(found[d]) & (_text_key(docs["text"]) == found[t]), "left_anti")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from geohour.llm.common import small
 from geohour.session import materialize
 
 SHINGLE = 5
@@ -88,7 +89,7 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     lead = table.select(F.col("argmin").alias("shingle"), "template", "own", "n", "band", "lowest")
     opened = docs.select("doc_id", shingles_of(words_of(F.col("text"))).alias("all")).select(
         "doc_id", "all", F.posexplode("all").alias("at", "shingle"))
-    hit = opened.join(lead, "shingle").select(
+    hit = opened.join(small(lead), "shingle").select(
         "doc_id", "template", "own", "n", "band", "lowest", "all",
         F.explode(F.sequence(F.greatest((F.col("at") / F.col("n")).cast("int") - 1, F.lit(0)),
                              (F.col("at") / F.col("n")).cast("int"))).alias("window"))

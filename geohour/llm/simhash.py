@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType
 
-from geohour.llm.common import connected_components
+from geohour.llm.common import connected_components, free_name
 from geohour.session import materialize
 
 SEED = 42
@@ -193,29 +193,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of `docs` without near-duplicates: one row of each component, its smallest doc_id.
 
-    Rows that share that id are told apart by a hash of the text; rows equal in both count as
-    repeats, of which one stays. Rows with a null id stay only where their whole component has
-    null ids, one per component. Columns are those of `docs`.
+    Rows that share that id and component count as repeats, of which one stays. Rows with a
+    null id stay only where their whole component has null ids; such components count as one.
+    Columns are those of `docs`.
     """
-    grouped = materialize(
-        group_documents(docs.select("doc_id", "text")).where("doc_id <=> component_id"), "survivors")
-    # Survivors of one component share an id; their number per id tells whether any repeat.
-    keep = grouped.select("doc_id", "fp").distinct()
-    marked = docs.join(
-        keep.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id").eqNullSafe(F.col("__id")),
-        "left_semi")
-    crowded = grouped.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL")
-    if crowded.isEmpty():
-        return marked
-    # Ids that repeat: name the rows by their fingerprint and take one per component.
-    many = crowded.select(F.col("doc_id").alias("__id"))
-    single = marked.join(many, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
-    fp = fingerprints(F.col("text"))
-    again = marked.join(many, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").withColumn("__fp", fp)
-    comp = group_documents(docs.select("doc_id", "text")).select(
-        F.col("fp").alias("__fp2"), F.col("component_id").alias("__c")).distinct()
+    own, fp, root = (free_name(docs, n) for n in ("__own", "__fp", "__root"))
+    grouped = materialize(group_documents(docs.select("doc_id", "text")), "simhash-groups")
+    first = grouped.where("doc_id <=> component_id")
+
+    def only(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        ids = ids.select(F.col("doc_id").alias(own)).distinct()
+        return rows.join(ids, rows["doc_id"].eqNullSafe(ids[own]), how)
+
+    kept = only(docs, first, "left_semi")
+    repeated = materialize(
+        first.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select("doc_id"), "simhash-repeats")
+    if repeated.isEmpty():
+        return kept
+    # Rows that share their id: name them by their fingerprint and take one per component.
+    again = only(kept, repeated, "left_semi").withColumn(fp, fingerprints(F.col("text")))
+    roots = first.select(F.col("fp").alias(root + "_fp"), F.col("component_id").alias(root)).distinct()
     one = (
-        again.join(comp, F.col("__fp") == F.col("__fp2")).where("doc_id <=> __c")
-        .dropDuplicates(["doc_id", "__c"]).select(docs.columns)
+        again.join(roots, (F.col(fp) == F.col(root + "_fp")) & F.col("doc_id").eqNullSafe(F.col(root)))
+        .dropDuplicates(["doc_id", root]).select(*[F.col(f"`{c}`") for c in docs.columns])
     )
-    return single.unionByName(one)
+    return only(kept, repeated, "left_anti").unionByName(one)

@@ -432,12 +432,12 @@ def _remaining(packed: pa.Array, spans: pa.Array) -> pa.Array:
 
 def _with_spans(docs: DataFrame) -> tuple[DataFrame, str, str]:
     """`docs` with its text compressed and its repeated spans, and the names of the two columns."""
-    packed, spans, key = (free_name(docs, n) for n in ("__packed", "__spans", "__key"))
+    packed, spans, key, d, t = (free_name(docs, n) for n in ("__packed", "__spans", "__key", "__doc", "__text"))
     found = repeated_spans(docs.select("doc_id", "text")).select(
-        F.col("doc_id").alias("__d"), F.col("text_key").alias("__t"), F.col("spans").alias(spans))
+        F.col("doc_id").alias(d), F.col("text_key").alias(t), F.col("spans").alias(spans))
     sent = docs.withColumn(key, F.hash("text")).withColumn(packed, _squeeze("text")).drop("text")
-    return sent.join(found, sent.doc_id.eqNullSafe(F.col("__d")) & (sent[key] == F.col("__t")), "left").drop(
-        "__d", "__t", key), packed, spans
+    both = sent.join(found, sent["doc_id"].eqNullSafe(found[d]) & (sent[key] == found[t]), "left")
+    return both.drop(d, t, key), packed, spans
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
