@@ -17,7 +17,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructType
+from pyspark.sql.types import BinaryType, StringType
 
 from geohour.llm.common import free_name, struct_type
 from geohour.session import materialize
@@ -26,8 +26,8 @@ REPEAT = 200
 KMER = 48
 LEFT = REPEAT - KMER  # bytes before an anchor that a repeat with it may hold
 SPAN = LEFT + REPEAT
-ARROW_TEXT = 4 << 20  # bytes of text whose anchors are searched at once
-SORT_ROWS = 100_000  # anchored suffixes that a task sorts in memory; more are spilled
+CHUNK_BYTES = 192 << 10  # text whose anchors are searched at once; arrays of it fit a cache
+SORT_ROWS = 30_000  # anchored suffixes that a task sorts in memory; more are spilled
 _GAP = 2 * REPEAT  # zero bytes between texts, more than any search looks beyond an end
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -88,7 +88,7 @@ def _batches_by_size(texts: list[bytes]):
     at, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t)
-        if size >= ARROW_TEXT:
+        if size >= CHUNK_BYTES:
             yield at, i + 1
             at, size = i + 1, 0
     if at < len(texts):
@@ -107,20 +107,33 @@ def _anchor_rows(batches):
                 ["kmer", "around", "doc_id", "text_key", "pos"])
 
 
+def _lists(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """Fields of a list-of-struct column laid end to end, and where each row's part ends."""
+    sizes = column.value_lengths().fill_null(0).to_numpy()
+    flat = column.flatten()
+    return [flat.field(i).to_numpy(zero_copy_only=False) for i in range(flat.type.num_fields)], np.cumsum(sizes)
+
+
 def _segment_rows(batches):
     """The surroundings of the wanted anchors: SPAN bytes, zero outside the text."""
     for batch in batches:
-        texts = [zstandard.decompress(z) for z in batch.column(2).to_pylist()]
-        for i, (t, wanted) in enumerate(zip(texts, batch.column(3).to_pylist())):
-            pos = np.array([w["pos"] for w in wanted], np.int64)
+        (pos, kmer), ends = _lists(batch.column(3))
+        if not len(pos):
+            continue
+        seg, right = np.empty((len(pos), SPAN), np.uint8), np.empty(len(pos), np.int16)
+        begin = 0
+        for z, end in zip(batch.column(2).to_pylist(), ends.tolist()):
+            t, at = zstandard.decompress(z), pos[begin:end]
             raw = np.frombuffer(bytes(LEFT) + t + bytes(REPEAT), np.uint8)
-            seg = np.lib.stride_tricks.sliding_window_view(raw, SPAN)[pos]
-            row = pa.array(np.full(len(pos), i))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([w["kmer"] for w in wanted], pa.int64()), batch.column(0).take(row), batch.column(1).take(row),
-                 pa.array(pos.astype(np.int32)), pa.array(np.minimum(len(t) - pos, REPEAT).astype(np.int16)),
-                 pa.array([s.tobytes() for s in seg], pa.binary())],
-                ["kmer", "doc_id", "text_key", "pos", "right", "seg"])
+            seg[begin:end] = np.lib.stride_tricks.sliding_window_view(raw, SPAN)[at]
+            right[begin:end] = np.minimum(len(t) - at, REPEAT)
+            begin = end
+        row = pa.array(np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0)))
+        edges = np.arange(len(pos) + 1, dtype=np.int32) * SPAN
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(kmer), batch.column(0).take(row), batch.column(1).take(row), pa.array(pos.astype(np.int32)), pa.array(right),
+             pa.Array.from_buffers(pa.binary(), len(pos), [None, pa.py_buffer(edges), pa.py_buffer(seg)])],
+            ["kmer", "doc_id", "text_key", "pos", "right", "seg"])
 
 
 class SuffixQueue:
@@ -314,8 +327,10 @@ def _induced_rows(batches):
             seg = (np.memmap(f"{folder}/segments", np.uint8, "w+", shape=(n, SPAN)) if n > 4 * SORT_ROWS
                    else np.empty((n, SPAN), np.uint8))
             at = 0
-            for chunk in batch.column(5).chunks:
-                seg[at:at + len(chunk)] = np.frombuffer(b"".join(chunk.to_pylist()), np.uint8).reshape(-1, SPAN)
+            for chunk in batch.column(5).chunks:  # all values have SPAN bytes
+                raw = np.frombuffer(chunk.buffers()[2], np.uint8)
+                edge = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset]
+                seg[at:at + len(chunk)] = raw[edge:edge + len(chunk) * SPAN].reshape(-1, SPAN)
                 at += len(chunk)
             pos, right = batch.column(3).to_numpy().astype(np.int64), batch.column(4).to_numpy().astype(np.int32)
             left = np.minimum(pos, LEFT)
@@ -396,28 +411,30 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             F.collect_list(F.struct("start", "stop")).alias("spans")), "repeated-spans")  # at most a text's anchors
 
 
-def _kept(text: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
+def _kept(text: bytes, start: np.ndarray, stop: np.ndarray) -> tuple[bytes, int, int]:
     """(remaining bytes, removed bytes, removed runs)."""
-    if not spans:
+    if not len(start):
         return text, 0, 0
-    edge = np.zeros(len(text) + 1, np.int64)
-    np.add.at(edge, [s["start"] for s in spans], 1)
-    np.add.at(edge, [min(s["stop"], len(text)) for s in spans], -1)
+    edge = np.bincount(start, minlength=len(text) + 1) - np.bincount(np.minimum(stop, len(text)), minlength=len(text) + 1)
     gone = np.cumsum(edge[:-1]) > 0
-    runs = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])) if len(text) else 0
+    runs = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
     return np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
 
 
-_SPANS = ArrayType(StructType().add("start", LongType()).add("stop", LongType()))
+def _all_kept(packed: pa.Array, spans: pa.Array):
+    """(text, *_kept) of each row."""
+    (start, stop), ends = _lists(spans)
+    begin = 0
+    for z, end in zip(packed.to_pylist(), ends.tolist()):
+        text = zstandard.decompress(z)
+        yield text, *_kept(text, start[begin:end], stop[begin:end])
+        begin = end
 
 
 @arrow_udf(struct_type("n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 def _digest(packed: pa.Array, spans: pa.Array) -> pa.Array:
-    rows = []
-    for z, s in zip(packed.to_pylist(), spans.to_pylist()):
-        text = zstandard.decompress(z)
-        kept, removed, runs = _kept(text, s)
-        rows.append((len(text), removed, runs, hashlib.sha256(kept).hexdigest()))
+    rows = [(len(text), removed, runs, hashlib.sha256(kept).hexdigest())
+            for text, kept, removed, runs in _all_kept(packed, spans)]
     cols = list(zip(*rows)) or [[]] * 4
     return pa.StructArray.from_arrays(
         [*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())],
@@ -426,8 +443,7 @@ def _digest(packed: pa.Array, spans: pa.Array) -> pa.Array:
 
 @arrow_udf(StringType())
 def _remaining(packed: pa.Array, spans: pa.Array) -> pa.Array:
-    return pa.array([_kept(zstandard.decompress(z), s)[0].decode(errors="ignore")
-                     for z, s in zip(packed.to_pylist(), spans.to_pylist())], pa.string())
+    return pa.array([kept.decode(errors="ignore") for _, kept, _, _ in _all_kept(packed, spans)], pa.string())
 
 
 def _with_spans(docs: DataFrame) -> tuple[DataFrame, str, str]:
