@@ -24,32 +24,57 @@ def _lines(lines: Column) -> Column:
     return F.transform(lines, _line)
 
 
-def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
-    """Features of GeoJSON files: collections, or one feature per line; one file per task.
+# A feature's own type ends one record of the text reader and begins the next, so files are
+# split between tasks at features, whatever the size of the document around them.
+_MARK = '"Feature"'
+_OPENING = r"""\s*,?\s*\{\s*"type"\s*:\s*$"""  # of the next feature
+_CLOSING = r"""\}\s*\]\s*(,[^\[\]]*)?\}\s*$"""  # of the collection, with plain members behind
+
+
+def feature_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text, f): one row per feature of collections and of files with a feature per line.
+
+    `f` is the feature as VARIANT, null where `text` cannot be parsed. Every feature must begin
+    with its type, as writers put it; text that belongs to no feature makes a row with null `f`
+    instead of vanishing.
+    """
+    raw = spark.read.option("lineSep", _MARK).text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.ltrim(F.col("value")).alias("value"))
+    head = F.col("value").startswith("{")
+    # What stands before the first feature: nothing else but the collection's own members.
+    opening = head & (F.col("value").rlike(r"^\{\s*\"type\"\s*:\s*$") | F.col("value").rlike(r"\"FeatureCollection\""))
+    is_record = ~opening & (F.col("value") != "")
+    body = raw.where(is_record).select(
+        "file", F.when(is_record, F.regexp_replace("value", _OPENING, "")).alias("text"))
+    whole = F.concat(F.lit('{"type":"Feature"'), F.col("text"))
+    ended = F.concat(F.lit('{"type":"Feature"'), F.regexp_replace("text", _CLOSING, "}"))
+    return body.select("file", "text", F.coalesce(F.try_parse_json(whole), F.try_parse_json(ended)).alias("f"))
+
+
+def rejected_features(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text) of what `read_geojson` cannot read."""
+    return feature_records(spark, path).where(F.col("f").isNull()).select("file", "text")
+
+
+def read_geojson(spark: SparkSession, path: str, properties: str, skip_broken: bool = False) -> DataFrame:
+    """Features of GeoJSON files: collections, or one feature per line.
 
     `properties` is the schema of the properties as DDL. Adds `geom_type`, `lines` (for lines
     and points: an array of vertex arrays) and `parts` (for polygons: parts of rings of
     vertices). Coordinates nest to different depths by type, so each type is cast on its own.
+    Text that is no feature fails the query; with `skip_broken` it is left to
+    `rejected_features`.
     """
-    files = spark.read.text(path, wholetext=True).select(
-        "value", F.try_parse_json("value").alias("doc")
-    ).withColumn("kind", F.expr("try_variant_get(doc, '$.type', 'string')"))
-    whole = files.where(F.col("kind") == "FeatureCollection").select(
-        F.explode(F.expr("try_variant_get(doc, '$.features', 'array<variant>')")).alias("f")
-    )
-    by_line = files.where(F.col("kind") == "Feature").select(
-        F.explode(F.split("value", "\n")).alias("line")
-    ).select(F.try_parse_json("line").alias("f")).where(F.col("f").isNotNull())
-    return _decode(whole.unionByName(by_line), properties)
+    records = feature_records(spark, path)
+    if skip_broken:
+        return _decode(records.where(F.col("f").isNotNull()), properties)
+    # The optimizer may evaluate this before it drops what is no record: then text is null.
+    broken = F.when(F.col("text").isNotNull(), F.raise_error(F.concat(
+        F.lit("no feature in "), F.col("file"), F.lit(": "), F.substring("text", 1, 200))))
+    return _decode(records.select(F.coalesce("f", broken.cast("variant")).alias("f")), properties)
 
 
-def read_feature_lines(spark: SparkSession, path: str, properties: str) -> DataFrame:
-    """Features of files with one feature per line, the form this library writes.
-
-    Such files are split between tasks, so they are the form for large layers.
-    """
-    docs = spark.read.text(path).select(F.try_parse_json("value").alias("f"))
-    return _decode(docs.where(F.col("f").isNotNull()), properties)
+read_feature_lines = read_geojson
 
 
 def _decode(features: DataFrame, properties: str) -> DataFrame:

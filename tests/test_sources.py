@@ -14,7 +14,9 @@ from geohour.sources import storage
 from geohour.sources.delimited import (
     read_csv_any_charset, read_gauge_csv, read_level_files, read_station_csv, standardize_columns,
 )
-from geohour.sources.features import read_geojson, read_years, square_feature, union_files, write_geojson
+from geohour.sources.features import (
+    read_geojson, read_years, rejected_features, square_feature, union_files, write_geojson,
+)
 from geohour.sources.payload import readings_from_payload
 from geohour.sources.rest import level_source
 
@@ -89,6 +91,33 @@ def test_geojson_collection_and_lines(spark, tmp_path):
     assert rows(vertices.distinct()) == [("10", 0, 0, 0.0, 0.0), ("10", 0, 1, 1.5, 2.0)]
 
 
+def test_geojson_reports_what_it_cannot_read(spark, tmp_path):
+    lines = ['{"type":"Feature","properties":{"n":1},"geometry":null}', '{"type":"Feature","properties":{"n":2,',
+             '{"type": "Feature", "properties": {"n": 3}, "geometry": null}']
+    put(str(tmp_path), "b/l.geojson", "\n".join(lines))
+    path = str(tmp_path / "b")
+    with pytest.raises(Exception, match="no feature in"):
+        read_geojson(spark, path, "n int").collect()
+    assert sorted(r.n for r in read_geojson(spark, path, "n int", skip_broken=True).collect()) == [1, 3]
+    assert [r.text for r in rejected_features(spark, path).collect()] == [',"properties":{"n":2']
+    put(str(tmp_path), "e/empty.geojson", '{"type": "FeatureCollection", "features": []}')
+    assert read_geojson(spark, str(tmp_path / "e"), "n int").count() == 0
+
+
+def test_geojson_collection_larger_than_one_value(spark, tmp_path):
+    n, pad = 180_000, "x" * 900
+    with open(tmp_path / "big.geojson", "w") as f:
+        f.write('{"type": "FeatureCollection", "name": "big", "features": [\n')
+        for i in range(n):
+            f.write(f'{{ "type": "Feature", "properties": {{ "n": {i}, "pad": "{pad}" }}, "geometry": '
+                    f'{{ "type": "Point", "coordinates": [ {i}, 1 ] }} }}{"," if i < n - 1 else ""}\n')
+        f.write("]\n}\n")
+    assert os.path.getsize(tmp_path / "big.geojson") > 150_000_000
+    out = read_geojson(spark, str(tmp_path / "big.geojson"), "n int")
+    assert out.rdd.getNumPartitions() > 1
+    assert out.agg(F.count("n"), F.sum("n"), F.count("lines")).first()[:] == (n, n * (n - 1) // 2, n)
+
+
 def test_write_geojson(spark, tmp_path):
     df = spark.createDataFrame([(1, 0.0, 100.0)], "grid_id int, x0 double, y0 double")
     path = str(tmp_path / "g")

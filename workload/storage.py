@@ -150,7 +150,15 @@ def scan_geojson(spark, d):
         F.lit(',"s_nationkey":'), F.col("s_nationkey").cast("string"), F.lit('},"geometry":'),
         F.when(F.col("s_nationkey") < 13, multi).otherwise(single), F.lit("}"),
     )
-    stage.district_polygons(spark, d).select(text.alias("value")).write.text(root)
+    # One collection over all rows: a bracket before them and one behind them.
+    rows = stage.district_polygons(spark, d)
+    last = F.col("feature_id") == rows.agg(F.max("feature_id")).scalar()
+    first = F.col("feature_id") == rows.agg(F.min("feature_id")).scalar()
+    opening = F.lit('{"type": "FeatureCollection", "crs": {"type": "name"}, "features": [')
+    closing = F.lit('], "bbox": null}')
+    rows.repartitionByRange(1, "feature_id").sortWithinPartitions("feature_id").select(
+        F.concat(F.when(first, opening).otherwise(F.lit("")), text,
+                 F.when(last, closing).otherwise(F.lit(","))).alias("value")).write.text(root)
     back = read_geojson(spark, root, "feature_id bigint, s_nationkey int")
     return ring_segments(back, "feature_id", "parts", ["s_nationkey", "geom_type"]).groupBy(
         "feature_id", "s_nationkey", "geom_type"
