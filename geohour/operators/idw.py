@@ -42,6 +42,7 @@ def idw_over_time(
     neighbours: DataFrame, values: DataFrame, cell_periods: DataFrame, cell: str, station: str,
     time: str, period: str, features: tuple[str, ...], blocks: int = 16,
     broadcast_rows: int = 2_000_000, group_rows: int = 10_000, slot_days: int = 10,
+    step: str | None = None,
 ) -> DataFrame:
     """Weighted means for every cell at every time of `values`.
 
@@ -50,13 +51,17 @@ def idw_over_time(
     cells without neighbours, and hours in which none of them reports, have NULL features: a
     reading without a station meets a neighbour without a weight and keeps the row alive.
 
+    With `step`, a column of `values`, neighbours hold only for the steps from their column first
+    to their column last; `period` then is any coarser key that both tables share.
+
     Readings are few compared with the (time, cell) rows made of them. While the neighbour table
     is small enough to be broadcast, which is counted first, readings are spread by time and
     block of cells, and all that follows stays in that partitioning without a shuffle. A larger
     neighbour table meets the readings by (period, slot of days, station, block), with as many
     blocks as keep one such group small.
     """
-    weighted = neighbours.select(period, cell, station, weight("distance").alias("_w")).unionByName(
+    stretch = ["first", "last"] if step else []
+    weighted = neighbours.select(period, cell, station, weight("distance").alias("_w"), *stretch).unionByName(
         cell_periods.select(period, cell), allowMissingColumns=True
     )
     # Two numbers: all neighbours, and those of the largest (period, station) group.
@@ -68,16 +73,20 @@ def idw_over_time(
         blocks = 1 + largest // group_rows
     block = F.pmod(F.xxhash64(cell), F.lit(blocks)).cast("int")
     weighted = weighted.select(
-        F.col(period).alias("_p"), F.col(station).alias("_st"), cell, "_w", block.alias("_b2")
+        F.col(period).alias("_p"), F.col(station).alias("_st"), cell, "_w", block.alias("_b2"),
+        *stretch
     )
-    hours = values.select(time, period).distinct()
-    readings = values.select(time, period, station, *features).unionByName(
+    steps = [step] if step else []
+    hours = values.select(time, period, *steps).distinct()
+    readings = values.select(time, period, *steps, station, *features).unionByName(
         hours, allowMissingColumns=True
     ).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     same = (
         (F.col(period) == F.col("_p")) & F.col(station).eqNullSafe(F.col("_st"))
         & (F.col("_block") == F.col("_b2"))
     )
+    if step:
+        same = same & (F.col("first").isNull() | F.col(step).between(F.col("first"), F.col("last")))
     if small:
         pairs = readings.repartition(time, "_block").join(F.broadcast(weighted), same)
     else:

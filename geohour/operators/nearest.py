@@ -10,9 +10,12 @@ All joins are equality joins on (level, cell).
 
 from __future__ import annotations
 
+import bisect
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from geohour.operators.cells import Bounds, bounds_of, with_cell
 from geohour.operators.shapes import edge_cells, point_segment_distance2, segment_bounds
@@ -252,3 +255,73 @@ def knn_radius(
         .where(F.col("rank") <= k)
         .select(*within, point_id, target_id, "distance", "rank")
     )
+
+
+def within_radius(
+    points: DataFrame, point_id: str, targets: DataFrame, target_id: str, radius: float,
+) -> DataFrame:
+    """Every (point, target) closer than the radius, with `distance`; x and y of both tables.
+
+    Only targets are repeated, into the radius-sized cells around their own.
+    """
+    spots = targets.select(target_id, F.col("x").alias("tx"), F.col("y").alias("ty")).dropna().distinct()
+    reach = F.sequence(F.lit(-1), F.lit(1))
+    spread = (
+        with_cell(spots, "tx", "ty", 0.0, 0.0, radius)
+        .withColumn("ix", F.explode(F.transform(reach, lambda i: F.col("ix") + i)))
+        .withColumn("iy", F.explode(F.transform(reach, lambda i: F.col("iy") + i)))
+    )
+    asked = with_cell(points.select(point_id, "x", "y").dropna(), "x", "y", 0.0, 0.0, radius)
+    dx, dy = F.col("x") - F.col("tx"), F.col("y") - F.col("ty")
+    return (
+        asked.join(spread, ["ix", "iy"]).withColumn("distance", F.sqrt(dx * dx + dy * dy))
+        .where(F.col("distance") < radius).select(point_id, target_id, "tx", "ty", "distance")
+    )
+
+
+def nearest_over_time(candidates: DataFrame, point_id: str, target_id: str, k: int = NEIGHBOURS) -> DataFrame:
+    """The k nearest of the targets present at each step, as stretches [first, last] of steps.
+
+    `candidates` holds (point, target, distance, first, last): a target is near a point from
+    step first to step last; its stretches do not overlap. Openings and closings are sorted by
+    point and step and swept once, so a stretch is cut only where the point's own k nearest
+    change. Held at a time are the targets present around one point.
+    """
+    opens = candidates.select(point_id, F.col("first").alias("step"), F.lit(1).alias("kind"), "distance", target_id)
+    closes = candidates.select(
+        point_id, (F.col("last") + 1).alias("step"), F.lit(0).alias("kind"), "distance", target_id)
+    events = opens.unionByName(closes).repartition(point_id).sortWithinPartitions(point_id, "step", "kind")
+
+    def sweep(batches):
+        point = step = None
+        present: list[tuple] = []
+        since: dict[tuple, int] = {}
+        out: list[tuple] = []
+
+        def settle():
+            top = set(present[:k])
+            for t in [t for t in since if t not in top]:
+                out.append((point, t[1], t[0], since.pop(t), step - 1))
+            for t in top:
+                since.setdefault(t, step)
+
+        for batch in batches:
+            for p, at, kind, distance, target in zip(*(c.to_pylist() for c in batch.columns)):
+                if point is not None and (p, at) != (point, step):
+                    settle()
+                point, step = p, at
+                if kind:
+                    bisect.insort(present, (distance, target))
+                else:
+                    present.remove((distance, target))
+            if len(out) >= 10_000:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema)
+                out = []
+        if point is not None:
+            settle()
+        if out:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema)
+
+    kinds = candidates.select(point_id, target_id, "distance", "first", "last").schema
+    names, schema = kinds.names, to_arrow_schema(kinds)
+    return events.mapInArrow(sweep, kinds)

@@ -41,11 +41,14 @@ def class_balance(df: DataFrame, flag: str) -> DataFrame:
 
 def _range_of(column: str, cuts: list[float]) -> str:
     """SQL for the number of cuts below a value, as a balanced tree of comparisons."""
+    def literal(v: float) -> str:
+        return f"{v!r}D" if math.isfinite(v) else f"double('{v}')"
+
     def tree(lo: int, hi: int) -> str:
         if lo == hi:
             return str(lo)
         mid = (lo + hi) // 2
-        return (f"CASE WHEN {column} <= {cuts[mid]!r}D THEN {tree(lo, mid)} "
+        return (f"CASE WHEN {column} <= {literal(cuts[mid])} THEN {tree(lo, mid)} "
                 f"ELSE {tree(mid + 1, hi)} END")
 
     return tree(0, len(cuts))
@@ -99,7 +102,8 @@ def exact_quantiles(
     for name, q in quantiles.items():
         share = q * (n - 1) - math.floor(q * (n - 1))
         low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        out.append((low + (high - low) * F.lit(share)).alias(name))
+        between = F.when((low == high) | (F.lit(share) == 0), low).otherwise(low + (high - low) * F.lit(share))
+        out.append(between.alias(name))
     return row.select(*out)
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from geohour.operators.asof import active_at, asof_join, breakpoints, located_asof
 from geohour.operators.idw import idw_over_time
 from geohour.operators.intervals import expand_hours
-from geohour.operators.nearest import NEIGHBOURS, RADIUS, knn_radius
+from geohour.operators.nearest import NEIGHBOURS, RADIUS, nearest_over_time, within_radius
 from geohour.operators.rolling import RAIN_FEATURES, rain_features
 from geohour.operators.tables import cross_skeleton
 from geohour.session import materialize
@@ -15,6 +15,8 @@ from geohour.session import materialize
 # The season and the years of the study.
 MONTHS = (5, 10)
 YEARS = (2010, 2024)
+# Periods in one slot, the key by which readings meet the stretches of their station.
+SLOT_STEPS = 64
 
 
 def season(df: DataFrame, time: str = "time", months: tuple[int, int] = MONTHS,
@@ -66,17 +68,27 @@ def gridded_rain(
         breakpoints(meta, "start_date", "expired_date", bucket_days),
         [], "time", "period_start", ["n_active"], bucket_days, "inner",
     ).select("time", "period_start"), "hour-periods")
-    periods = hours.select("period_start").distinct()
+    # One number per period: as many as hours at most, so the calendar bounds them.
+    steps = hours.withColumn("step", F.dense_rank().over(Window.orderBy("period_start")))
+    periods = steps.select("period_start", "step").distinct()
     active = active_at(periods, "period_start", meta, "start_date", "expired_date", "station",
-                       bucket_days)
-    cell_periods = cross_skeleton(periods, cells.select("grid_id", "x", "y"))
-    neighbours = materialize(knn_radius(
-        cell_periods, "grid_id", active.select("period_start", "station", "x", "y"), "station",
-        k, radius, within=["period_start"],
-    ), "neighbours")
-    values = rows.join(hours, "time").select("time", "period_start", "station", *features)
-    return idw_over_time(neighbours, values, cell_periods, "grid_id", "station", "time",
-                         "period_start", features).select(
+                       bucket_days).select("period_start", "station", "x", "y").join(periods, "period_start")
+    # Stations stay at a place over many periods: the search is by place, the rest by stretches.
+    place = ["station", "x", "y"]
+    in_a_row = F.col("step") - F.row_number().over(Window.partitionBy(*place).orderBy("step"))
+    stays = active.withColumn("_run", in_a_row).groupBy(*place, "_run").agg(
+        F.min("step").alias("first"), F.max("step").alias("last"))
+    near = within_radius(cells, "grid_id", stays.select(*place), "station", radius)
+    candidates = near.join(stays.withColumnsRenamed({"x": "tx", "y": "ty"}), ["station", "tx", "ty"])
+    neighbours = materialize(nearest_over_time(
+        candidates.select("grid_id", "station", "distance", "first", "last"), "grid_id", "station", k),
+        "neighbours")
+    slot = F.floor(F.col("step") / SLOT_STEPS)
+    slots = F.explode(F.sequence(F.floor(F.col("first") / SLOT_STEPS), F.floor(F.col("last") / SLOT_STEPS)))
+    values = rows.join(steps, "time").select("time", "step", slot.alias("slot"), "station", *features)
+    cell_slots = cross_skeleton(steps.select(slot.alias("slot")).distinct(), cells.select("grid_id"))
+    return idw_over_time(neighbours.withColumn("slot", slots), values, cell_slots, "grid_id", "station", "time",
+                         "slot", features, step="step").select(
         "grid_id", "time", *[F.col(c).cast("float").alias(c) for c in features]
     )
 

@@ -7,8 +7,12 @@ district with very many rows is not read by one task.
 
 from __future__ import annotations
 
+import time
+import warnings
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 
+import pyarrow as pa
 from pyspark.sql.datasource import (
     DataSource, DataSourceReader, DataSourceStreamReader, InputPartition,
 )
@@ -28,17 +32,39 @@ PAYLOAD_SCHEMA = (
 READING_SCHEMA = "sensor_id string, water_level string, time string, location string"
 
 Fetch = Callable[[str, int, int, str, str], dict]
+ATTEMPTS = 3
+
+
+def last_hour(tick: int) -> tuple[str, str]:
+    """The hour that ends now, in the service's form."""
+    now = datetime.now()
+    return (now - timedelta(hours=1)).strftime("%Y%m%d%H"), now.strftime("%Y%m%d%H")
+
+
+def _again(call: Callable, what: str, wait: float):
+    """The call's result, after some attempts; the last failure names what failed."""
+    for attempt in range(1, ATTEMPTS + 1):
+        try:
+            return call()
+        except Exception as e:
+            if attempt == ATTEMPTS:
+                raise RuntimeError(f"{what} failed {ATTEMPTS} times: {e}") from e
+            time.sleep(wait * attempt)
 
 
 def level_source(
     name: str, fetch: Fetch, count: Callable[[str], int],
-    window: Callable[[int], tuple[str, str]] = lambda tick: ("", ""),
+    window: Callable[[int], tuple[str, str]] = last_hour,
     districts: tuple[str, ...] = DISTRICTS, page_rows: int = PAGE_ROWS, ticks: int | None = None,
+    wait: float = 0.2,
 ) -> type[DataSource]:
     """A data source class for `spark.dataSource.register`.
 
     `count(district)` tells the rows of a district, `window(tick)` the requested hours of a poll.
-    A district that fails is left out of that poll. `ticks` ends the stream after so many polls.
+    Calls are repeated before they count as failed. A district that cannot be counted is left
+    out of that poll as a whole, with a warning. A page that fails afterwards fails the poll: it
+    runs again from its offset, and no half district is ever stored. `ticks` ends the stream
+    after so many polls.
     """
     root, fields = PAYLOAD_ROOT, dict(PAYLOAD_FIELDS)
 
@@ -50,22 +76,23 @@ def level_source(
         out: list[InputPartition] = []
         for district in districts:
             try:
-                n = count(district)
-            except Exception:
+                n = _again(lambda: count(district), f"district {district}", wait)
+            except RuntimeError as e:
+                warnings.warn(f"left out of poll {tick}: {e}", stacklevel=2)
                 continue
             out += [Page(district, i, min(i + page_rows - 1, n), tick)
                     for i in range(1, n + 1, page_rows)]
         return out or [Page("", 1, 0, tick)]
 
-    def rows(page: Page) -> Iterator[tuple]:
+    def rows(page: Page) -> Iterator[pa.RecordBatch]:
         if page.last < page.first:
             return
-        try:
-            payload = fetch(page.district, page.first, page.last, *window(page.tick))
-        except Exception:
-            return
-        for record in payload.get(root, {}).get("row", []):
-            yield tuple(record.get(f) for f in fields.values())
+        payload = _again(
+            lambda: fetch(page.district, page.first, page.last, *window(page.tick)),
+            f"district {page.district}, rows {page.first} to {page.last}", wait)
+        records = payload.get(root, {}).get("row", [])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r.get(f) for r in records], pa.string()) for f in fields.values()], list(fields))
 
     class Batch(DataSourceReader):
         def partitions(self):

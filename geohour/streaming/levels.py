@@ -71,18 +71,23 @@ def to_hourly(
 
 def start_level_stream(
     readings: DataFrame, sensor_map: DataFrame, root: str, checkpoint: str,
-    interval: str | None = "300 seconds",
+    interval: str | None = "300 seconds", watermark: str | None = None,
 ) -> StreamingQuery:
     """Store the hourly maxima of each micro-batch as one batch of the log at `root`.
 
     A batch that runs again after a failure replaces itself, so nothing is lost or doubled.
-    `interval=None` takes what is there and ends.
+    `interval=None` takes what is there and ends. Late readings are always stored. The keys
+    known to the deduplication stay in state for good unless `watermark` bounds them: then a
+    reading that comes again later than that counts anew, which maxima do not feel.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
         append_batch(to_hourly(enrich(batch, sensor_map)), root, batch_id)
 
-    writer = dedup_readings(readings).writeStream.foreachBatch(save).option(
+    if watermark is not None:
+        readings = readings.withColumn("_event", parse_time("time"))
+    once = dedup_readings(readings, event_time="_event", watermark=watermark)
+    writer = once.writeStream.foreachBatch(save).option(
         "checkpointLocation", checkpoint
     )
     writer = writer.trigger(availableNow=True) if interval is None else writer.trigger(
@@ -92,13 +97,17 @@ def start_level_stream(
 
 
 def hourly_max_by_event_time(
-    located: DataFrame, time: str, level: str, cell: str, watermark: str,
+    located: DataFrame, time: str, level: str, cell: str, watermark: str | None = None,
 ) -> DataFrame:
-    """Event-time form: tumbling hours with a watermark, for append mode and bounded state."""
-    at = located.withColumn("_at", F.col(time).cast("timestamp"))
-    return (
-        at.withWatermark("_at", watermark)
-        .groupBy(F.window("_at", "1 hour").alias("_w"), cell)
-        .agg(F.max(level).alias(level))
-        .select(F.col("_w.start").cast("timestamp_ntz").alias("time"), cell, level)
-    )
+    """Hourly maxima in state. Without a watermark late rows count; with one the state is bounded
+    and rows older than it are dropped, so it is for feeds that promise not to be later.
+
+    Hours are cut before the cast, so the session's time zone moves none of them.
+    """
+    at = located.withColumn("_hour", floor_hour(F.col(time).cast("timestamp_ntz")))
+    if watermark is None:
+        return at.groupBy(F.col("_hour").alias("time"), cell).agg(F.max(level).alias(level))
+    # A watermark on TIMESTAMP_NTZ is refused; hour and event time pass the same zone both ways.
+    at = at.withColumn("_at", F.col("_hour").cast("timestamp")).withWatermark("_at", watermark)
+    hourly = at.groupBy("_at", cell).agg(F.max(level).alias(level))
+    return hourly.select(F.col("_at").cast("timestamp_ntz").alias("time"), cell, level)

@@ -42,3 +42,10 @@ def test_duplicates_and_nulls(spark):
     assert rows(profile.value_counts(df, "b", dropna=False)) == [(None, 3), ("a", 1)]
     r = profile.profile_table(df, cell="a").first()
     assert (r.n_rows, r.n_null_cells, r.n_cells, r.n_columns, r.n_duplicates) == (4, 3, 2, 2, 2)
+
+
+def test_quantiles_with_infinities(spark):
+    values = [float("inf")] * 20 + [float("-inf")] * 5 + [float(i) for i in range(75)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    row = exact_quantiles(df, "v", {"q25": 0.25, "q50": 0.5, "q90": 0.9}).first()
+    assert row.q50 == 44.5 and row.q90 == float("inf") and 19 <= row.q25 <= 20

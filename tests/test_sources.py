@@ -18,7 +18,7 @@ from geohour.sources.features import (
     read_geojson, read_years, rejected_features, square_feature, union_files, write_geojson,
 )
 from geohour.sources.payload import readings_from_payload
-from geohour.sources.rest import level_source
+from geohour.sources.rest import last_hour, level_source
 
 
 def put(root, path, text, encoding="utf-8"):
@@ -175,21 +175,39 @@ def test_payload(spark):
     assert rows(readings_from_payload(df, "t")) == [("1", "0.5", None, None)]
 
 
-def test_rest_source_skips_a_failing_district_and_pages(spark):
-    calls = {"01": 3, "02": 6, "03": 2}
+def _service(calls, broken):
+    def count(district):
+        if calls[district] is None:
+            raise OSError("down")
+        return calls[district]
 
     def fetch(district, first, last, start, end):
-        if district == "03":
+        if (district, first) == broken:
             raise OSError("down")
         return {"DrainpipeMonitoringInfo": {"row": [
             {"UNQ_NO": f"{district}-{i}", "MSRMT_YMD": start} for i in range(first, last + 1)]}}
 
+    return fetch, count
+
+
+def test_rest_source_pages_and_leaves_out_a_district_that_is_down(spark):
+    fetch, count = _service({"01": 3, "02": 6, "03": None}, None)
     spark.dataSource.register(level_source(
-        "levels_test", fetch, lambda d: calls[d], lambda tick: ("2024010100", "2024010101"),
-        ("01", "02", "03", "04"), page_rows=4))
-    out = spark.read.format("levels_test").load()
-    assert sorted(r.sensor_id for r in out.collect()) == [
+        "levels_test", fetch, count, lambda tick: ("2024010100", "2024010101"),
+        ("01", "02", "03"), page_rows=4, wait=0))
+    out = spark.read.format("levels_test").load().collect()
+    assert sorted(r.sensor_id for r in out) == [
         "01-1", "01-2", "01-3", "02-1", "02-2", "02-3", "02-4", "02-5", "02-6"]
+    assert {r.time for r in out} == {"2024010100"}
+
+
+def test_rest_source_stores_no_half_district(spark):
+    fetch, count = _service({"01": 3, "02": 6}, ("02", 5))
+    spark.dataSource.register(level_source("levels_half", fetch, count, districts=("01", "02"), page_rows=4, wait=0))
+    with pytest.raises(Exception, match="district 02, rows 5 to 6 failed 3 times"):
+        spark.read.format("levels_half").load().collect()
+    start, end = last_hour(0)
+    assert len(start) == len(end) == 10 and start < end
 
 
 def test_registry(spark):

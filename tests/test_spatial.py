@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from geohour.operators.cells import Bounds, join_cells, number_cells, with_cell
 from geohour.operators.idw import idw_interpolate, idw_over_time
-from geohour.operators.nearest import knn_radius, nearest_distance
+from geohour.operators.nearest import knn_radius, nearest_distance, nearest_over_time
 from geohour.operators.shapes import PARTS_TYPE, covering_grid, polygon_cells, ring_segments
 from geohour.plans.terrain import cell_elevation, grid_generate, intersects_flag, river_distance_class
 
@@ -233,3 +233,29 @@ def test_river_layers(spark):
     got = {r.grid_id: (r.distance, r.distance_class) for r in classes.collect()}
     assert got[0] == (60.0, 0) and got[1] == (40.0, 0) and got[2] == (60.0, 0)
     assert got[3] == (160.0, 1) and got[7] == (560.0, 2)
+
+
+def test_nearest_over_time_equals_a_search_at_each_step(spark):
+    import random
+
+    rnd = random.Random(3)
+    rows_, steps = [], 40
+    for cell in range(6):
+        for station in range(12):
+            at, distance = 0, float(rnd.randint(1, 6))
+            while at < steps:
+                first = at + rnd.randint(0, 6)
+                last = min(first + rnd.randint(0, 9), steps - 1)
+                if first < steps:
+                    rows_.append((cell, station, distance, first, last))
+                at = last + 1 + rnd.randint(0, 3)
+    df = spark.createDataFrame(rows_, "cell int, station int, distance double, first int, last int")
+    got = set()
+    for c, s, d, first, last in rows(nearest_over_time(df, "cell", "station", 3)):
+        got |= {(c, t, s, d) for t in range(first, last + 1)}
+    want = set()
+    for cell in range(6):
+        for t in range(steps):
+            here = sorted((d, s) for c, s, d, a, b in rows_ if c == cell and a <= t <= b)[:3]
+            want |= {(cell, t, s, d) for d, s in here}
+    assert got == want

@@ -38,6 +38,32 @@ def test_polled_levels(spark, tmp_path):
     assert run(spark, root, sensors) == [(dt(2024, 1, 1, 10), 7, 2.0)]
 
 
+def test_late_rows_reach_the_hourly_maximum(spark, tmp_path):
+    root = str(tmp_path)
+    parts = [("a", "2024-01-01 10:20", 1.0), ("b", "2024-01-03 10:20", 2.0), ("c", "2024-01-01 10:40", 9.0)]
+    for name, at, value in parts:
+        spark.createDataFrame([(at, value)], "at string, level double").selectExpr(
+            "CAST(at AS timestamp_ntz) AS at", "level", "7 AS cell").write.parquet(f"{root}/in/{name}")
+        df = spark.readStream.schema("at timestamp_ntz, level double, cell int").parquet(f"{root}/in/*")
+        q = levels.hourly_max_by_event_time(df, "at", "level", "cell").writeStream.outputMode("update").foreachBatch(
+            lambda batch, i: storage.append_batch(batch, f"{root}/log", i)
+        ).option("checkpointLocation", f"{root}/c").trigger(availableNow=True).start()
+        q.awaitTermination()
+    out = storage.resolve_last(storage.read_log(spark, f"{root}/log"), ["time", "cell"])
+    assert rows(out.select("time", "level")) == [(dt(2024, 1, 1, 10), 9.0), (dt(2024, 1, 3, 10), 2.0)]
+
+
+def test_level_stream_takes_a_watermark(spark, tmp_path):
+    root = str(tmp_path)
+    sensors = spark.createDataFrame([("1", 7)], "sensor_id string, grid_id bigint")
+    feed(spark, f"{root}/in", "a", ("1", "5.0", "2024-01-01 10:20"), (" 1", "6.0", "2024-01-01 10:20"))
+    q = levels.start_level_stream(stream(spark, f"{root}/in"), sensors, f"{root}/log", f"{root}/checkpoint",
+                                  interval=None, watermark="2 hours")
+    q.awaitTermination()
+    log = storage.read_log(spark, f"{root}/log")
+    assert storage.resolve_last(log, ["time", "grid_id"]).count() == 1
+
+
 def test_watermarked_dedup(spark, tmp_path):
     root = str(tmp_path)
     feed(spark, f"{root}/in", "a", ("1", "5", "2024-01-01 10:20"), (" 1", "6", "2024-01-01 10:20"))

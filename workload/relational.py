@@ -21,10 +21,9 @@ from workload.registry import query, table
 
 
 @query("scan_parquet", """
-    SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity >= 30""")
+    SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem""")
 def scan_parquet(spark, d):
-    rows = table(spark, d, "lineitem").where(F.col("l_quantity") >= 30)
-    return rows.select("l_orderkey", "l_linenumber", "l_quantity")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
 
 
 @query("project_rename", """
@@ -269,6 +268,20 @@ def value_counts(spark, d):
     return counts.orderBy(F.desc("n"), "l_returnflag")
 
 
+@query("value_counts_nulls", """
+    WITH e AS (SELECT CASE WHEN value > 50 THEN event_type END AS kind FROM events)
+    SELECT kind, count(*) AS n FROM e GROUP BY kind""")
+def value_counts_nulls(spark, d):
+    kind = F.when(F.col("value") > 50, F.col("event_type")).alias("kind")
+    return prof.value_counts(table(spark, d, "events").select(kind), "kind", dropna=False)
+
+
+@query("first_distinct", """
+    SELECT p_brand, min(p_partkey) AS p_partkey FROM part GROUP BY p_brand ORDER BY 2, 1 LIMIT 10""")
+def first_distinct(spark, d):
+    return ops.first_distinct(table(spark, d, "part"), "p_brand", 10, "p_partkey")
+
+
 @query("describe", """
     SELECT count(l_extendedprice) AS n, round(avg(l_extendedprice), 4) AS mean,
            round(stddev_samp(l_extendedprice), 4) AS std, min(l_extendedprice) AS min,
@@ -305,11 +318,11 @@ def null_profile(spark, d):
 
 
 @query("duplicate_rows", """
-    SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS n_duplicates
-    FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_suppkey, l_quantity, l_returnflag)""")
+    SELECT 2 * (SELECT count(*) FROM lineitem) - count(*) AS n_duplicates
+    FROM (SELECT DISTINCT * FROM lineitem)""")
 def duplicate_rows(spark, d):
-    rows = table(spark, d, "lineitem").select("l_suppkey", "l_quantity", "l_returnflag")
-    return prof.duplicate_rows(rows)
+    rows = table(spark, d, "lineitem")
+    return prof.duplicate_rows(rows.unionAll(rows))  # whole rows, each at least twice
 
 
 @query("class_balance", """
@@ -335,15 +348,11 @@ def top_n(spark, d):
     return rows.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
 
 
-def users_of(spark, d, kind):
-    return table(spark, d, "events").where(F.col("event_type") == kind).select("user_id")
-
-
 @query("union_all", """
-    SELECT user_id FROM events WHERE event_type = 'view'
-    UNION ALL SELECT user_id FROM events WHERE event_type = 'click'""")
+    SELECT user_id AS id FROM events UNION ALL SELECT c_custkey FROM customer""")
 def union_all(spark, d):
-    return users_of(spark, d, "view").unionByName(users_of(spark, d, "click"))
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    return table(spark, d, "events").select(F.col("user_id").alias("id")).unionByName(customers)
 
 
 @query("set_union", """
@@ -356,23 +365,20 @@ def set_union(spark, d):
     return floods.union(wet).distinct()
 
 
-def hot_users(spark, d, kind):
-    rows = table(spark, d, "events").where((F.col("event_type") == kind) & (F.col("value") > 100))
-    return rows.select("user_id")
+def event_users(spark, d):
+    return table(spark, d, "events").select(F.col("user_id").alias("id"))
 
 
 @query("set_intersect", """
-    SELECT user_id FROM events WHERE event_type = 'view' AND value > 100
-    INTERSECT SELECT user_id FROM events WHERE event_type = 'click' AND value > 100""")
+    SELECT user_id AS id FROM events INTERSECT SELECT s_suppkey FROM supplier""")
 def set_intersect(spark, d):
-    return hot_users(spark, d, "view").intersect(hot_users(spark, d, "click"))
+    return event_users(spark, d).intersect(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")))
 
 
 @query("set_except", """
-    SELECT user_id FROM events WHERE event_type = 'view' AND value > 100
-    EXCEPT SELECT user_id FROM events WHERE event_type = 'click' AND value > 100""")
+    SELECT user_id AS id FROM events EXCEPT SELECT s_suppkey FROM supplier""")
 def set_except(spark, d):
-    return hot_users(spark, d, "view").subtract(hot_users(spark, d, "click"))
+    return event_users(spark, d).subtract(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")))
 
 
 @query("union_by_name", """
@@ -530,9 +536,9 @@ def profile_table(spark, d):
 
 
 @query("coverage_report", """
-    WITH h AS (SELECT DISTINCT user_id AS id FROM events WHERE event_type = 'view' AND value > 60),
-         a AS (SELECT DISTINCT user_id AS id FROM events WHERE event_type = 'click' AND value > 60),
-         f AS (SELECT DISTINCT user_id AS id FROM events WHERE event_type = 'error' AND value > 60)
+    WITH h AS (SELECT DISTINCT user_id AS id FROM events WHERE event_type = 'view'),
+         a AS (SELECT DISTINCT user_id AS id FROM events WHERE event_type = 'click'),
+         f AS (SELECT DISTINCT user_id AS id FROM events WHERE event_type = 'error')
     SELECT 'historical_cells' AS metric, count(*) AS n FROM h
     UNION ALL SELECT 'live_cells', count(*) FROM a
     UNION ALL SELECT 'shared_cells', count(*) FROM (SELECT id FROM h INTERSECT SELECT id FROM a)
@@ -542,7 +548,7 @@ def profile_table(spark, d):
     UNION ALL SELECT 'flagged_missing_historical', count(*) FROM (SELECT id FROM f EXCEPT SELECT id FROM h)
     UNION ALL SELECT 'flagged_missing_live', count(*) FROM (SELECT id FROM f EXCEPT SELECT id FROM a)""")
 def coverage_report(spark, d):
-    events = table(spark, d, "events").where(F.col("value") > 60)
+    events = table(spark, d, "events")
 
     def of(kind):
         return events.where(F.col("event_type") == kind)
@@ -550,10 +556,28 @@ def coverage_report(spark, d):
     return prof.coverage_report(of("view"), of("click"), of("error"), "user_id")
 
 
-@query("validate_inputs", "SELECT n_nationkey, n_name FROM nation")
+@query("validate_inputs", """
+    SELECT n_nationkey, n_name, checked, problem FROM nation, (VALUES
+      ('columns', 'missing columns'), ('rows', 'no rows'), ('numbers', 'unusable values'),
+      ('system', 'unusable values'), ('sound', NULL)) v(checked, problem)""")
 def validate_inputs(spark, d):
-    nation = ops.validate(table(spark, d, "nation"), ["n_nationkey", "n_name"], "nation")
-    return nation.select("n_nationkey", "n_name")
+    """Every check on the whole table, with what it raised."""
+    nation = table(spark, d, "nation").withColumn("epsg", F.lit(5179)).select("n_nationkey", "n_name", "epsg")
+    checks = {
+        "columns": (nation, {"required": ["lost"]}), "rows": (nation.limit(0), {"required": []}),
+        "numbers": (nation, {"required": [], "numeric": ("n_name",)}),
+        "system": (nation, {"required": [], "epsg": "epsg", "wanted_epsg": 4326}),
+        "sound": (nation, {"required": ["n_name"], "numeric": ("n_nationkey",), "epsg": "epsg", "wanted_epsg": 5179}),
+    }
+    found = []
+    for name, (rows, wanted) in checks.items():
+        try:
+            ops.validate(rows, name="nation", **wanted)
+            problem = F.lit(None).cast("string")
+        except ValueError as e:
+            problem = F.lit(next(t for t in ("missing columns", "no rows", "unusable values") if t in str(e)))
+        found.append(nation.select("n_nationkey", "n_name", F.lit(name).alias("checked"), problem.alias("problem")))
+    return union_files(found)
 
 
 @query("drop_column", "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer")

@@ -12,6 +12,8 @@ from geohour.operators.nearest import knn_radius, nearest_distance
 from geohour.operators.shapes import (
     LINE_TYPES, LINES_TYPE, explode_vertices, geometry_filter, polygon_cells,
 )
+from geohour.plans.terrain import grid_lonlat
+from geohour.plans.water import sensor_cells
 from workload import stage
 from workload.registry import query, table
 from workload.stage import STEP
@@ -221,3 +223,43 @@ def reproject(spark, d):
         F.abs(F.col("back_y") - F.col("k_y")) < 1e-3)
     return df.select("id", agrees.alias("back_agrees"), *[F.round(c, 3).alias(c) for c in (
         "k_x", "k_y", "m_x", "m_y", "web_x", "web_y")])
+
+
+PLACE_SQL = """(SELECT {key} AS id, 126.0 + ({key} % 1000) / 500.0 AS lon, 37.0 + ({value} + 1000) / 11000 AS lat
+    FROM {table})"""
+MAP_STEP = 10_000.0
+
+
+def placed(spark, d, name, key, value):
+    return table(spark, d, name).select(
+        F.col(key).cast("string").alias("sensor_id"), (F.lit(126.0) + (F.col(key) % 1000) / 500.0).alias("lon"),
+        (F.lit(37.0) + (F.col(value) + 1000) / 11000).alias("lat"))
+
+
+@query("sensor_map", f"""
+    WITH c AS {PLACE_SQL.format(key="c_custkey", value="c_acctbal", table="customer")},
+         s AS {PLACE_SQL.format(key="s_suppkey", value="s_acctbal", table="supplier")},
+         cm AS ({_grid_sql("c", proj.GRIDS[5179], "k")}), sm AS ({_grid_sql("s", proj.GRIDS[5179], "k")}),
+         grid AS (SELECT DISTINCT floor(k_x / {MAP_STEP}) AS ix, floor(k_y / {MAP_STEP}) AS iy FROM sm)
+    SELECT CAST(c.id AS VARCHAR) AS sensor_id, round(lat, 9) AS lat, round(lon, 9) AS lon,
+           CAST(ix * 1000 + iy AS BIGINT) AS grid_id
+    FROM c JOIN cm USING (id)
+         LEFT JOIN grid ON ix = floor(k_x / {MAP_STEP}) AND iy = floor(k_y / {MAP_STEP})""")
+def sensor_map(spark, d):
+    """Cells that hold a supplier, and the sensors (customers) that lie in them."""
+    points = proj.reproject(placed(spark, d, "supplier", "s_suppkey", "s_acctbal"), "lon", "lat", 4326, 5179, ("x", "y"))
+    cells = with_cell(points, "x", "y", 0.0, 0.0, MAP_STEP).select("ix", "iy").distinct()
+    grid = cells.withColumn("grid_id", F.col("ix").cast("long") * 1000 + F.col("iy"))
+    sensors = placed(spark, d, "customer", "c_custkey", "c_acctbal")
+    out = sensor_cells(sensors, grid, 0.0, 0.0, MAP_STEP)
+    return out.withColumns({c: F.round(c, 9) for c in ("lat", "lon")})
+
+
+@query("grid_lonlat", f"WITH {stage.CITY_SQL} SELECT grid_id, true AS in_korea, true AS back_agrees FROM grid")
+def cell_lonlat(spark, d):
+    """Lon and lat of each cell's centre, with the way back."""
+    grid = stage.city(spark, d)[0].withColumns({"cx": F.col("cx") + 955_000.0, "cy": F.col("cy") + 1_944_000.0})
+    back = proj.reproject(grid_lonlat(grid), "lon", "lat", 4326, 5179, ("bx", "by"))
+    agrees = (F.abs(F.col("bx") - F.col("cx")) < 1e-3) & (F.abs(F.col("by") - F.col("cy")) < 1e-3)
+    inside = F.col("lon").between(120, 135) & F.col("lat").between(30, 45)
+    return back.select("grid_id", inside.alias("in_korea"), agrees.alias("back_agrees"))

@@ -8,7 +8,8 @@ from geohour.functions.temporal import floor_hour
 from geohour.operators.shapes import ring_segments
 from geohour.session import run_dir
 from geohour.sources import delimited, storage
-from geohour.sources.features import read_feature_lines, read_geojson, square_feature
+from geohour.plans.dataset import write_dataset
+from geohour.sources.features import read_feature_lines, read_geojson, read_years, square_feature
 from geohour.sources.features import write_geojson as store_geojson
 from workload import stage
 from workload.registry import query, table
@@ -209,3 +210,24 @@ def upsert_max(spark, d):
     SELECT time, grid_id, arg_max(water_level, batch_id) AS water_level FROM b GROUP BY ALL""")
 def upsert_last(spark, d):
     return storage.resolve_last(batch_log(spark, d, "upsert-last"), ["time", "grid_id"])
+
+
+@query("read_years", "SELECT o_orderkey, o_orderdate FROM orders")
+def years(spark, d):
+    root = run_dir(spark, "years")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    orders.withColumn("year", F.year("o_orderdate")).write.partitionBy("year").parquet(root)
+    # The range names more years than there are folders.
+    return read_years(spark, f"{root}/year={{year}}", range(1985, 2031), spark.read.parquet)
+
+
+@query("stored_dataset", """
+    SELECT date_trunc('hour', ts) AS time, user_id AS grid_id, max(value) AS water_level,
+           strftime(date_trunc('hour', ts), '%Y-%m') AS month
+    FROM events GROUP BY ALL""")
+def stored_dataset(spark, d):
+    root = run_dir(spark, "dataset")
+    hours = table(spark, d, "events").groupBy(floor_hour("ts").alias("time"), F.col("user_id").alias("grid_id")).agg(
+        F.max("value").alias("water_level"))
+    write_dataset(hours, root)
+    return spark.read.schema(hours.schema.add("month", "string")).parquet(root)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from geohour.session import run_dir
 from geohour.sources import storage
+from geohour.sources.payload import readings_from_payload
 from geohour.sources.rest import PAYLOAD_ROOT, level_source
 from geohour.streaming import levels
 from workload.registry import query, table
@@ -60,25 +61,38 @@ def stream_enrich(spark, d):
     return finish(levels.enrich(readings, sensor_map(spark, d)), run_dir(spark, "stream-enrich"))
 
 
-@query("stream_hourly_max", """
+HOURLY_SQL = """
     SELECT date_trunc('hour', ts) AS time, CAST(s_nationkey AS BIGINT) AS grid_id, max(value) AS water_level
-    FROM events JOIN supplier ON user_id = s_suppkey GROUP BY ALL""")
+    FROM events JOIN supplier ON user_id = s_suppkey GROUP BY ALL"""
+BATCHES = 3
+
+
+def arrivals(rows, root, run):
+    """The rows arrive in BATCHES parts, by event id, so each part has rows older than the last's
+    newest. Each part is written and then streamed, as one batch of the same stream.
+    """
+    for part in range(BATCHES):
+        rows.where(F.pmod("event_id", F.lit(BATCHES)) == part).drop("event_id").write.mode("append").parquet(
+            f"{root}-in/part={part}")
+        run(rows.sparkSession.readStream.schema(rows.drop("event_id").schema).parquet(f"{root}-in/*")).awaitTermination()
+
+
+@query("stream_hourly_max", HOURLY_SQL)
 def stream_hourly_max(spark, d):
-    readings = event_stream(spark, d).select(
-        F.col("user_id").cast("string").alias("sensor_id"), "ts", F.col("value").alias("water_level")
-    )
-    located = levels.enrich(readings, sensor_map(spark, d)).where(F.col("grid_id").isNotNull())
-    hourly = levels.hourly_max_by_event_time(located, "ts", "water_level", "grid_id", "1 hour")
     root = run_dir(spark, "stream-hourly")
+    rows = table(spark, d, "events").select(
+        "event_id", F.col("user_id").cast("string").alias("sensor_id"), "ts", F.col("value").alias("water_level"))
+    sensors = sensor_map(spark, d)
 
-    # Update mode keeps the hours that the watermark has not closed yet.
-    def save(batch, batch_id):
-        storage.append_batch(batch, root, batch_id)
+    # Update mode hands out the hours that changed, also by late rows.
+    def run(readings):
+        located = levels.enrich(readings, sensors).where(F.col("grid_id").isNotNull())
+        hourly = levels.hourly_max_by_event_time(located, "ts", "water_level", "grid_id")
+        return hourly.writeStream.outputMode("update").foreachBatch(
+            lambda batch, batch_id: storage.append_batch(batch, root, batch_id)
+        ).option("checkpointLocation", f"{root}-checkpoint").trigger(availableNow=True).start()
 
-    q = hourly.writeStream.outputMode("update").foreachBatch(save).option(
-        "checkpointLocation", f"{root}-checkpoint"
-    ).trigger(availableNow=True).start()
-    q.awaitTermination()
+    arrivals(rows, root, run)
     return storage.resolve_last(storage.read_log(spark, root), ["time", "grid_id"])
 
 
@@ -89,17 +103,22 @@ UPSERT_SQL = """
          JOIN supplier ON user_id = s_suppkey GROUP BY 1, 2"""
 
 
-@query("stream_upsert", UPSERT_SQL)
+@query("stream_upsert", f"""
+    WITH b AS (
+      SELECT date_trunc('hour', ts) AS time, CAST(s_nationkey AS BIGINT) AS grid_id, event_id % {BATCHES} AS part,
+             max(CAST(value AS FLOAT)) AS water_level
+      FROM events JOIN supplier ON user_id = s_suppkey GROUP BY ALL)
+    SELECT time, grid_id, CAST(arg_max(water_level, part) AS FLOAT) AS water_level FROM b GROUP BY ALL""")
 def stream_upsert(spark, d):
-    readings = event_stream(spark, d).select(
-        F.col("user_id").cast("string").alias("sensor_id"),
+    rows = table(spark, d, "events").select(
+        "event_id", F.col("user_id").cast("string").alias("sensor_id"),
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("time"),
         F.col("value").cast("string").alias("water_level"),
     )
     root = run_dir(spark, "stream-upsert")
     sensors = sensor_map(spark, d)
-    q = levels.start_level_stream(readings, sensors, root, f"{root}-checkpoint", interval=None)
-    q.awaitTermination()
+    arrivals(rows, root, lambda readings: levels.start_level_stream(
+        readings, sensors, root, f"{root}-checkpoint", interval=None))
     return storage.resolve_last(storage.read_log(spark, root), ["time", "grid_id"])
 
 
@@ -163,6 +182,11 @@ READINGS_SQL = """
            strftime(ts, '%Y-%m-%d %H:%M:%S') AS time, event_type AS location FROM events"""
 
 
+@query("payload_readings", READINGS_SQL)
+def payload_readings(spark, d):
+    return readings_from_payload(spark.read.text(payload_store(spark, d)), "value")
+
+
 @query("rest_source", READINGS_SQL)
 def rest_source(spark, d):
     fetch, count = service(payload_store(spark, d))
