@@ -11,7 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import ArrayType, FloatType, IntegerType, StructType
+from pyspark.sql.types import ArrayType, IntegerType
 
 from geohour.llm.common import struct_type
 from geohour.llm.quality_rules import labelled_counts, struct_of
@@ -41,16 +41,31 @@ class _Buckets(dict):
         return got
 
 
-def hashed(text: bytes, cache: _Buckets) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, values): presence of each word, and each form's share of the words."""
+def hashed(text: bytes, cache: _Buckets) -> np.ndarray:
+    """Buckets present: its words, its forms with their share of the words, and how much repeats."""
     words = text.split()
     if not words:
-        return np.empty(0, np.int64), np.empty(0)
+        return np.empty(0, np.int64)
     pairs = np.array(list(map(cache.__getitem__, words)), np.int64)
     letters = np.unique(pairs[:, 0])
     forms, n = np.unique(pairs[:, 1], return_counts=True)
-    return (np.concatenate([letters, forms]),
-            np.concatenate([np.ones(len(letters)), 4.0 * n / len(words)]))
+    share = np.searchsorted((0.05, 0.3), n / len(words))
+    repeats = crc32(b"r%d" % (8 * (len(words) - len(letters)) // len(words) if len(words) >= 20 else -1)) % BUCKETS
+    return np.unique(np.concatenate([letters, (forms + share * 7919) % BUCKETS, [repeats]]))
+
+
+def telling(at: np.ndarray, doc: np.ndarray, low: np.ndarray, least_docs: int, least_z: float) -> np.ndarray:
+    """Buckets that the rows in `low` hold more often than the others, beyond chance.
+
+    Only these: a fault is a presence, and words of good texts, which are many in a long text,
+    must not make up for it.
+    """
+    n_low, n_high = max(int(low.sum()), 1), max(int((~low).sum()), 1)
+    in_low = np.bincount(at[low[doc]], minlength=BUCKETS)
+    in_high = np.bincount(at[~low[doc]], minlength=BUCKETS)
+    odds = np.log((in_low + 0.5) / (n_low + 1)) - np.log((in_high + 0.5) / (n_high + 1))
+    z = odds / np.sqrt(1 / (in_low + 0.5) + 1 / (in_high + 0.5))
+    return np.flatnonzero((z >= least_z) & (in_low + in_high >= least_docs))
 
 
 @dataclass
@@ -66,32 +81,33 @@ class Grader:
         return 1 / (1 + np.exp(-z))
 
 
-def fit_grader(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, grades: int = 3,
-               rounds: int = 150, rate: float = 0.1, l2: float = 3e-4, least_docs: int = 8) -> Grader:
-    """Maximum likelihood by Adam on all rows; buckets in fewer than `least_docs` rows stay 0.
+def fit_grader(rows: list[np.ndarray], y: np.ndarray, grades: int = 3, rounds: int = 500,
+               rate: float = 0.1, l2: float = 1e-4, least_docs: int = 5, least_z: float = 3.0) -> Grader:
+    """Maximum likelihood by Adam on all rows, over the buckets that tell grades apart.
 
-    Thresholds are a first value and positive steps, so they are ordered by construction. With
-    no rows the grader is neutral.
+    A bucket tells if it is more frequent below than above some threshold by `least_z` standard
+    errors; all others keep weight 0. Thresholds are a first value and positive steps, so they
+    are ordered by construction. With no rows the grader is neutral.
     """
     w = np.zeros(BUCKETS, np.float32)
     first, steps = -1.0, np.zeros(grades - 2)
     if not rows:
         return Grader(w, np.concatenate([[first], first + np.cumsum(np.exp(steps))]))
-    size = np.array([len(b) for b, _ in rows])
-    at = np.concatenate([b for b, _ in rows])
-    val = np.concatenate([v for _, v in rows])
+    size = np.array([len(b) for b in rows])
+    at = np.concatenate(rows).astype(np.int64)
     doc = np.repeat(np.arange(len(rows)), size)
-    used = np.flatnonzero(np.bincount(at, minlength=BUCKETS) >= least_docs)
+    used = np.unique(np.concatenate([
+        telling(at, doc, y < k, least_docs, least_z) for k in range(1, grades)]))
     place = np.full(BUCKETS, -1)
     place[used] = np.arange(len(used))
     keep = place[at] >= 0
-    at, val, doc = place[at[keep]], val[keep], doc[keep]
+    at, doc = place[at[keep]], doc[keep]
     theta = np.concatenate([np.zeros(len(used)), [first], steps])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     n, cut = len(rows), len(used)
     for t in range(1, rounds + 1):
         th = np.concatenate([[theta[cut]], theta[cut] + np.cumsum(np.exp(theta[cut + 1:]))])
-        score = np.bincount(doc, val * theta[at], n)
+        score = np.bincount(doc, theta[at], n)
         edge = np.concatenate([[-np.inf], th, [np.inf]])
         with np.errstate(over="ignore"):
             f = 1 / (1 + np.exp(score[:, None] - edge[None, :]))  # P(grade < each edge)
@@ -104,7 +120,7 @@ def fit_grader(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, grades:
         g_score = -by_edge.sum(axis=1)
         g_th = by_edge[:, 1:-1].sum(axis=0) / n
         grad = np.zeros_like(theta)
-        grad[:cut] = np.bincount(at, val * g_score[doc], cut) / n - l2 * theta[:cut]
+        grad[:cut] = np.bincount(at, g_score[doc], cut) / n - l2 * theta[:cut]
         grad[cut] = g_th.sum()
         for k in range(grades - 2):
             grad[cut + 1 + k] = g_th[k + 1:].sum() * np.exp(theta[cut + 1 + k])
@@ -115,27 +131,25 @@ def fit_grader(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, grades:
     return Grader(w, np.concatenate([[theta[cut]], theta[cut] + np.cumsum(np.exp(theta[cut + 1:]))]))
 
 
-@arrow_udf(StructType().add("at", ArrayType(IntegerType())).add("value", ArrayType(FloatType())))
+@arrow_udf(ArrayType(IntegerType()))
 def hash_texts(text: pa.Array) -> pa.Array:
     cache = _Buckets()
-    got = [hashed(t, cache) for t in text.fill_null("").cast(pa.binary()).to_pylist()]
-    return pa.StructArray.from_arrays(
-        [pa.array([g[0].astype(np.int32) for g in got], pa.list_(pa.int32())),
-         pa.array([g[1].astype(np.float32) for g in got], pa.list_(pa.float32()))], ["at", "value"])
+    got = [hashed(t, cache).astype(np.int32) for t in text.fill_null("").cast(pa.binary()).to_pylist()]
+    return pa.array(got, pa.list_(pa.int32()))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Grader:
     """A grader from at most `max_rows` labelled documents. Only hashed words reach the driver."""
     rows = (
         labelled_counts(docs, labels, ("quality", "toxic"), max_rows)
-        .select("doc_id", hash_texts("text").alias("h"), grade(F.col("__quality"), F.col("__toxic")).alias("y"))
-        .select("doc_id", "h.*", "y").toPandas().sort_values("doc_id", kind="stable")
+        .select("doc_id", hash_texts("text").alias("at"), grade(F.col("__quality"), F.col("__toxic")).alias("y"))
+        .toPandas().sort_values("doc_id", kind="stable")
     )
-    return fit_grader(list(zip(rows["at"], rows["value"])), rows["y"].to_numpy(int))
+    return fit_grader(list(rows["at"]), rows["y"].to_numpy(int))
 
 
 def grade_texts(docs: DataFrame, grader: Grader, out: str = "grading", text: str = "text",
-                least_grade: int = 2, least_tail: float = 0.5) -> DataFrame:
+                least_grade: int = 2, least_tail: float = 0.9) -> DataFrame:
     """`docs` and a struct column `out`: expected_grade, tail and selected.
 
     tail is P(grade >= `least_grade`), selected is tail >= `least_tail`. Whole texts are read;
@@ -149,8 +163,7 @@ def grade_texts(docs: DataFrame, grader: Grader, out: str = "grading", text: str
         g, cache = shared.value, _cache
         score = []
         for t in column.fill_null("").cast(pa.binary()).to_pylist():
-            at, value = hashed(t, cache)
-            score.append(float(g.weights[at] @ value) if len(at) else 0.0)
+            score.append(float(g.weights[hashed(t, cache)].sum()))
         tails = g.tails(np.array(score))
         tail = tails[:, least_grade - 1]
         return struct_of(pd.DataFrame({
