@@ -54,3 +54,10 @@ def day_bucket(c: Column | str, days: int) -> Column:
     """Calendar bucket number of fixed width."""
     since_epoch = F.datediff(col(c).cast("date"), F.lit("1970-01-01").cast("date"))
     return F.floor(since_epoch / F.lit(days)).cast("int")
+
+
+def hour_bucket(c: Column | str, hours: int) -> Column:
+    """Bucket number of so many clock hours, counted from the epoch."""
+    at = col(c).cast("timestamp_ntz")
+    since_epoch = F.datediff(at.cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 24 + F.hour(at)
+    return F.floor(since_epoch / F.lit(hours)).cast("long")

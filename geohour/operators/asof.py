@@ -1,14 +1,14 @@
 """As-of and validity-period lookups.
 
-Rows meet per (key, calendar bucket), not per key. What was in force when a bucket began is
-carried into it, so that no task holds more than one bucket of one key.
+Rows meet per (key, bucket of clock hours), not per key or day. What was in force when a bucket
+began is carried into it, so that no task holds more than one bucket of one key.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from geohour.functions.temporal import day_bucket
+from geohour.functions.temporal import day_bucket, hour_bucket
 
 
 def asof_join(
@@ -18,7 +18,7 @@ def asof_join(
     left_time: str,
     right_time: str,
     payload: list[str],
-    bucket_days: int = 1,
+    bucket_hours: int = 1,
     how: str = "left",
 ) -> DataFrame:
     """Backward as-of join: the last right row at or before the left time, exact match allowed.
@@ -33,14 +33,14 @@ def asof_join(
         .dropna(subset=keys)
         .groupBy(*keys, F.col(right_time).alias("_t"))
         .agg(F.max(F.struct(*payload)).alias("_p"))
-        .withColumn("_b", day_bucket("_t", bucket_days))
+        .withColumn("_b", hour_bucket("_t", bucket_hours))
     )
     # Copies of one (key, time) ask the same question: it is answered once.
     asked = (
         left.dropna(subset=[*keys, left_time])
         .select(*keys, F.col(left_time).alias("_t"))
         .distinct()
-        .withColumn("_b", day_bucket("_t", bucket_days))
+        .withColumn("_b", hour_bucket("_t", bucket_hours))
     )
     last = starts.groupBy(*keys, "_b").agg(F.max(F.struct("_t", "_p")).alias("_last"))
     no_last = F.lit(None).cast(last.schema["_last"].dataType)
@@ -98,9 +98,9 @@ def located_asof(
     return hit.where(F.col(time) < F.col(expired))
 
 
-def running_total(df: DataFrame, order: str, value: str, bucket_days: int, out: str) -> DataFrame:
+def running_total(df: DataFrame, order: str, value: str, bucket_hours: int, out: str) -> DataFrame:
     """Running sum over one global timeline in two levels: buckets first, then inside each."""
-    df = df.withColumn("_b", day_bucket(order, bucket_days))
+    df = df.withColumn("_b", hour_bucket(order, bucket_hours))
     per_bucket = df.groupBy("_b").agg(F.sum(value).alias("_v"))
     # One row per bucket: bounded by the calendar, so one task may hold them all.
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -122,7 +122,7 @@ def valid_periods(meta: DataFrame, start: str, expired: str) -> DataFrame:
     )
 
 
-def breakpoints(meta: DataFrame, start: str, expired: str, bucket_days: int = 1) -> DataFrame:
+def breakpoints(meta: DataFrame, start: str, expired: str, bucket_hours: int = 1) -> DataFrame:
     """Every start or expiry at which at least one row is active, with the number active.
 
     A breakpoint with nobody active is left out: the period before it stays in force.
@@ -133,20 +133,20 @@ def breakpoints(meta: DataFrame, start: str, expired: str, bucket_days: int = 1)
         F.col(expired).alias("period_start"), F.lit(-1).alias("_d")
     )
     steps = opens.unionByName(closes).groupBy("period_start").agg(F.sum("_d").alias("_d"))
-    total = running_total(steps, "period_start", "_d", bucket_days, "n_active")
+    total = running_total(steps, "period_start", "_d", bucket_hours, "n_active")
     return total.where(F.col("n_active") > 0).select("period_start", "n_active")
 
 
 def period_lookup(
     times: DataFrame, time: str, meta: DataFrame, start: str, expired: str,
-    bucket_days: int = 1,
+    bucket_hours: int = 1,
 ) -> DataFrame:
     """Add the period in force (its start and number of active rows) to each row of `times`.
 
     Rows before the first period are dropped.
     """
-    points = breakpoints(meta, start, expired, bucket_days)
-    return asof_join(times, points, [], time, "period_start", ["n_active"], bucket_days, "inner")
+    points = breakpoints(meta, start, expired, bucket_hours)
+    return asof_join(times, points, [], time, "period_start", ["n_active"], bucket_hours, "inner")
 
 
 def active_at(

@@ -49,7 +49,7 @@ def relevant_hours(rain: DataFrame, flood: DataFrame) -> DataFrame:
 def gridded_rain(
     rain: DataFrame, stations: DataFrame, cells: DataFrame, flood: DataFrame,
     k: int = NEIGHBOURS, radius: float = RADIUS, features: tuple[str, ...] = RAIN_FEATURES,
-    bucket_days: int = 1,
+    bucket_hours: int = 1, bucket_days: int = 1,
 ) -> DataFrame:
     """Rain features on every cell that was ever flooded, at every relevant hour with readings.
 
@@ -65,8 +65,8 @@ def gridded_rain(
     # Hours before the first period have no row; an hour keeps the latest period with anyone in it.
     hours = materialize(asof_join(
         rows.select("time").distinct(),
-        breakpoints(meta, "start_date", "expired_date", bucket_days),
-        [], "time", "period_start", ["n_active"], bucket_days, "inner",
+        breakpoints(meta, "start_date", "expired_date", bucket_hours),
+        [], "time", "period_start", ["n_active"], bucket_hours, "inner",
     ).select("time", "period_start"), "hour-periods")
     # One number per period: as many as hours at most, so the calendar bounds them.
     steps = hours.withColumn("step", F.dense_rank().over(Window.orderBy("period_start")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from functools import reduce
 from urllib.parse import unquote
@@ -101,7 +102,17 @@ def file_heads(spark: SparkSession, path: str) -> list[Row]:
 
 
 def _fields(head: str) -> tuple[str, ...]:
-    return tuple(n.strip().strip('"') for n in head.lstrip(BYTE_ORDER_MARK).split(","))
+    """Names of a header line, quoted ones whole. A name that was there before gets a number."""
+    names, seen = [], set()
+    for raw in next(csv.reader([head.lstrip(BYTE_ORDER_MARK)], skipinitialspace=True), []):
+        base = name = raw.strip()
+        n = 0
+        while name.lower() in seen:
+            n += 1
+            name = f"{base}.{n}"
+        seen.add(name.lower())
+        names.append(name)
+    return tuple(names)
 
 
 def _grouped(heads: list[Row]) -> dict[tuple[str, tuple[str, ...]], list[str]]:

@@ -72,6 +72,13 @@ def test_standardize_prefers_first_spelling_with_a_value(spark):
     assert (r.unq_no, r.se_nm, r.se_cd, r.source_file) == ("1", "x", None, None)
 
 
+def test_headers_with_quotes_and_repeats(spark, tmp_path):
+    put(str(tmp_path), "q/a.csv", '"a","b,c",a,A\n1,2,3,4\n')
+    out = read_csv_any_charset(spark, str(tmp_path / "q")).drop("source_file")
+    assert out.columns == ["a", "b,c", "a.1", "A.2"]
+    assert rows(out) == [("1", "2", "3", "4")]
+
+
 def test_geojson_collection_and_lines(spark, tmp_path):
     features = [
         {"type": "Feature", "properties": {"CONT": "10", "n": 1},

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from geohour.functions.temporal import (
+    hour_bucket,
     LEGACY_LEVEL_FORMAT, floor_hour, next_midnight, parse_time, plus_hours,
 )
 from geohour.operators.asof import asof_join, breakpoints, located_asof, period_lookup
@@ -149,3 +150,14 @@ def test_parse(spark):
         (dt(2012, 5, 1), None), (None, dt(2020, 8, 1)), (None, dt(2020, 8, 1)),
         (None, dt(2020, 8, 1, 5, 6)), (None, dt(2020, 8, 1, 5, 6)),
         (None, dt(2020, 8, 1, 5, 6, 7, 250000)), (None, dt(2020, 8, 1, 5)), (None, None), (None, None)]
+
+
+def test_asof_on_one_day_and_key_uses_many_tasks(spark):
+    """A million times of one key on one day: no task of the windows holds a third of them."""
+    at = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 0.08)")
+    left = spark.range(1_000_000).select(F.lit(1).alias("k"), at.alias("t"))
+    right = spark.range(0, 1_000_000, 100).select(F.lit(1).alias("k"), at.alias("s"), F.col("id").alias("v"))
+    out = asof_join(left, right, ["k"], "t", "s", ["v"])
+    assert out.agg(F.count("v"), F.countDistinct("v")).first()[:] == (1_000_000, 10_000)
+    sizes = [r["count"] for r in left.groupBy(hour_bucket("t", 1).alias("b")).count().collect()]
+    assert len(sizes) > 20 and max(sizes) < 0.06 * 1_000_000
