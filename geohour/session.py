@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -18,10 +19,18 @@ RUNTIME_CONF = {
 }
 
 
+# Where this package lies; Python workers look for it there, wherever the driver was started.
+PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to an existing session."""
+    """Apply the runtime settings to an existing session, and let its workers find the package."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    env = spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if PACKAGE_ROOT not in known:
+        env["PYTHONPATH"] = os.pathsep.join([*known, PACKAGE_ROOT])
     return spark
 
 
