@@ -19,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from geohour.operators.cells import Bounds, bounds_of, with_cell
 from geohour.operators.shapes import edge_cells, point_segment_distance2, segment_bounds
+from geohour.session import materialize
 
 
 def _union_bounds(a: Bounds, b: Bounds) -> Bounds:
@@ -128,13 +129,17 @@ def _fine_step(segments: DataFrame, b: Bounds, step: float, crowd: int = 256) ->
     segments into very many cells. Only the work depends on it, not the result.
     """
     extent = max(b.max_x - b.min_x, b.max_y - b.min_y)
+    length = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
+    n, longest = segments.agg(F.count(F.lit(1)), F.max(length)).first()
     for _ in range(6):
         cells = edge_cells(segments.select("x1", "y1", "x2", "y2"), b.min_x, b.min_y, step)
         per_cell = cells.groupBy("ix", "iy").count()
         fullest, cut = per_cell.agg(F.max("count"), F.sum("count")).first()
-        if fullest <= crowd or extent / step > 2**26 or cut > 16 * segments.count():
+        # What the next step would cut a segment into is known before it is tried.
+        finer = step / 8
+        if fullest <= crowd or extent / finer > 2**26 or longest / finer > 2**16 or cut > 16 * n:
             break
-        step = step / 8
+        step = finer
     return step
 
 
@@ -161,9 +166,14 @@ def nearest_distance(
     touched = edge_cells(segments.select(*shape), b.min_x, b.min_y, step)
     occupied = touched.groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("n"))
     chosen, candidates = _candidate_cells(located, occupied, 1, top, step, None, [])
+    candidates = materialize(candidates, "candidate-cells")
     wanted = candidates.select("level", F.col("ox").alias("cx"), F.col("oy").alias("cy")).distinct()
+    # Segments are repeated for the levels in use only; their number is bounded by the extent.
+    levels = sorted(r.level for r in candidates.select("level").distinct().collect())
+    at_levels = touched.withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels or [0]]))).withColumns({
+        "cx": F.expr("shiftright(ix, level)"), "cy": F.expr("shiftright(iy, level)")})
     placed = (
-        _lift(touched, top)
+        at_levels
         .join(wanted, ["level", "cx", "cy"], "left_semi")
         .select("level", F.col("cx").alias("ox"), F.col("cy").alias("oy"), *shape)
         .distinct()

@@ -70,12 +70,26 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_scratch: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
     For tables that several later steps read: it cuts their lineage, survives lost executors,
-    and gives the planner true sizes.
+    and gives the planner true sizes. `clear_scratch` deletes it.
     """
     path = run_dir(df.sparkSession, name)
+    _scratch.append(path)
     df.write.option("compression", "snappy").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this process; only for when no result still reads them."""
+    conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    n = len(_scratch)
+    while _scratch:
+        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from geohour.operators.tables import hourly_max, keep_last
+from geohour.session import materialize
 
 
 def _fs(spark: SparkSession, path: str):
@@ -90,6 +91,23 @@ def resolve_last(log: DataFrame, keys: list[str]) -> DataFrame:
     return keep_last(log, keys, "batch_id").drop("batch_id")
 
 
+def compact_log(spark: SparkSession, root: str, keys: list[str], value: str | None = None) -> None:
+    """Put the batches of a log together: the largest `value` of a key stays, else its last row.
+
+    The result takes the number of the last batch, so reads that resolve by batch agree before,
+    between and after the steps, and a run that broke off can run again.
+    """
+    log = read_log(spark, root)
+    last = log.agg(F.max("batch_id")).first()[0]
+    whole = resolve_max(log.drop("batch_id"), keys, value) if value else resolve_last(log, keys)
+    append_batch(materialize(whole, "compacted-log"), root, last)
+    fs, p = _fs(spark, root)
+    for status in fs.listStatus(p):
+        name = status.getPath().getName()
+        if name.startswith("batch_id=") and int(name[9:]) < last:
+            fs.delete(status.getPath(), True)
+
+
 def compact_chunks(spark: SparkSession, source: str, target: str, order: list[str],
                    glob: str = "*.parquet") -> None:
     """Merge chunk files into one dataset sorted by `order`.

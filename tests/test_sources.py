@@ -166,6 +166,12 @@ def test_upserts(spark, tmp_path):
         assert rows(storage.resolve_max(log, ["grid_id"], "water_level")) == [(1, 5.0), (2, 1.0)]
         assert rows(storage.resolve_last(log, ["grid_id"])) == [(1, 2.0), (2, 1.0)]
         storage.append_batch(two, root, 2)  # a replay changes nothing
+    storage.compact_log(spark, root, ["grid_id"])
+    assert os.listdir(root) == ["batch_id=2"]
+    assert rows(storage.resolve_last(storage.read_log(spark, root), ["grid_id"])) == [(1, 2.0), (2, 1.0)]
+    storage.append_batch(spark.createDataFrame([(2, 7.0)], "grid_id int, water_level double"), root, 3)
+    storage.compact_log(spark, root, ["grid_id"])
+    assert rows(storage.resolve_last(storage.read_log(spark, root), ["grid_id"])) == [(1, 2.0), (2, 7.0)]
 
 
 def test_compaction_sorts(spark, tmp_path):
