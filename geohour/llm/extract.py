@@ -325,8 +325,11 @@ def fit(pages: DataFrame, body: str = "html", page_id: str = "page_id", max_page
 
     Labels are `weak_label`. The sample is bounded by `max_pages`, so it fits the driver.
     """
-    rows = (pages.where(F.col(body).isNotNull()).select(page_id, body)
-            .orderBy(F.xxhash64(page_id), page_id, F.xxhash64(body)).limit(max_pages).collect())
+    # Only ids are compared across tasks; pages themselves come for the chosen ids alone.
+    chosen = pages.where(F.col(body).isNotNull()).select(F.col(page_id).alias("__id")).distinct().orderBy(
+        F.xxhash64("__id"), "__id").limit(max_pages)
+    rows = pages.select(page_id, body).where(F.col(body).isNotNull()).join(
+        F.broadcast(chosen), F.col(page_id) == F.col("__id")).groupBy(page_id).agg(F.min(body)).orderBy(page_id).collect()
     rng = np.random.default_rng(seed)
     texts = [r[1] for r in rows] + [made_page(rng) for _ in range(made)]
     parsed = [b for b in map(blocks_of, texts) if b]
