@@ -47,5 +47,5 @@ def test_duplicates_and_nulls(spark):
 def test_quantiles_with_infinities(spark):
     values = [float("inf")] * 20 + [float("-inf")] * 5 + [float(i) for i in range(75)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    row = exact_quantiles(df, "v", {"q25": 0.25, "q50": 0.5, "q90": 0.9}).first()
+    row = profile.exact_quantiles(df, "v", {"q25": 0.25, "q50": 0.5, "q90": 0.9}).first()
     assert row.q50 == 44.5 and row.q90 == float("inf") and 19 <= row.q25 <= 20
