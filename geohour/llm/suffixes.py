@@ -376,14 +376,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """
     base = docs.select("doc_id", F.hash("text").alias("text_key"), "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    anchors = base.select("doc_id", "text_key", "text").mapInArrow(
-        _anchor_rows, f"kmer long, around long, doc_id {id_type}, text_key int, pos int").repartition("kmer")
-    # Both uses read one shuffle, for which both must ask for all of its columns. A frequent kmer
-    # is streamed by its task, never held.
+    anchors = materialize(base.select("doc_id", "text_key", "text").mapInArrow(
+        _anchor_rows, f"kmer long, around long, doc_id {id_type}, text_key int, pos int"), "anchors")
+    # Counted per task before the shuffle; the join may split the rows of a frequent kmer.
     twice = anchors.groupBy("kmer").agg(
-        F.count("*").alias("n"), F.min("around").alias("low"), F.max("around").alias("high"),
-        F.max(F.xxhash64("doc_id", "text_key", "pos")).alias("some")).where("n > 1 AND some IS NOT NULL")
-    shared = materialize(anchors.join(twice.hint("shuffle_hash"), "kmer").select(
+        F.count("*").alias("n"), F.min("around").alias("low"), F.max("around").alias("high")).where("n > 1")
+    shared = materialize(anchors.join(twice, "kmer").select(
         F.when(F.col("low") < F.col("high"), F.col("kmer")).alias("kmer"),
         F.when(F.col("low") < F.col("high"), F.col("around")).alias("around"), "doc_id", "text_key", "pos"),
         "shared-anchors")
