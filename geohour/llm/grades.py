@@ -149,11 +149,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> G
 
 
 def grade_texts(docs: DataFrame, grader: Grader, out: str = "grading", text: str = "text",
-                least_grade: int = 2, least_tail: float = 0.9) -> DataFrame:
+                least_grade: int = 2, least_share: float = 0.92) -> DataFrame:
     """`docs` and a struct column `out`: expected_grade, tail and selected.
 
-    tail is P(grade >= `least_grade`), selected is tail >= `least_tail`. Whole texts are read;
-    a null or empty text has score 0. Each row is graded alone, so repeated rows agree; other
+    tail is P(grade >= `least_grade`); a text is selected if its tail is at least `least_share`
+    of the tail of a text without any telling word, whatever the shares of the grades among the
+    labels. Whole texts are read; a null or empty text has score 0. Each row is graded alone, so repeated rows agree; other
     columns pass through whatever their names, as long as `out` is free.
     """
     shared = docs.sparkSession.sparkContext.broadcast(grader)  # BUCKETS weights
@@ -167,7 +168,8 @@ def grade_texts(docs: DataFrame, grader: Grader, out: str = "grading", text: str
         tails = g.tails(np.array(score))
         tail = tails[:, least_grade - 1]
         return struct_of(pd.DataFrame({
-            "expected_grade": tails.sum(axis=1), "tail": tail, "selected": tail >= least_tail}))
+            "expected_grade": tails.sum(axis=1), "tail": tail,
+            "selected": tail >= least_share * g.tails(np.zeros(1))[0, least_grade - 1]}))
 
     return docs.withColumn(out, graded(F.col(text)))
 
