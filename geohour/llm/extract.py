@@ -19,6 +19,7 @@ MAX_TRAIN_PAGES = 150  # pages of the table that the fit may read, the first by
 MADE_PAGES = 250  # pages that the generator adds
 TRAIN_BLOCKS = 160  # training cuts longer pages into stretches of so many blocks
 ROUNDS = 14
+CACHED_WORDS = 200_000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -117,14 +118,28 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     return got
 
 
+class _WordBuckets(dict):
+    """Word to its bucket."""
+
+    def __missing__(self, word: str) -> int:
+        got = crc32(word.encode(errors="replace")) % WORDS
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        self[word] = got
+        return got
+
+
+_word_buckets = _WordBuckets()
+
+
 def vectors(blocks: list[Block]) -> np.ndarray:
-    """One row per block: hashed tag path, hashed words, and shares of the text."""
+    """One row per block: hashed tag path, all of its words hashed, and shares of the text."""
     x = np.zeros((len(blocks), PATH + WORDS + 8), np.float32)
     for i, b in enumerate(blocks):
         x[i, :PATH] = _path_vector(b.path)
         words = b.text.split(" ")
-        codes = np.fromiter((crc32(w.encode(errors="replace")) for w in words[:64]), np.int64, min(len(words), 64))
-        x[i, PATH:PATH + WORDS] = np.bincount(codes % WORDS, minlength=WORDS) / len(codes)
+        codes = np.fromiter(map(_word_buckets.__getitem__, words), np.int64, len(words))
+        x[i, PATH:PATH + WORDS] = np.bincount(codes, minlength=WORDS) / len(words)
         n = len(b.text)
         x[i, PATH + WORDS:] = (
             np.log1p(n) / 6, np.log1p(len(words)) / 5, b.linked / n, sum(map(b.text.count, ".,;!?")) / n * 10,

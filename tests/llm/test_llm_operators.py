@@ -176,6 +176,13 @@ def test_labeller_on_pages_it_has_not_seen():
     assert np.mean(np.concatenate([(a >= 0.5) == b for a, b in zip(p, y[180:])])) > 0.97
 
 
+def test_all_words_of_a_block_are_hashed():
+    same = " ".join(f"w{i}" for i in range(64))
+    a, b = (extract.vectors([extract.Block(("p",), f"{same} {rest}", 0)])[0, extract.PATH:extract.PATH + extract.WORDS]
+            for rest in ("one " * 40 + "end", "two " * 40 + "end"))
+    assert abs(a - b).sum() > 0.5 and abs(a.sum() - 1) < 1e-5
+
+
 def test_lstm_gradient():
     rng = np.random.default_rng(3)
     w = rng.normal(0, 0.3, (5 + extract.HIDDEN + 1, 4 * extract.HIDDEN))
