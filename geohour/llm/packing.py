@@ -10,13 +10,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from geohour.session import materialize
 
 SEQUENCE = 1024
 WINDOW_SEQUENCES = 64  # sequences of one window; each window meets the token proportions
-MAX_QUEUES = 4096  # more sources share queues by hash
+DENSE_QUEUES = 4096  # so many queues are laid out in memory; places of more are summed by Spark
+QUEUE_BLOCKS = 256  # queues of one window are summed in so many blocks, by hash
+WINDOW_BLOCK = 4096  # windows, or tokens of a queue, that are summed or listed at once
 END_ID = 0
 VOCABULARY = "byte_bpe_50k"
 CACHED_WORDS = 300_000
@@ -149,55 +151,171 @@ class Rounds:
     window. So after r windows queue s has served min(c_s, floor(w_s v_r)) tokens, where v_r
     is the time at which the queues together have served r windows. As this is a function of r
     alone, each task lays out its own documents with the deficits of all windows before them.
+
+    Queues without a target weigh their own tokens, so they run dry together and count as one
+    here: only the queues that `targets` names are listed, whatever the number of queues.
     """
 
-    counts: np.ndarray  # tokens of each queue
-    weights: np.ndarray
+    total: int  # tokens of all queues
     window: int
+    targets: dict[str, float]
+    named: dict[str, int]  # tokens of the queues that have a target
 
     def __post_init__(self):
-        self.total = int(self.counts.sum())
-        dry = self.counts / self.weights  # when each queue runs dry
+        counts = np.array([*self.named.values(), self.total - sum(self.named.values())], np.int64)
+        weights = np.append(self.weight(list(self.named), counts[:-1]), counts[-1] / self._unit())
+        counts, weights = counts[counts > 0], weights[counts > 0]
+        dry = counts / weights  # when each queue runs dry
         order = np.argsort(dry, kind="stable")
         self.dry = dry[order]
-        gone = np.concatenate([[0], np.cumsum(self.counts[order])])
-        rate = np.concatenate([np.cumsum(self.weights[order][::-1])[::-1], [0]])
+        gone = np.concatenate([[0], np.cumsum(counts[order])])
+        rate = np.concatenate([np.cumsum(weights[order][::-1])[::-1], [0]])
         self.at = gone[:-1] + self.dry * rate[:-1]  # tokens served when each runs dry
         self.gone, self.rate = gone, rate
 
+    def _unit(self) -> float:
+        """What the tokens of a queue without a target are divided by: weights are shares if any has one."""
+        return float(self.total) if self.targets else 1.0
+
+    def weight(self, queues: list[str], counts: np.ndarray) -> np.ndarray:
+        own = counts / self._unit()
+        if not self.targets:
+            return own
+        return np.array([max(self.targets[q], 1e-12) if q in self.targets else w for q, w in zip(queues, own)], float)
+
     def time(self, served: np.ndarray) -> np.ndarray:
         k = np.searchsorted(self.at, served, side="left")
         k = np.minimum(k, len(self.dry) - 1)
         return (served - self.gone[k]) / self.rate[k]
 
-    def served(self, queue: np.ndarray, window: np.ndarray) -> np.ndarray:
-        """Tokens that `queue` has served before `window`."""
+    def served(self, count: np.ndarray, weight: np.ndarray, window: np.ndarray) -> np.ndarray:
+        """Tokens that queues of so many tokens and such weights have served before `window`."""
         start = window.astype(np.float64) * self.window
-        got = np.floor(self.weights[queue] * self.time(start)).astype(np.int64)
-        got = np.where(start >= self.total, self.counts[queue], np.minimum(got, self.counts[queue]))
+        got = np.floor(weight * self.time(start)).astype(np.int64)
+        got = np.where(start >= self.total, count, np.minimum(got, count))
         return np.where(window <= 0, 0, got)
 
-    def window_of(self, queue: np.ndarray, token: np.ndarray) -> np.ndarray:
+    def window_of(self, count: np.ndarray, weight: np.ndarray, token: np.ndarray) -> np.ndarray:
         """The window in which a queue serves its token of this number."""
-        time = token / self.weights[queue]
+        time = token / weight
         k = np.searchsorted(self.dry, time, side="left")
         k = np.minimum(k, len(self.dry) - 1)
         guess = ((self.gone[k] + time * self.rate[k]) // self.window).astype(np.int64)
         for _ in range(64):  # rounding moves a guess by a window at most
-            low = self.served(queue, guess) > token
-            high = self.served(queue, guess + 1) <= token
+            low = self.served(count, weight, guess) > token
+            high = self.served(count, weight, guess + 1) <= token
             if not (low | high).any():
                 break
             guess = guess - low + high
         return guess
 
-    def base(self, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(windows, place, of): where each queue's tokens of each window begin in the output."""
-        unique, of = np.unique(window, return_inverse=True)
-        q = np.arange(len(self.counts))
-        now = self.served(q[None, :], unique[:, None])
-        size = self.served(q[None, :], unique[:, None] + 1) - now
-        return unique, now.sum(axis=1)[:, None] + np.cumsum(size, axis=1) - size, of
+
+def _block(queue: str = "queue") -> Column:
+    return F.pmod(F.xxhash64(queue), F.lit(QUEUE_BLOCKS))
+
+
+def _places(queues: DataFrame, rounds: Rounds) -> DataFrame:
+    """(queue, window, place): where each queue's tokens of each window begin in the output.
+
+    Only windows in which the queue serves a token have a row, so there are no more rows than
+    pieces of documents. Places are running sums over windows and, inside each, over blocks of
+    queues and the queues of a block; no task sums more than a block.
+    """
+    windows = -(-rounds.total // rounds.window)
+
+    def run(batches):
+        for batch in batches:
+            names, counts, steps = (batch.column(i).to_pylist() for i in range(3))
+            weights = rounds.weight(names, np.array(counts, np.int64))
+            out = []
+            for q, c, step, weight in zip(names, counts, steps, weights):
+                def whole(x):
+                    return np.full(len(x), c), np.full(len(x), weight)
+
+                at = np.arange(step * WINDOW_BLOCK, min((step + 1) * WINDOW_BLOCK, windows if c > windows else c))
+                if c <= windows:  # few tokens: the windows of each, if not that of the token before
+                    near = np.concatenate([at[:1] - 1, at])
+                    w = rounds.window_of(*whole(near), np.maximum(near, 0))
+                    at = w[1:][(w[1:] != w[:-1]) | (near[1:] == 0)]
+                size = rounds.served(*whole(at), at + 1) - rounds.served(*whole(at), at)
+                at, size = at[size > 0], size[size > 0]
+                out.append((np.full(len(at), q, object), at, size))
+                if sum(len(o[1]) for o in out) >= 16 * WINDOW_BLOCK:
+                    yield _spans(out)
+                    out = []
+            if out:
+                yield _spans(out)
+
+    def _spans(out):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([o[0] for o in out]), pa.string()), *(
+                pa.array(np.concatenate([o[i] for o in out]), pa.int64()) for i in (1, 2))], ["queue", "window", "size"])
+
+    steps = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(
+        (F.least(F.col("n"), F.lit(windows)) - 1) / WINDOW_BLOCK).cast("long"))).alias("step")
+    spans = materialize(
+        queues.select("queue", "n", steps).repartition("queue", "step").mapInArrow(
+            run, "queue string, window long, size long").withColumn("block", _block()), "queue-windows")
+    blocks = spans.groupBy("window", "block").agg(F.sum("size").alias("size"))
+    wide = materialize(spans.groupBy("window").agg(F.sum("size").alias("size")).withColumn(
+        "group", F.floor(F.col("window") / WINDOW_BLOCK)), "window-sums")
+    groups = _running(wide.groupBy("group").agg(F.sum("size").alias("size")), [], "group", "far").drop("size")
+    starts = _running(wide, ["group"], "window", "near").join(groups, "group").select("window", "far", "near")
+    ahead = _running(blocks, ["window"], "block", "ahead").drop("size").join(starts, "window")
+    return _running(spans, ["window", "block"], "queue", "own").join(ahead, ["window", "block"]).select(
+        "queue", "window", (F.col("far") + F.col("near") + F.col("ahead") + F.col("own")).alias("place"))
+
+
+def _running(rows: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
+    """`rows` and the sum of `size` over the rows before, as `name`."""
+    over = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn(name, F.coalesce(F.sum("size").over(over), F.lit(0)))
+
+
+_CUT = ["doc_id", "doc_tokens", "queue", "window", "start", "skip", "ids"]
+
+
+def _cut(batch: pa.RecordBatch, rounds: Rounds) -> tuple[list, list[np.ndarray]]:
+    """Documents cut at windows: (doc_id, doc_tokens, queue) columns, and arrays (document, window, its first token
+    in the document, tokens, tokens of the queue's part of the window before it)."""
+    col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+    n = col["n"].to_numpy()
+    first = col["before"].to_numpy() + col["base"].to_numpy()
+    count = col["total"].to_numpy()
+    weight = rounds.weight(col["queue"].to_pylist(), count)
+    w0, w1 = rounds.window_of(count, weight, first), rounds.window_of(count, weight, first + n - 1)
+    size = w1 - w0 + 1
+    row = np.repeat(np.arange(len(n)), size)
+    w = w0[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    low = rounds.served(count[row], weight[row], w)
+    a = np.maximum(first[row], low)
+    b = np.minimum(first[row] + n[row], rounds.served(count[row], weight[row], w + 1))
+    has = b > a
+    row, w, low, a, b = row[has], w[has], low[has], a[has], b[has]
+    return [col["doc_id"], col["n"], col["queue"]], [row, w, a - first[row], b - a, a - low]
+
+
+def _lay(docs: list, row, w, start, length, pos, raw, skip, sequence: int) -> pa.RecordBatch:
+    """Output rows of pieces that begin at `pos`; their ids begin `skip` tokens into raw[row]."""
+    s0, s1 = pos // sequence, (pos + length - 1) // sequence
+    size = s1 - s0 + 1
+    piece = np.repeat(np.arange(len(row)), size)
+    s = s0[piece] + np.arange(len(piece)) - np.repeat(np.cumsum(size) - size, size)
+    begin = np.maximum(pos[piece], s * sequence)
+    end = np.minimum(pos[piece] + length[piece], (s + 1) * sequence)
+    doc = row[piece]
+    ahead, length = begin - pos[piece], end - begin
+    crc, now, wide = np.empty(len(doc), np.int64), -1, b""
+    for i, (d, x, m) in enumerate(zip(doc.tolist(), (skip[piece] + ahead).tolist(), length.tolist())):
+        if d != now:
+            now, wide = d, memoryview(np.frombuffer(raw[d].as_buffer(), "<u2").astype("<u4").tobytes())
+        crc[i] = zlib.crc32(wide[4 * x:4 * (x + m)])
+    take = pa.array(doc)
+    doc_id, n, queue = docs
+    return pa.RecordBatch.from_arrays([
+        doc_id.take(take), pa.array(start[piece] + ahead), pa.array(length), pa.array(crc), n.take(take), pa.array(s),
+        pa.array(begin - s * sequence), queue.take(take), pa.array(w[piece])],
+        ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "window"])
 
 
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, sequence: int = SEQUENCE,
@@ -211,71 +329,73 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, sequence: int = SEQUENCE
     own tokens, so all queues end together. A queue that runs dry leaves its share to the
     others. Windows lie end to end, so only the very last sequence is shorter than `sequence`.
 
-    Null and empty texts are their END_ID alone; null and empty sources are one queue. More
-    than MAX_QUEUES sources are folded into that many queues by hash. Equal rows are packed
-    each for itself; other columns are not read. An empty table gives no rows.
+    Null and empty texts are their END_ID alone; null and empty sources are one queue. Every
+    source has its own queue, however many there are: beyond DENSE_QUEUES their places are
+    summed by Spark and documents travel cut at windows, with the same result. Equal rows are
+    packed each for itself; other columns are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    known = docs.select("source").distinct().limit(MAX_QUEUES + 1).count()
-    source = F.col("source") if known <= MAX_QUEUES else F.concat(
-        F.lit("#"), F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)).cast("string"))
-    tokens = tokenize(docs.select("doc_id", source.alias("source"), "text"), vocabulary)
+    tokens = tokenize(docs, vocabulary)
     sums = materialize(tokens.groupBy("queue", "part").agg(F.sum("n").alias("n")), "queue-sums")
     ahead = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select("queue", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
-    # One row per queue: at most MAX_QUEUES.
-    queues = [(r.queue, r.n) for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).orderBy("queue").collect()]
-    schema = (f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, "
+    every = Window.partitionBy("queue")
+    bases = sums.select("queue", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"),
+                        F.sum("n").over(every).alias("total"))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    schema = (f"doc_id {id_type}, start long, length long, ids_crc32 long, "
               "doc_tokens long, sequence_id long, offset long, source string, window long")
-    if not queues:
+    queues = materialize(sums.groupBy("queue").agg(F.sum("n").alias("n")), "queues")
+    known, total = queues.agg(F.count("*"), F.sum("n")).first()
+    if not known:
         return spark.createDataFrame([], schema)
-    counts = np.array([n for _, n in queues], np.int64)
-    weights = counts.astype(float)
-    if targets:
-        share = weights / weights.sum()
-        weights = np.array([max(targets.get(q, s), 1e-12) for (q, _), s in zip(queues, share)])
-    rounds = Rounds(counts, weights, sequence * window_sequences)
-    number = {q: i for i, (q, _) in enumerate(queues)}
-
-    def run(batches):
+    targets = targets or {}
+    named = {}
+    if targets:  # only queues that the caller's dict names come to the driver
+        wanted = spark.createDataFrame([(q,) for q in targets], "queue string")
+        named = {r.queue: r.n for r in queues.join(F.broadcast(wanted), "queue").orderBy("queue").collect()}
+    rounds = Rounds(total, sequence * window_sequences, targets, named)
+    placed = tokens.join(bases, ["queue", "part"])
+    if known <= DENSE_QUEUES:
+        rows = queues.orderBy(_block(), "queue").collect()  # at most DENSE_QUEUES
+        names, counts = [r.queue for r in rows], np.array([r.n for r in rows], np.int64)
+        weights, number = rounds.weight(names, counts), {q: i for i, q in enumerate(names)}
+
+        def run(batches):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                cols, (row, w, start, length, skip) = _cut(batch, rounds)
+                unique, of = np.unique(w, return_inverse=True)
+                now = rounds.served(counts[None, :], weights[None, :], unique[:, None])
+                size = rounds.served(counts[None, :], weights[None, :], unique[:, None] + 1) - now
+                place = now.sum(axis=1)[:, None] + np.cumsum(size, axis=1) - size
+                q = np.array([number[x] for x in cols[2].to_pylist()])
+                yield _lay(cols, row, w, start, length, place[of, q[row]] + skip,
+                           batch.column(batch.schema.get_field_index("ids")), start, sequence)
+
+        return placed.mapInArrow(run, schema)
+
+    def cut(batches):
         for batch in batches:
-            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             if not batch.num_rows:
                 continue
-            n = col["n"].to_numpy()
-            first = col["before"].to_numpy() + col["base"].to_numpy()
-            q = np.array([number[x] for x in col["queue"].to_pylist()])
-            w0, w1 = rounds.window_of(q, first), rounds.window_of(q, first + n - 1)
-            size = w1 - w0 + 1
-            row = np.repeat(np.arange(len(n)), size)
-            w = w0[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            low = rounds.served(q[row], w)
-            a = np.maximum(first[row], low)
-            b = np.minimum(first[row] + n[row], rounds.served(q[row], w + 1))
-            has = b > a
-            row, w, low, a, b = row[has], w[has], low[has], a[has], b[has]
-            _, place, of = rounds.base(w)
-            pos = place[of, q[row]] + a - low
-            s0, s1 = pos // sequence, (pos + (b - a) - 1) // sequence
-            size = s1 - s0 + 1
-            piece = np.repeat(np.arange(len(row)), size)
-            s = s0[piece] + np.arange(len(piece)) - np.repeat(np.cumsum(size) - size, size)
-            begin = np.maximum(pos[piece], s * sequence)
-            end = np.minimum(pos[piece] + (b - a)[piece], (s + 1) * sequence)
-            doc = row[piece]
-            start = a[piece] - first[doc] + begin - pos[piece]
-            length = end - begin
-            crc, now, wide = np.empty(len(doc), np.int64), -1, b""
-            raw = col["ids"]
-            for i, (d, x, m) in enumerate(zip(doc.tolist(), start.tolist(), length.tolist())):
-                if d != now:
-                    now, wide = d, memoryview(np.frombuffer(raw[d].as_buffer(), "<u2").astype("<u4").tobytes())
-                crc[i] = zlib.crc32(wide[4 * x:4 * (x + m)])
-            take = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([
-                col["doc_id"].take(take), pa.array(start), pa.array(length), pa.array(crc),
-                col["n"].take(take), pa.array(s), pa.array(begin - s * sequence),
-                col["queue"].take(take), pa.array(w[piece])],
-                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "window"])
-
-    return tokens.join(bases, ["queue", "part"]).mapInArrow(run, schema)
+            cols, (row, w, start, length, skip) = _cut(batch, rounds)
+            raw = [x.as_py() for x in batch.column(batch.schema.get_field_index("ids"))]
+            ids = [raw[r][2 * x:2 * (x + m)] for r, x, m in zip(row.tolist(), start.tolist(), length.tolist())]
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [*(c.take(take) for c in cols), pa.array(w), pa.array(start), pa.array(skip), pa.array(ids, pa.binary())], _CUT)
+
+    def lay(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            length = np.array([len(x.as_buffer()) // 2 for x in col["ids"]], np.int64)
+            row = np.arange(batch.num_rows)
+            yield _lay([col["doc_id"], col["doc_tokens"], col["queue"]], row, col["window"].to_numpy(), col["start"].to_numpy(),
+                       length, col["place"].to_numpy() + col["skip"].to_numpy(), col["ids"], 0 * row, sequence)
+
+    pieces = placed.mapInArrow(
+        cut, f"doc_id {id_type}, doc_tokens long, queue string, window long, start long, skip long, ids binary")
+    return pieces.join(_places(queues, rounds), ["queue", "window"]).select(*_CUT, "place").mapInArrow(lay, schema)

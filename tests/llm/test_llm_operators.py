@@ -95,6 +95,25 @@ def test_packing_meets_targets(spark):
         assert all(n == 64 for s, n in full.items() if s != max(full))
 
 
+def test_packing_keeps_a_queue_per_source(spark, monkeypatch):
+    prepare(spark)
+    rows = [(i, prose(30, i), "big" if i % 2 else f"s{i % 60}") for i in range(240)] + [(240, prose(30, 240), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5).cache()
+
+    def packed(targets):
+        return sorted(packing.pack(df, sequence=64, window_sequences=8, targets=targets).collect())
+
+    for targets in (None, {"big": 1.0, "s2": 0.25, "none": 3.0}):
+        dense = packed(targets)
+        with monkeypatch.context() as m:
+            m.setattr(packing, "DENSE_QUEUES", 2)
+            m.setattr(packing, "WINDOW_BLOCK", 7)
+            got = packed(targets)
+        assert got == dense and {r.source for r in got} == {s or "" for _, _, s in rows}
+        at = sorted((r.sequence_id, r.offset, r.length) for r in got)
+        assert all((b[0], b[1]) == ((a[0], a[1] + a[2]) if a[1] + a[2] < 64 else (a[0] + 1, 0)) for a, b in zip(at, at[1:]))
+
+
 def test_encoder_equals_the_tokenizer():
     import pyarrow as pa
 
