@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BinaryType, StringType
 
-from geohour.llm.common import free_name, struct_type
+from geohour.llm.common import free_name, small, struct_type
 from geohour.session import materialize
 
 REPEAT = 200
@@ -28,6 +29,7 @@ LEFT = REPEAT - KMER  # bytes before an anchor that a repeat with it may hold
 SPAN = LEFT + REPEAT
 CHUNK_BYTES = 192 << 10  # text whose anchors are searched at once; arrays of it fit a cache
 SORT_ROWS = 30_000  # anchored suffixes that a task sorts in memory; more are spilled
+SPLIT_ROWS = 8192  # kinds of surroundings of one anchor that a single task sorts; more are split
 _GAP = 2 * REPEAT  # zero bytes between texts, more than any search looks beyond an end
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -314,8 +316,8 @@ def repeats_of(seg: np.ndarray, kmer: np.ndarray, left: np.ndarray, right: np.nd
 def _induced_rows(batches):
     """(doc_id, text_key, start, stop) of the repeats among rows sorted by kmer.
 
-    Whole groups of one kmer are taken together, many small ones at once; a group that does
-    not fit stays on disk, also while it is sorted and induced.
+    Whole groups of one kmer are taken together, many small ones at once. `_split` keeps groups
+    within SPLIT_ROWS; one that still grows, by equal rows, goes to disk as it is sorted.
     """
     held: list[pa.RecordBatch] = []
     rows = 0
@@ -347,19 +349,58 @@ def _induced_rows(batches):
             continue
         held.append(batch)
         rows += batch.num_rows
-        if rows < SORT_ROWS:
+        kmer = batch.column(0).to_numpy()
+        if rows < SORT_ROWS or held[0].column(0)[0].as_py() == kmer[-1]:
             continue
-        table = pa.Table.from_batches(held)
-        kmer = table.column(0).to_numpy()
-        if kmer[0] == kmer[-1]:
-            continue
-        cut = int(np.searchsorted(kmer, kmer[-1]))  # the last group may go on
-        yield from solve(table.slice(0, cut))
-        held, rows = table.slice(cut).to_batches(), table.num_rows - cut
+        # The last group may go on; it began in this batch or in an earlier one.
+        tail = []
+        while held and held[-1].column(0)[0].as_py() == kmer[-1]:
+            tail.insert(0, held.pop())
+        cut = int(np.searchsorted(held[-1].column(0).to_numpy(), kmer[-1]))
+        if cut < held[-1].num_rows:
+            tail.insert(0, held[-1].slice(cut))
+            held[-1] = held[-1].slice(0, cut)
+        yield from solve(pa.Table.from_batches(held))
+        held, rows = tail, sum(x.num_rows for x in tail)
     if held:
         yield from solve(pa.Table.from_batches(held))
 
 
+def _split(hot: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(rows in groups of at most SPLIT_ROWS, repeats that are found already) of large groups.
+
+    A repeat begins lo to hi - 1 bytes before its anchor for some range; all its copies then
+    agree on the bytes from lo before the anchor to REPEAT - hi + 1 after it. So a large group
+    is cut into two halves of its range, each grouped by its own, longer string, until groups
+    are small enough. At a range of one the string is the whole repeat and Spark only counts.
+    No pair of copies is lost: their range is in one of the halves, with an equal string.
+    """
+    rows = hot.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(LEFT + 1))
+    fine, whole = [], []
+    own = ["doc_id", "text_key", "pos", "right", "seg"]
+    while True:
+        mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        halves = rows.select(*own, F.explode(F.array(
+            F.struct(F.col("lo").alias("lo"), mid.alias("hi")), F.struct(mid.alias("lo"), F.col("hi").alias("hi")))).alias("half")
+        ).select(*own, "half.lo", "half.hi").where(
+            F.greatest(F.col("lo"), REPEAT - F.col("right")) <= F.least(F.col("hi") - 1, F.col("pos")))
+        halves = halves.withColumn("group", F.md5(F.concat(
+            F.encode(F.concat_ws(" ", "lo", "hi", F.lit("")), "utf-8"),
+            F.col("seg").substr(LEFT + 1 - F.col("lo"), REPEAT + 1 - F.col("hi") + F.col("lo")))))
+        large = materialize(halves.groupBy("group").count().where(F.col("count") > SPLIT_ROWS).select("group"), "large-groups")
+        fine.append(halves.join(small(large), "group", "left_anti").select(F.xxhash64("group").alias("kmer"), *own))
+        if large.isEmpty():
+            break
+        again = materialize(halves.join(small(large), "group", "left_semi"), "large-anchors")
+        start = F.col("pos") - F.col("lo")
+        whole.append(again.where("hi - lo = 1").select(
+            "doc_id", "text_key", start.cast("long").alias("start"), (start + REPEAT).cast("long").alias("stop")))
+        rows = again.where("hi - lo > 1")
+        if rows.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, fine), reduce(DataFrame.unionByName, whole) if whole else None
+
+
 @arrow_udf(BinaryType())
 def _squeeze(text: pa.Array) -> pa.Array:
     press = zstandard.ZstdCompressor(level=1)
@@ -397,13 +438,23 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         "doc_id", "text_key", F.greatest(F.col("pos") - LEFT, F.lit(0)).cast("long").alias("start"),
         (F.col("pos") + REPEAT).cast("long").alias("stop"))
     # One anchor of each kind of surroundings goes to the sorting; texts travel compressed.
-    places = kinds.select("one.*", "kmer").groupBy("doc_id", "text_key").agg(
-        F.collect_list(F.struct("pos", "kmer")).alias("wanted"))  # at most a text's anchors
     squeezed = base.select("doc_id", "text_key", _squeeze("text").alias("packed"))
-    segments = squeezed.alias("t").join(
-        places.alias("p"), F.col("t.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("t.text_key") == F.col("p.text_key"))
-    ).select("t.doc_id", "t.text_key", "packed", "wanted").mapInArrow(
-        _segment_rows, f"kmer long, doc_id {id_type}, text_key int, pos int, right short, seg binary")
+
+    def segments_of(some: DataFrame) -> DataFrame:
+        places = some.select("one.*", "kmer").groupBy("doc_id", "text_key").agg(
+            F.collect_list(F.struct("pos", "kmer")).alias("wanted"))  # at most a text's anchors
+        return squeezed.alias("t").join(
+            places.alias("p"), F.col("t.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("t.text_key") == F.col("p.text_key"))
+        ).select("t.doc_id", "t.text_key", "packed", "wanted").mapInArrow(
+            _segment_rows, f"kmer long, doc_id {id_type}, text_key int, pos int, right short, seg binary")
+
+    large = materialize(kinds.groupBy("kmer").count().where(F.col("count") > SPLIT_ROWS).select("kmer"), "large-kmers")
+    if large.isEmpty():
+        segments = segments_of(kinds)
+    else:
+        cut, found = _split(materialize(segments_of(kinds.join(small(large), "kmer", "left_semi")), "large-anchors"))
+        segments = segments_of(kinds.join(small(large), "kmer", "left_anti")).unionByName(cut)
+        whole = whole if found is None else whole.unionByName(found)
     induced = segments.repartition("kmer").sortWithinPartitions("kmer").mapInArrow(
         _induced_rows, f"doc_id {id_type}, text_key int, start long, stop long")
     return materialize(

@@ -326,6 +326,33 @@ def test_suffix_edges(spark, docs, none):
     assert {r.doc_id: r.text for r in two.collect()} == {1: "a", 2: "b"}
 
 
+@pytest.mark.parametrize("length", [60, 120, 199, 205, 340])
+def test_frequent_anchors_are_split(spark, monkeypatch, length):
+    prepare(spark)
+    rng = np.random.default_rng(length)
+
+    def letters(n):
+        return bytes(rng.integers(97, 101, n, dtype=np.uint8)).decode()
+
+    phrase, tail = letters(length), letters(170)
+    texts = [letters(int(rng.integers(0, 200))) + phrase + (tail[:i] if i % 3 else "") + letters(int(rng.integers(0, 200)))
+             for i in range(90)]
+    monkeypatch.setattr(suffixes, "SPLIT_ROWS", 8)
+    sizes = []
+    solve = suffixes._split
+    monkeypatch.setattr(suffixes, "_split", lambda hot: [sizes.append(hot.count()), solve(hot)][1])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = brute.without_repeats([t.encode() for t in texts])
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(df).collect()}
+    assert got == {i: (w[1], w[2], brute.sha(w[0])) for i, w in enumerate(want)}
+    assert sizes and sizes[0] > 8
+    rows = spark.createDataFrame([(7, i, 0, i, 200, bytearray(rng.integers(97, 101, 152, dtype=np.uint8)) + phrase.encode()[:48]
+                                   + bytearray(rng.integers(97, 101, 152, dtype=np.uint8))) for i in range(40)],
+                                 "kmer long, doc_id long, text_key int, pos int, right short, seg binary")
+    cut, _ = solve(rows.withColumn("pos", rows.pos + 152))
+    assert max(r["count"] for r in cut.groupBy("kmer").count().collect()) <= 8
+
+
 @pytest.mark.parametrize("limit", [50, 10_000])
 def test_induction_in_memory_and_on_disk(tmp_path, monkeypatch, limit):
     rng = np.random.default_rng(11)
