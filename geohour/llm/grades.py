@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -18,7 +19,8 @@ from geohour.llm.quality_rules import labelled_counts, struct_of
 
 BUCKETS = 1 << 18
 MAX_TRAIN_ROWS = 6_000  # labelled rows that the fit may read
-CACHED_WORDS = 200_000
+CACHED_WORDS, CACHED_BYTES = 200_000, 64  # words that are kept, and the longest of them
+FORM = 8
 _CORE = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
@@ -28,29 +30,36 @@ def grade(quality: Column, toxic: Column) -> Column:
 
 
 class _Buckets(dict):
-    """Word to its two buckets: the letters, and the form (case and marks around them)."""
-
-    def __missing__(self, word: bytes) -> tuple[int, int]:
-        core = _CORE.search(word)
-        letters = core.group(0) if core else b""
-        form = (b"U" if letters.isupper() and len(letters) > 1 else b"l") + _CORE.sub(b"a", word)[:8]
-        got = (crc32(b"w" + letters.lower()) % BUCKETS, crc32(b"f" + form) % BUCKETS)
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = got
+    """Word to its buckets: of each run of letters in it, and of the form (case and marks around them).
+
+    A long form counts as several of FORM bytes, so nothing of a word is unread.
+    """
+
+    def __missing__(self, word: bytes) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        runs = _CORE.findall(word) or [b""]
+        case = b"U" if any(r.isupper() and len(r) > 1 for r in runs) else b"l"
+        form = _CORE.sub(b"a", word)
+        got = (tuple(crc32(b"w" + r.lower()) % BUCKETS for r in runs),
+               tuple(crc32(b"f" + case + form[i:i + FORM]) % BUCKETS for i in range(0, len(form), FORM)))
+        if len(word) <= CACHED_BYTES:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[word] = got
         return got
 
 
 def hashed(text: bytes, cache: _Buckets) -> np.ndarray:
-    """Buckets present: its words, its forms with their share of the words, and how much repeats."""
+    """Buckets present: its runs of letters, its forms with their share of all, and how much repeats."""
     words = text.split()
     if not words:
         return np.empty(0, np.int64)
-    pairs = np.array(list(map(cache.__getitem__, words)), np.int64)
-    letters = np.unique(pairs[:, 0])
-    forms, n = np.unique(pairs[:, 1], return_counts=True)
-    share = np.searchsorted((0.05, 0.3), n / len(words))
-    repeats = crc32(b"r%d" % (8 * (len(words) - len(letters)) // len(words) if len(words) >= 20 else -1)) % BUCKETS
+    runs, shapes = zip(*map(cache.__getitem__, words))
+    runs = np.array(list(chain.from_iterable(runs)), np.int64)
+    shapes = np.array(list(chain.from_iterable(shapes)), np.int64)
+    letters = np.unique(runs)
+    forms, n = np.unique(shapes, return_counts=True)
+    share = np.searchsorted((0.05, 0.3), n / len(shapes))
+    repeats = crc32(b"r%d" % (8 * (len(runs) - len(letters)) // len(runs) if len(runs) >= 20 else -1)) % BUCKETS
     return np.unique(np.concatenate([letters, (forms + share * 7919) % BUCKETS, [repeats]]))
 
 

@@ -238,6 +238,14 @@ def test_grades_are_ordered_and_held_out():
     assert np.all(np.diff(g.thresholds) > 0)
 
 
+def test_every_part_of_a_word_is_graded():
+    cache = grades._Buckets()
+    bad = set(grades.hashed(b"idiot", cache)) - set(grades.hashed(b"other", cache))
+    assert len(bad) == 1  # the word itself; form and repeats are alike
+    for text in (b"l'idiot", b"you/idiot fine", b"one,two,three,four,five,six,idiot,seven", b"x-" * 500 + b"IDIOT"):
+        assert bad <= set(grades.hashed(text, cache)), text
+
+
 def test_quality_edges(spark, docs, none):
     labels = spark.createDataFrame([(5, 1), (12, 0), (None, 1), (4, None), (5, 0)], "doc_id long, quality int")
     forest = quality_rules.fit(docs, labels)
