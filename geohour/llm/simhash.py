@@ -206,8 +206,12 @@ def deduplicate(docs: DataFrame) -> DataFrame:
         return rows.join(ids, rows["doc_id"].eqNullSafe(ids[own]), how)
 
     kept = only(docs, first, "left_semi")
+    # Ids that are first more than once, or first in one component and also in another.
     repeated = materialize(
-        first.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select("doc_id"), "simhash-repeats")
+        grouped.groupBy("doc_id").agg(
+            F.count_if(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("n"),
+            F.count_if(~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("others"))
+        .where("n > 1 OR n = 1 AND (others > 0 OR doc_id IS NULL)").select("doc_id"), "simhash-repeats")
     if repeated.isEmpty():
         return kept
     # Rows that share their id: name them by their fingerprint and take one per component.

@@ -285,6 +285,13 @@ def test_simhash_edges(spark, docs, none):
     assert ids.count(None) == 1
 
 
+def test_near_copy_under_the_id_of_another_text_goes(spark):
+    prepare(spark)
+    a, b = prose(400, 21), prose(400, 22)
+    df = spark.createDataFrame([(3, a), (5, a.upper()), (5, b)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in simhash.deduplicate(df).collect()) == [(3, a), (5, b)]
+
+
 def test_simhash_links_across_batches_and_splits(spark, monkeypatch):
     prepare(spark)
     rng = np.random.default_rng(4)
