@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from geohour.llm import (
-    decontaminate, extract, grades, licenses, packing, quality_rules, simhash, suffixes, urls, warc,
+    decontaminate, extract, grades, licenses, middle, order_minhash, packing, quality_rules, simhash, spelling,
+    suffixes, urls, warc,
 )
 from geohour.llm.common import prepare, read
 
@@ -156,3 +157,84 @@ FROM s LEFT JOIN best USING (page_id)""")
 def op10_url_filter(spark, sf_dir):
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
     return urls.judge_urls(read(spark, sf_dir, "pages"), rules)
+
+
+@query("op11_spelling_variants", r"""
+WITH RECURSIVE bits AS (
+  SELECT i, CAST(i AS UBIGINT) AS c, 0 AS k FROM range(256) r(i) UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8),
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+counted AS (
+  SELECT run, count(*) AS n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS b
+  FROM runs WHERE length(run) >= 6 GROUP BY doc_id, run),
+hashed AS (
+  SELECT run, n, xor(4294967295::UBIGINT, list_reduce(
+    list_prepend(4294967295::UBIGINT, list_transform(range(0, length(b) // 2),
+      lambda i: CAST('0x' || substr(b, CAST(2 * i + 1 AS BIGINT), 2) AS UBIGINT))),
+    lambda c, x: xor(c >> 8, tab[CAST((xor(c, x) & 255) + 1 AS BIGINT)]))) AS h
+  FROM counted, crc),
+voc AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT))
+                     || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+gaps AS (
+  SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM voc)),
+near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS m FROM gaps a JOIN gaps b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM gaps a JOIN voc b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM gaps a JOIN voc b ON a.rest = b.word),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY word ORDER BY m DESC, encode(other)) AS r,
+         count(*) OVER (PARTITION BY word) AS n_near FROM near),
+formed AS (
+  SELECT v.word, v.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN m >= 5 * v.n THEN other END AS form,
+         CASE WHEN m >= 5 * v.n THEN m END AS form_n
+  FROM voc v LEFT JOIN ranked ON v.word = ranked.word AND r = 1),
+way AS (
+  SELECT word, word AS top FROM formed UNION ALL
+  SELECT way.word, form FROM way JOIN formed ON formed.word = way.top WHERE form IS NOT NULL)
+SELECT formed.word, form, top AS root, n, n_near, form_n FROM formed JOIN way USING (word)
+WHERE top IN (SELECT word FROM formed WHERE form IS NULL)""")
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.group_variants(spelling.vocabulary(spelling.noisy_words(read(spark, sf_dir, "documents"))))
+
+
+@query("op12_order_minhash")
+def op12_order_minhash(spark, sf_dir):
+    return order_minhash.edited_fingerprints(read(spark, sf_dir, "documents"))
+
+
+@query("op13_fill_in_middle", r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS p,
+         sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (
+  SELECT doc_id, t, p, len(p) - 1 + CASE WHEN p[-1] = '' THEN 0 ELSE 1 END AS n,
+         list_transform([0, 1, 2, 3], lambda i: CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT)) AS h FROM d),
+c AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b FROM u),
+s AS (
+  SELECT *, array_to_string(p[1:a], chr(10)) || CASE WHEN a > 0 AND a < len(p) THEN chr(10) ELSE '' END AS pre,
+         array_to_string(p[1:b], chr(10)) || CASE WHEN b > 0 AND b < len(p) THEN chr(10) ELSE '' END AS upto FROM c),
+f AS (
+  SELECT doc_id, t, n, pre, substr(upto, length(pre) + 1) AS mid, substr(t, length(upto) + 1) AS suf,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100
+         THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM s)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                   ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM f""")
+def op13_fill_in_middle(spark, sf_dir):
+    made = middle.fill_in_middle(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    fim = F.col("fim")
+    return made.select(
+        "doc_id", fim["n"].alias("n"), fim["form"].alias("form"), fim["prefix_chars"].alias("prefix_chars"),
+        fim["middle_chars"].alias("middle_chars"), F.sha2(fim["output"], 256).alias("output_sha256"),
+        F.sha2(middle.restored(fim["output"], fim["form"]), 256).alias("restored_sha256"))
