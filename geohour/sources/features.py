@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from geohour.operators.shapes import LINES_TYPE, PARTS_TYPE, POINT
+from geohour.session import materialize
+from geohour.sources import json_scan
 from geohour.sources.storage import path_exists
 
 _POSITION = "array<double>"
@@ -24,54 +26,70 @@ def _lines(lines: Column) -> Column:
     return F.transform(lines, _line)
 
 
-# A feature's own type ends one record of the text reader and begins the next, so files are
-# split between tasks at features, whatever the size of the document around them.
-_MARK = '"Feature"'
-_OPENING = r"""\s*,?\s*\{\s*"type"\s*:\s*$"""  # of the next feature
-_CLOSING = r"""\}\s*\]\s*(,[^\[\]]*)?\}\s*$"""  # of the collection, with plain members behind
+def _is_feature(text: Column) -> Column:
+    kind = F.call_function("try_variant_get", F.try_parse_json(text), F.lit("$.type"), F.lit("string"))
+    return F.coalesce(kind == "Feature", F.lit(False))
 
 
-def feature_records(spark: SparkSession, path: str) -> DataFrame:
-    """(file, text, f): one row per feature of collections and of files with a feature per line.
+def feature_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text, sound): one row per feature of collections, of single features, and of lines.
 
-    `f` is the feature as VARIANT, null where `text` cannot be parsed. Every feature must begin
-    with its type, as writers put it; text that belongs to no feature makes a row with null `f`
-    instead of vanishing.
+    Features are found by the structure of the document (`json_scan`), so members may come in
+    any order, strings may hold anything, and a file may be one line or printed over many, of
+    any size. Files with a feature per line are sequences of documents; a broken line does not
+    hide the next ones. Text that belongs to no feature makes a row that is not sound instead of
+    vanishing.
+
+    The spans are stored in the shared folder, as several steps read them: features that lie in
+    one split are taken as they are, only those between two splits meet by their number. A
+    document that does not end, or is none, is not put together but looked at line by line, so a
+    broken line early in a large file gathers nothing.
     """
-    raw = spark.read.option("lineSep", _MARK).text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.ltrim(F.col("value")).alias("value"))
-    head = F.col("value").startswith("{")
-    # What stands before the first feature: nothing else but the collection's own members.
-    opening = head & (F.col("value").rlike(r"^\{\s*\"type\"\s*:\s*$") | F.col("value").rlike(r"\"FeatureCollection\""))
-    is_record = ~opening & (F.col("value") != "")
-    body = raw.where(is_record).select(
-        "file", F.when(is_record, F.regexp_replace("value", _OPENING, "")).alias("text"))
-    whole = F.concat(F.lit('{"type":"Feature"'), F.col("text"))
-    ended = F.concat(F.lit('{"type":"Feature"'), F.regexp_replace("text", _CLOSING, "}"))
-    return body.select("file", "text", F.coalesce(F.try_parse_json(whole), F.try_parse_json(ended)).alias("f"))
+    text, key = F.col("text").cast("string"), ["file", "kind", "number"]
+    found = materialize(json_scan.spans(spark, path, "features").withColumn("text", text), "json-spans")
+    whole = (F.col("kind") == "element") & F.col("starts") & F.col("ends")
+    shared = found.where(~whole & (F.col("kind") != "between"))
+    facts = shared.groupBy(*key).agg(F.bool_or("holds").alias("collection"), F.bool_or("ends").alias("ended"))
+    shared = shared.join(facts, key)
+    joined = (
+        shared.where("ended AND NOT collection").groupBy(*key)
+        .agg(F.sort_array(F.collect_list(F.struct("block", "n", "text"))).alias("pieces"))
+        .select("file", F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("text"))
+        .withColumn("sound", _is_feature(F.col("text")))
+    )
+    loose = found.where("kind = 'between'").select("file", "text").unionByName(
+        shared.where("NOT ended").select("file", "text")).unionByName(joined.where("NOT sound").select("file", "text"))
+    lines = loose.select("file", F.explode(F.split("text", "\n")).alias("text")).where(r"text RLIKE '\\S'")
+    return (
+        found.where(whole).select("file", "text").unionByName(lines).withColumn("sound", _is_feature(F.col("text")))
+        .unionByName(joined.where("sound"))
+    )
+
+
+def _rejected(texts: DataFrame) -> DataFrame:
+    return texts.where("NOT sound").select("file", F.btrim("text", F.lit(" \t\r\n")).alias("text"))
 
 
 def rejected_features(spark: SparkSession, path: str) -> DataFrame:
     """(file, text) of what `read_geojson` cannot read."""
-    return feature_records(spark, path).where(F.col("f").isNull()).select("file", "text")
+    return _rejected(feature_texts(spark, path))
 
 
 def read_geojson(spark: SparkSession, path: str, properties: str, skip_broken: bool = False) -> DataFrame:
-    """Features of GeoJSON files: collections, or one feature per line.
+    """Features of GeoJSON files: collections, single features, or one feature per line.
 
     `properties` is the schema of the properties as DDL. Adds `geom_type`, `lines` (for lines
     and points: an array of vertex arrays) and `parts` (for polygons: parts of rings of
     vertices). Coordinates nest to different depths by type, so each type is cast on its own.
-    Text that is no feature fails the query; with `skip_broken` it is left to
+    Text that is no feature is an error here; with `skip_broken` it is left to
     `rejected_features`.
     """
-    records = feature_records(spark, path)
-    if skip_broken:
-        return _decode(records.where(F.col("f").isNotNull()), properties)
-    # The optimizer may evaluate this before it drops what is no record: then text is null.
-    broken = F.when(F.col("text").isNotNull(), F.raise_error(F.concat(
-        F.lit("no feature in "), F.col("file"), F.lit(": "), F.substring("text", 1, 200))))
-    return _decode(records.select(F.coalesce("f", broken.cast("variant")).alias("f")), properties)
+    texts = feature_texts(spark, path)
+    if not skip_broken:
+        broken = _rejected(texts).first()
+        if broken is not None:
+            raise ValueError(f"no feature in {broken.file}: {broken.text[:200]}")
+    return _decode(texts.where("sound").select(F.try_parse_json("text").alias("f")), properties)
 
 
 read_feature_lines = read_geojson

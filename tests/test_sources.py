@@ -1,5 +1,6 @@
 import json
 import os
+import random
 from datetime import datetime as dt
 
 import pytest
@@ -106,11 +107,66 @@ def test_geojson_reports_what_it_cannot_read(spark, tmp_path):
     with pytest.raises(Exception, match="no feature in"):
         read_geojson(spark, path, "n int").collect()
     assert sorted(r.n for r in read_geojson(spark, path, "n int", skip_broken=True).collect()) == [1, 3]
-    assert [r.text for r in rejected_features(spark, path).collect()] == [',"properties":{"n":2']
+    assert [r.text for r in rejected_features(spark, path).collect()] == ['{"type":"Feature","properties":{"n":2,']
     put(str(tmp_path), "e/empty.geojson", '{"type": "FeatureCollection", "features": []}')
     assert read_geojson(spark, str(tmp_path / "e"), "n int").count() == 0
 
 
+def _feature(i, rng):
+    tricky = ["x", 'a "b', "\\", '"Feature"', "}{][", "\n{", '"features":[{', "é" * 40]
+    made = {"type": "Feature", "id": i, "geometry": {"type": "Point", "coordinates": [i, 1]}, "properties": {
+        "n": i, "s": rng.choice(tricky), "type": "Feature", "deep": {"list": [{"a": [[]]}, {"b": {}}]}}}
+    return {k: made[k] for k in rng.sample(list(made), len(made))}
+
+
+def _collection(ids, rng):
+    made = {"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "x"}},
+            "links": [{"type": "Feature", "href": "}"}, {"features": [{"no": 1}]}], "bbox": [1, 2],
+            "features": [_feature(i, rng) for i in ids]}
+    return {k: made[k] for k in rng.sample(list(made), len(made))}
+
+
+@pytest.mark.parametrize("split", [700, 1 << 20])
+def test_geojson_boundaries_follow_the_structure(spark, tmp_path, split):
+    rng = random.Random(split)
+    texts = [
+        json.dumps(_collection(range(0, 10), rng)), json.dumps(_collection(range(10, 20), rng), indent=2),
+        json.dumps(_collection(range(20, 25), rng), indent=0, ensure_ascii=False),
+        "\n".join(json.dumps(_feature(i, rng)) for i in range(25, 35)) + "\n",
+        json.dumps(_feature(35, rng), indent=1), json.dumps(_collection([], rng)),
+        "\ufeff" + json.dumps(_collection([36], rng)) + "\n\x1e" + json.dumps(_feature(37, rng)),
+    ]
+    for i, text in enumerate(texts):
+        put(str(tmp_path), f"j/{i}.geojson", text)
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        out = read_geojson(spark, str(tmp_path / "j"), "n int, s string, type string").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(r.n for r in out) == list(range(38))
+    assert all(r.geom_type == "Point" and r.type == "Feature" and r.lines[0][0].x == r.n for r in out)
+
+
+def test_geojson_broken_parts_are_reported_and_hide_nothing(spark, tmp_path):
+    good = '{"type":"Feature","properties":{"n":%d},"geometry":null}'
+    lines = [good % 1, '{"type":"Feature","properties":{"s":"cut off', good % 2, "no json", '{"type":"Feature"}}', good % 3,
+             '{"type":"Point","coordinates":[1,2]}', good % 4]
+    put(str(tmp_path), "b/l.geojson", "\n".join(lines))
+    whole = '{"type":"FeatureCollection","features":[' + ",".join([good % 5, '{"n":6}', good % 7])
+    put(str(tmp_path), "b/cut.geojson", whole)  # lacks its end
+    path = str(tmp_path / "b")
+    assert sorted(r.n for r in read_geojson(spark, path, "n int", skip_broken=True).where("n IS NOT NULL").collect()) == [
+        1, 2, 3, 4, 5, 7]
+    said = "".join(r.text for r in rejected_features(spark, path).collect())
+    for part in ("cut off", "no json", '"Point"', '{"n":6}', "FeatureCollection"):
+        assert part in said
+    with pytest.raises(Exception, match="no feature in"):
+        read_geojson(spark, path, "n int").collect()
+
+
 def test_geojson_collection_larger_than_one_value(spark, tmp_path):
     n, pad = 180_000, "x" * 900
     with open(tmp_path / "big.geojson", "w") as f:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from geohour.functions.temporal import floor_hour
 from geohour.operators.shapes import ring_segments
@@ -138,31 +139,40 @@ def write_geojson(spark, d):
 
 @query("scan_geojson", f"""
     WITH {stage.SHAPES_SQL}
-    SELECT feature_id, s_nationkey, CASE WHEN s_nationkey < 13 THEN 'MultiPolygon' ELSE 'Polygon' END
-           AS geom_type, CAST(8 AS BIGINT) AS n_segments FROM poly""")
+    SELECT feature_id, s_nationkey, '}}{{"Feature"[' || feature_id AS note,
+           CASE WHEN s_nationkey < 13 THEN 'MultiPolygon' ELSE 'Polygon' END AS geom_type,
+           CAST(8 AS BIGINT) AS n_segments FROM poly""")
 def scan_geojson(spark, d):
     root = run_dir(spark, "features")
     coords = F.transform("parts", lambda part: F.transform(part, lambda ring: F.transform(
         ring, lambda p: F.array(p["x"], p["y"]))))
     multi = F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), coords.alias("coordinates")))
     single = F.to_json(F.struct(F.lit("Polygon").alias("type"), coords[0].alias("coordinates")))
-    text = F.concat(
-        F.lit('{"type":"Feature","properties":{"feature_id":'), F.col("feature_id").cast("string"),
-        F.lit(',"s_nationkey":'), F.col("s_nationkey").cast("string"), F.lit('},"geometry":'),
-        F.when(F.col("s_nationkey") < 13, multi).otherwise(single), F.lit("}"),
-    )
-    # One collection over all rows: a bracket before them and one behind them.
-    rows = stage.district_polygons(spark, d)
-    last = F.col("feature_id") == rows.agg(F.max("feature_id")).scalar()
-    first = F.col("feature_id") == rows.agg(F.min("feature_id")).scalar()
-    opening = F.lit('{"type": "FeatureCollection", "crs": {"type": "name"}, "features": [')
-    closing = F.lit('], "bbox": null}')
-    rows.repartitionByRange(1, "feature_id").sortWithinPartitions("feature_id").select(
-        F.concat(F.when(first, opening).otherwise(F.lit("")), text,
-                 F.when(last, closing).otherwise(F.lit(","))).alias("value")).write.text(root)
-    back = read_geojson(spark, root, "feature_id bigint, s_nationkey int")
-    return ring_segments(back, "feature_id", "parts", ["s_nationkey", "geom_type"]).groupBy(
-        "feature_id", "s_nationkey", "geom_type"
+    properties = F.to_json(F.struct(
+        "feature_id", "s_nationkey", F.concat(F.lit('}{"Feature"['), F.col("feature_id").cast("string")).alias("note")))
+    geometry = F.when(F.col("s_nationkey") < 13, multi).otherwise(single)
+    # Members in any order, on one line or several.
+    members = F.array(F.lit('"type": "Feature"'), F.concat(F.lit('"properties":'), properties),
+                      F.concat(F.lit('"geometry" : '), geometry))
+    turn = (F.col("feature_id") % 3).cast("int")
+    turned = F.concat(F.slice(members, turn + 1, 3 - turn), F.slice(members, 1, turn))
+    between = F.when(F.col("feature_id") % 2 == 0, F.lit(", ")).otherwise(F.lit(",\n  "))
+    text = F.concat(F.lit("{"), F.array_join(turned, "\n@"), F.lit("}"))
+    text = F.replace(text, F.lit("\n@"), between)
+    # Many tasks write, each some collections, whose own members stand on both sides.
+    document = (F.col("feature_id") / 50).cast("long").alias("document")
+    rows = stage.district_polygons(spark, d).select(document, F.col("feature_id").alias("seq"), text.alias("value"))
+    first = Window.partitionBy("document").orderBy("seq")
+    features = rows.withColumn("value", F.when(F.row_number().over(first) > 1, F.concat(F.lit(","), "value")).otherwise(F.col("value")))
+    each = rows.select("document").distinct()
+    opening = F.lit('{"links": [{"type": "Feature"}], "crs": {"type": "name", "properties": {}}, "features": [')
+    closing = F.lit('], "bbox": null, "type": "FeatureCollection"}')
+    whole = features.unionByName(each.select("document", F.lit(-1).cast("long").alias("seq"), opening.alias("value"))).unionByName(
+        each.select("document", F.lit((1 << 63) - 1).alias("seq"), closing.alias("value")))
+    whole.repartition("document").sortWithinPartitions("document", "seq").select("value").write.text(root)
+    back = read_geojson(spark, root, "feature_id bigint, s_nationkey int, note string")
+    return ring_segments(back, "feature_id", "parts", ["s_nationkey", "geom_type", "note"]).groupBy(
+        "feature_id", "s_nationkey", "geom_type", "note"
     ).agg(F.count(F.lit(1)).alias("n_segments"))
 
 
