@@ -15,7 +15,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.legacy.javaCharsets": "true",  # without it the csv reader refuses cp949
+    "spark.sql.legacy.javaCharsets": "true",  # without it cp949 is refused
+    "spark.sql.legacy.codingErrorAction": "true",  # a byte that fits no charset is marked, not fatal
 }
 
 

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import csv
-import re
-from functools import reduce
-from urllib.parse import unquote
+import zlib
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from geohour.functions.temporal import LEGACY_LEVEL_FORMAT, parse_time
 from geohour.functions.values import normalize_id, safe_cast
+from geohour.session import materialize
 
 # Header spellings of the feeds, and the layout of old files without a header.
 KOREAN = "cp949"
@@ -31,7 +32,6 @@ LEGACY_COLUMNS = (
 LAST_LEGACY_YEAR = 2018
 
 BYTE_ORDER_MARK = "\ufeff"
-_OVERFLOW = "_overflow"
 
 
 def standardize_columns(df: DataFrame, source: Column | None = None) -> DataFrame:
@@ -50,7 +50,7 @@ def standardize_columns(df: DataFrame, source: Column | None = None) -> DataFram
 
 def read_gauge_csv(spark: SparkSession, path: str) -> DataFrame:
     """Gauge files below a folder; only the three used columns are parsed."""
-    return read_csv_any_charset(spark, path).select(
+    return read_csv_any_charset(spark, path, (GAUGE_STATION, GAUGE_TIME, GAUGE_RAIN)).select(
         parse_time(f"`{GAUGE_TIME}`").alias("time"),
         safe_cast(f"`{GAUGE_STATION}`", "smallint").alias("station"),
         safe_cast(f"`{GAUGE_RAIN}`", "float").alias("rain_1h"),
@@ -68,37 +68,81 @@ def read_station_csv(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def file_heads(spark: SparkSession, path: str) -> list[Row]:
-    """Path, charset and header fields of each csv file below a folder that has any line.
+# Members of archives, plain or compressed.
+CSV_FILES = "*.{csv,csv.gz}"
+
 
-    Lines are read as raw bytes and in splits: a file is utf-8 when all its lines are sound
-    utf-8, else it is taken for the Korean charset. Only one short row per file comes back.
+def raw_lines(spark: SparkSession, path: str, files: str = CSV_FILES) -> DataFrame:
+    """(file, n, at_start, value): lines below a folder as raw bytes, in splits; blank ones are left out.
+
+    `n` grows along each file, and equal readings number the lines alike. A file that cannot be
+    read on ends there; `unreadable_files` names it.
     """
-    lines = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-        .text(path)
-        .select(
-            "value",
-            F.col("_metadata.file_path").alias("path"),
-            (F.col("_metadata.file_block_start") == 0).alias("at_start"),
-            F.monotonically_increasing_id().alias("n"),
-        )
+    return (
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", files)
+        .option("ignoreCorruptFiles", True).text(path)
+        .select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"),
+                (F.col("_metadata.file_block_start") == 0).alias("at_start"), "value")
+        .where(F.trim("value") != "")
     )
-    per_file = lines.groupBy("path").agg(
+
+
+def _gzip_fault(data: bytes) -> str | None:
+    """What is wrong with a compressed file; its text is unpacked by pieces and not kept."""
+    while data:
+        unpack = zlib.decompressobj(wbits=31)
+        try:
+            rest = data
+            while rest and not unpack.eof:
+                unpack.decompress(rest, 1 << 20)
+                rest = unpack.unconsumed_tail
+        except zlib.error as e:
+            return f"corrupt: {e}"
+        if not unpack.eof:
+            return "truncated"
+        data = unpack.unused_data.lstrip(b"\0")
+    return None
+
+
+def _gzip_faults(batches):
+    for batch in batches:
+        reasons = [_gzip_fault(c.as_py() or b"") for c in batch.column("content")]
+        yield pa.RecordBatch.from_arrays([batch.column("file"), pa.array(reasons, pa.string())], ["file", "reason"])
+
+
+def unreadable_files(spark: SparkSession, path: str, files: str = CSV_FILES) -> DataFrame:
+    """(file, reason) of files below a folder that hold nothing or cannot be read to their end.
+
+    Each file is judged apart, by the task that holds it: no line, bytes that no text has, or a
+    damaged compression. Spark lists no file of 0 bytes, so such a file is not named. Only compressed files are opened whole, one at a time (Spark gives up
+    to 2 GB of a file as one value); they could not be split anyway.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    every = listed.option("pathGlobFilter", files).load(path).select(F.col("_metadata.file_path").alias("file"))
+    packed = listed.option("pathGlobFilter", "*.gz").load(path).select(F.col("_metadata.file_path").alias("file"), "content")
+    damaged = packed.mapInArrow(_gzip_faults, "file string, reason string").where("reason IS NOT NULL")
+    text = raw_lines(spark, path, files).groupBy("file").agg(F.bool_or(F.contains("value", F.lit("\0"))).alias("binary"))
+    found = every.join(damaged, "file", "left").join(text, "file", "left")
+    reason = F.coalesce("reason", F.when(F.col("binary").isNull(), "no line").when(F.col("binary"), "no text"))
+    return found.select("file", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def file_facts(spark: SparkSession, path: str, files: str = CSV_FILES) -> DataFrame:
+    """(file, utf8, first_n, head) of each readable file below a folder, stored; a row per file.
+
+    A file is utf-8 when all its lines are sound utf-8, else it is taken for the Korean charset.
+    """
+    per_file = raw_lines(spark, path, files).groupBy("file").agg(
         F.bool_and(F.expr("is_valid_utf8(value)")).alias("utf8"),
-        F.min_by("value", F.when(F.col("at_start"), F.col("n"))).alias("head"),
-    )
-    raw = F.col("head").cast("binary")
-    rows = per_file.select(
-        "path",
-        F.when(F.col("utf8"), F.lit("utf-8")).otherwise(F.lit(KOREAN)).alias("encoding"),
-        F.when(F.col("utf8"), F.decode(raw, "utf-8")).otherwise(F.decode(raw, KOREAN)).alias("head"),
-    )
-    # The metadata column shows paths percent-encoded; the readers want them plain.
-    return [
-        Row(path=unquote(r.path), encoding=r.encoding, head=r.head)
-        for r in rows.orderBy("path").toLocalIterator()
-    ]
+        F.min(F.when(F.col("at_start"), F.col("n"))).alias("first_n"),
+        F.min_by("value", F.when(F.col("at_start"), F.col("n"))).alias("head"))
+    readable = per_file.join(unreadable_files(spark, path, files), "file", "left_anti")
+    return materialize(readable.withColumn("head", _decoded(F.col("head"))), "csv-files")
+
+
+def _decoded(value: Column) -> Column:
+    raw = value.cast("binary")
+    return F.when(F.col("utf8"), F.decode(raw, "utf-8")).otherwise(F.decode(raw, KOREAN))
 
 
 def _fields(head: str) -> tuple[str, ...]:
@@ -115,81 +159,99 @@ def _fields(head: str) -> tuple[str, ...]:
     return tuple(names)
 
 
-def _grouped(heads: list[Row]) -> dict[tuple[str, tuple[str, ...]], list[str]]:
-    """File paths by charset and header."""
-    groups: dict[tuple[str, tuple[str, ...]], list[str]] = {}
-    for h in heads:
-        groups.setdefault((h.encoding, _fields(h.head)), []).append(h.path)
-    return groups
+def _layouts(facts: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(head, names) of the different header lines, names in lower case, and the names as first spelled.
+
+    There is one row per layout, however many files have it.
+    """
+    heads = [r.head for r in facts.select("head").distinct().orderBy("head").toLocalIterator()]
+    layouts = [(h, _fields(h)) for h in heads]
+    spelled = {n.lower(): n for _, names in reversed(layouts) for n in reversed(names)}
+    order = dict.fromkeys(n.lower() for _, names in layouts for n in names)
+    table = facts.sparkSession.createDataFrame(
+        [(h, [n.lower() for n in names]) for h, names in layouts], "head string, names array<string>")
+    return F.broadcast(table), [spelled[n] for n in order]
 
 
-def read_rows(
-    spark: SparkSession, paths: list[str], columns: list[str], header: bool, encoding: str
-) -> DataFrame:
-    """All-string rows of files with one layout.
+def parsed_rows(lines: DataFrame, width: int) -> DataFrame:
+    """The lines (value, utf8, names) with their fields; those with more fields than names are left out.
 
-    A short line is padded with NULL; a line with too many fields is dropped: it fills the
-    extra last column.
+    A short line is padded with NULL, as its further fields are.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, _OVERFLOW]])
-    rows = (
-        spark.read.schema(schema).option("header", header).option("encoding", encoding)
-        .option("mode", "PERMISSIVE").option("enforceSchema", True)
-        .option("ignoreLeadingWhiteSpace", False).csv(paths)
-    )
-    lineage = F.col("_metadata.file_path").alias("source_file")
-    return rows.where(F.col(_OVERFLOW).isNull()).select(
-        *[f"`{c}`" for c in columns], lineage
-    )
+    columns = [f"c{i}" for i in range(width + 1)]
+    options = {"mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    parsed = F.from_csv(_decoded(F.col("value")), ", ".join(f"{c} string" for c in columns), options)
+    whole = lines.withColumn("parsed", parsed).withColumn("fields", F.array(*[F.col("parsed")[c] for c in columns]))
+    beyond = F.slice("fields", F.size("names") + 1, F.greatest(F.lit(width + 1) - F.size("names"), F.lit(0)))
+    return whole.where(~F.exists(beyond, lambda f: f.isNotNull())).drop("parsed")
 
 
-def read_csv_any_charset(spark: SparkSession, path: str) -> DataFrame:
-    """Headered csv files of mixed charset and header as one table; empty files are skipped."""
-    parts = [
-        read_rows(spark, paths, list(names), True, encoding)
-        for (encoding, names), paths in _grouped(file_heads(spark, path)).items()
-    ]
-    if not parts:
-        raise ValueError(f"no csv file with content below {path}")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+def field(name: str) -> Column:
+    """The field of that name of a parsed row; NULL where its file has none."""
+    return F.get("fields", (F.array_position("names", name.lower()) - 1).cast("int"))
 
 
-def file_year(path: str) -> int | None:
-    """Year named by a folder of the path."""
-    found = re.findall(r"/(\d{4})/", path)
-    return int(found[-1]) if found else None
+def read_layout(spark: SparkSession, path: str, columns: list[str], files: str = CSV_FILES) -> DataFrame:
+    """All-string rows of files without a header, with one layout, below a folder; adds `source_file`."""
+    lines = raw_lines(spark, path, files).join(file_facts(spark, path, files).select("file", "utf8"), "file")
+    rows = parsed_rows(lines.withColumn("names", F.array(*map(F.lit, columns))), len(columns))
+    return rows.select(*[field(c).alias(c) for c in columns], F.col("file").alias("source_file"))
+
+
+def quarantined_files(spark: SparkSession, path: str, required: Iterable[str] = ()) -> DataFrame:
+    """(file, reason) of the files that `read_csv_any_charset` leaves out."""
+    bad = unreadable_files(spark, path)
+    facts = file_facts(spark, path)
+    wanted = F.array(*[F.lit(r.lower()) for r in required]).cast("array<string>")
+    lacks = facts.join(_layouts(facts)[0], "head").withColumn("lacking", F.array_except(wanted, "names"))
+    return bad.unionByName(lacks.where(F.size("lacking") > 0).select(
+        "file", F.concat(F.lit("no column "), F.array_join("lacking", ", ")).alias("reason")))
+
+
+def read_csv_any_charset(spark: SparkSession, path: str, required: Iterable[str] = ()) -> DataFrame:
+    """Headered csv files of mixed charset and header as one table.
+
+    Files that are empty, damaged, no text, or lack one of the `required` columns are left out;
+    `quarantined_files` names them with the reason. The files are a table that the lines of all
+    files are joined with, so the driver sees one row per layout and none per file.
+    """
+    facts = file_facts(spark, path)
+    layouts, names = _layouts(facts)
+    if not names:
+        raise ValueError(f"no csv file with content below {path}")
+    wanted = F.array(*[F.lit(r.lower()) for r in required]).cast("array<string>")
+    known = facts.join(layouts, "head").where(F.size(F.array_except(wanted, "names")) == 0)
+    lines = raw_lines(spark, path).join(known.select("file", "utf8", "first_n", "names"), "file")
+    rows = parsed_rows(lines.where(F.col("n") != F.col("first_n")), len(names))
+    return rows.select(*[field(n).alias(n) for n in names], F.col("file").alias("source_file"))
 
 
-def _is_legacy(path: str) -> bool:
-    year = file_year(path)
-    return year is not None and year <= LAST_LEGACY_YEAR
+def file_year(file: Column) -> Column:
+    """Year named by the last folder of a path that names one; NULL without such."""
+    found = F.regexp_extract_all(file, F.lit(r"/(\d{4})(?=/)"), F.lit(1))
+    return F.get(found, F.size(found) - 1).cast("int")
 
 
 def read_level_files(spark: SparkSession, path: str) -> DataFrame:
     """Level archives below `path`/<year>/ in standard columns with parsed time and level.
 
     Up to 2018 files have no header and seven columns by position; later ones have a header.
+    Files that are empty, damaged or no text are left out (`unreadable_files`).
     """
-    heads = file_heads(spark, path)
-    legacy: dict[str, list[str]] = {}
-    for h in heads:
-        if _is_legacy(h.path):
-            legacy.setdefault(h.encoding, []).append(h.path)
-    parts = []
-    for encoding, paths in legacy.items():
-        rows = read_rows(spark, paths, list(LEGACY_COLUMNS), False, encoding)
-        rows = rows.withColumn("se_cd", F.col("legacy_se_cd"))
-        parts.append(standardize_columns(rows, F.col("source_file")).withColumn(
-            "msrmt_ymd", parse_time("msrmt_ymd", (LEGACY_LEVEL_FORMAT,))
-        ))
-    recent = [h for h in heads if not _is_legacy(h.path)]
-    for (encoding, names), paths in _grouped(recent).items():
-        rows = read_rows(spark, paths, list(names), True, encoding)
-        parts.append(standardize_columns(rows, F.col("source_file")).withColumn(
-            "msrmt_ymd", parse_time("msrmt_ymd")
-        ))
-    if not parts:
+    old = F.coalesce(file_year(F.col("file")) <= LAST_LEGACY_YEAR, F.lit(False))
+    facts = file_facts(spark, path)
+    if facts.isEmpty():
         raise ValueError(f"no level file with content below {path}")
-    return reduce(DataFrame.unionByName, parts).withColumns({
-        "unq_no": normalize_id("unq_no"), "msrmt_watl": safe_cast("msrmt_watl", "float"),
-    })
+    layouts, names = _layouts(facts.where(~old))
+    legacy = F.array(*map(F.lit, LEGACY_COLUMNS))
+    known = facts.join(layouts, "head", "left").select(
+        "file", "utf8", "first_n", old.alias("old"), F.when(old, legacy).otherwise(F.col("names")).alias("names"))
+    lines = raw_lines(spark, path).join(known, "file").where("old OR n != first_n")
+    rows = parsed_rows(lines, max(len(LEGACY_COLUMNS), len(names)))
+    spelled = {n: F.coalesce(*[field(x) for x in spellings]) for n, spellings in LEVEL_HEADERS.items()}
+    spelled["se_cd"] = F.when(F.col("old"), field("legacy_se_cd")).otherwise(spelled["se_cd"])
+    out = rows.select("old", *[c.alias(n) for n, c in spelled.items()], F.col("file").alias("source_file"))
+    time = F.when(F.col("old"), parse_time("msrmt_ymd", (LEGACY_LEVEL_FORMAT,))).otherwise(parse_time("msrmt_ymd"))
+    return out.withColumns({
+        "msrmt_ymd": time, "unq_no": normalize_id("unq_no"), "msrmt_watl": safe_cast("msrmt_watl", "float"),
+    }).drop("old")

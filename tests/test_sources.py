@@ -1,7 +1,9 @@
+import gzip
 import json
 import os
 import random
 from datetime import datetime as dt
+from unittest import mock
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from geohour.plans.flood import flood_clean
 from geohour.plans.water import registry_refresh, sensor_cells
 from geohour.sources import storage
 from geohour.sources.delimited import (
-    read_csv_any_charset, read_gauge_csv, read_level_files, read_station_csv, standardize_columns,
+    quarantined_files, read_csv_any_charset, read_gauge_csv, read_level_files, read_station_csv, standardize_columns,
 )
 from geohour.sources.features import (
     read_geojson, read_years, rejected_features, square_feature, union_files, write_geojson,
@@ -61,6 +63,35 @@ def test_gauge_and_station_files(spark, tmp_path):
         (108, dt(2010, 1, 1), None, 37.5, 127.0)]
 
 
+def test_failing_members_are_named_and_the_others_read(spark, tmp_path):
+    root = str(tmp_path / "m")
+    body = "a,b\n" + "".join(f"{i},x{i}\n" for i in range(20_000))
+    packed = gzip.compress(body.encode())
+    for name, data in {
+        "1/fine.csv": body, "2/fine.csv.gz": packed, "2/twice.csv.gz": packed + packed, "3/cut.csv.gz": packed[:len(packed) // 2],
+        "3/flipped.csv.gz": packed[:900] + bytes(64) + packed[964:], "4/plain.csv.gz": body, "5/empty.csv": "",  # Spark lists no empty file
+        "5/blank.csv": "\n \n", "6/binary.csv": b"a,b\n\0\x01,2\n", "7/other.csv": "a,c\n1,2\n", "8/note.txt": "a,b\n1,2\n",
+    }.items():
+        put(root, name, data)
+    out = read_csv_any_charset(spark, root, ["a", "B"])
+    n = {os.path.basename(r.source_file): r["count"] for r in out.groupBy("source_file").count().collect()}
+    assert n == {"fine.csv": 20_000, "fine.csv.gz": 20_000, "twice.csv.gz": 40_001}
+    bad = {os.path.basename(r.file): r.reason for r in quarantined_files(spark, root, ["a", "B"]).collect()}
+    assert bad.pop("cut.csv.gz") == "truncated" and bad.pop("flipped.csv.gz").startswith("corrupt: ")
+    assert bad.pop("plain.csv.gz").startswith("corrupt: ")
+    assert bad == {"blank.csv": "no line", "binary.csv": "no text", "other.csv": "no column b"}
+
+
+def test_layouts_come_back_and_files_do_not(spark, tmp_path):
+    for i in range(120):
+        put(str(tmp_path), f"f/{i}.csv", f"a,{'B' if i % 2 else 'b'}\n{i},{i}\n" if i % 3 else f"b,c\n{i},{i}\n")
+    with mock.patch.object(type(spark), "createDataFrame", autospec=True, side_effect=type(spark).createDataFrame) as made:
+        out = read_csv_any_charset(spark, str(tmp_path / "f"))
+    assert [len(c.args[1]) for c in made.call_args_list] == [3]  # one row per layout is all that the driver saw
+    assert out.columns == ["a", "B", "c", "source_file"]
+    assert out.where("a IS NULL").count() == 40 and out.where("B = a").count() == 80
+
+
 def test_no_files(spark, tmp_path):
     put(str(tmp_path), "a.csv", "")
     with pytest.raises(ValueError):

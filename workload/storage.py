@@ -66,11 +66,49 @@ def scan_csv_badlines(spark, d):
         .otherwise(F.concat_ws(",", event, "event_type", user))
     )
     table(spark, d, "events").select(line.alias("value")).write.text(f"{root}/rows")
-    paths = sorted(
-        r.path for r in spark.read.text(f"{root}/rows")
-        .select(F.col("_metadata.file_path").alias("path")).distinct().toLocalIterator()
-    )
-    return delimited.read_rows(spark, paths, ["a", "b", "c"], False, "utf-8").drop("source_file")
+    return delimited.read_layout(spark, f"{root}/rows", ["a", "b", "c"], "part-*").drop("source_file")
+
+
+def _rename(spark, folder, old, new):
+    """Give the files of a folder another ending."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for entry in fs.listStatus(path):
+        name = entry.getPath().getName()
+        if name.endswith(old):
+            fs.rename(entry.getPath(), entry.getPath().suffix(new) if new.startswith(old) else path.suffix(
+                "/" + name.removesuffix(old) + new))
+
+
+@query("scan_failing_files", """
+    SELECT c_nationkey AS nation, CASE c_nationkey WHEN 0 THEN 'no line' WHEN 1 THEN 'no text'
+             WHEN 2 THEN 'no column name' WHEN 3 THEN 'corrupt' END AS reason,
+           count(*) FILTER (c_nationkey > 3) AS n, CAST(sum(c_custkey) FILTER (c_nationkey > 3) AS BIGINT) AS keys
+    FROM customer GROUP BY ALL""")
+def scan_failing_files(spark, d):
+    # A member per nation, four of them damaged: blank, with bytes of no text, short of a column, not compressed.
+    root = run_dir(spark, "members")
+    rows = table(spark, d, "customer").select(
+        F.col("c_nationkey").alias("nation"), F.col("c_custkey").cast("string").alias("key"), F.col("c_name").alias("name"))
+
+    def of(nation):
+        return rows.where(F.col("nation") == nation).coalesce(1)
+
+    for nation, text in ((0, F.lit("")), (1, F.concat("key", F.lit(",\0"), "name"))):
+        of(nation).select(text.alias("value")).write.text(f"{root}/nation={nation}")
+        _rename(spark, f"{root}/nation={nation}", ".txt", ".csv")
+    _korean_csv(of(2).select("key", "nation"), f"{root}/nation=2")
+    _korean_csv(of(3).select("key", "name"), f"{root}/nation=3")
+    _rename(spark, f"{root}/nation=3", ".csv", ".csv.gz")
+    good = rows.where("nation > 3").repartition("nation").write.partitionBy("nation").mode("append")
+    good.option("header", True).option("compression", "gzip").csv(root)
+    read = delimited.read_csv_any_charset(spark, root, ("key", "name")).withColumnRenamed("source_file", "file").groupBy("file").agg(
+        F.count("*").alias("n"), F.sum(F.col("key").cast("long")).alias("keys"))
+    files = read.join(delimited.quarantined_files(spark, root, ("key", "name")), "file", "full")
+    return files.groupBy(
+        F.regexp_extract("file", r"nation=(\d+)", 1).cast("int").alias("nation"),
+        F.regexp_extract("reason", "^[^:]*", 0).alias("reason"),
+    ).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("keys").alias("keys"))
 
 
 @query("scan_legacy_layout", """
