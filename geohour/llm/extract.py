@@ -13,17 +13,16 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from geohour.llm.common import struct_type
+from geohour.llm.markup import tags
 
 PATH, WORDS, HIDDEN = 128, 32, 16  # sizes of the hashed vectors and of each direction's state
 MAX_TRAIN_PAGES = 150  # pages of the table that the fit may read, the first by hash of their id
-MADE_PAGES = 250  # pages that the generator adds
+MAX_TRAIN_BYTES = 200_000  # longer pages are not taken into the fit
+MADE_PAGES = 600  # pages that the generator adds
 TRAIN_BLOCKS = 160  # training cuts longer pages into stretches of so many blocks
 ROUNDS = 14
 CACHED_WORDS = 200_000
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S | re.I)
 _HINTS = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 # Elements that end the running block. Others, as b, a, span or br, lie inside one.
@@ -64,20 +63,18 @@ def blocks_of(page: str) -> list[Block]:
         links -= sum(1 for t, _ in stack[depth:] if t == "a")
         del stack[depth:]
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            parts.append(page[at:m.start()])
-            linked += (m.start() - at) * (links > 0)
-        at = m.end()
-        tag = m.group(3)
-        if tag is None:
+    for found_tag in tags(page):
+        if found_tag.start > at:
+            parts.append(page[at:found_tag.start])
+            linked += (found_tag.start - at) * (links > 0)
+        at, tag = found_tag.end, found_tag.name
+        if not tag:
             continue
-        tag = tag.lower()
         if tag in _BLOCK:
             flush()
         elif tag in _VOID:
             parts.append(" ")
-        if m.group(2):
+        if found_tag.closing:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if depth is not None:
                 drop(depth)
@@ -92,7 +89,7 @@ def blocks_of(page: str) -> list[Block]:
                     break
                 if stack[i][0] in _BLOCK:
                     break
-        hints = [w for a in _HINTS.findall(m.group(4)) for w in _WORD.findall("".join(a).lower())] if m.group(4) else []
+        hints = [w for a in _HINTS.findall(found_tag.attributes) for w in _WORD.findall("".join(a).lower())]
         if tag in _BLOCK or tag == "a":
             stack.append((tag, (tag, *("." + w for w in hints))))
             links += tag == "a"
@@ -167,7 +164,7 @@ class Labeller:
                    and (len(take) + 1) * len(pages[order[at + len(take)]]) <= 20_000):
                 take.append(order[at + len(take)])
             x, size = _padded([pages[i] for i in take])
-            p = _forward(self, x, size)[0]
+            p = _score(self, x, size)
             for k, i in enumerate(take):
                 got[i] = p[k, :size[k]]
             at += len(take)
@@ -192,14 +189,14 @@ def _reversed(x: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.take_along_axis(x, np.where(at < size[:, None], size[:, None] - 1 - at, at)[:, :, None], axis=1)
 
 
-def _scan(w: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, list]:
-    """States of one direction, and what its gradient needs."""
-    pages, steps, width = x.shape
-    base = x @ w[:width] + w[-1]
+def _scan(w: np.ndarray, base: np.ndarray, keep: bool = True) -> tuple[np.ndarray, list]:
+    """States of one direction, and what its gradient needs; `base` is the input's part of the gates."""
+    pages, steps = base.shape[:2]
+    recurrent = w[-1 - HIDDEN:-1]
     h, c = np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32)
     states, kept = np.zeros((pages, steps, HIDDEN), np.float32), []
     for t in range(steps):
-        z = base[:, t] + h @ w[width:-1]
+        z = base[:, t] + h @ recurrent
         gates = _sigmoid(z[:, :3 * HIDDEN])
         i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN:2 * HIDDEN], gates[:, 2 * HIDDEN:]
         g = np.tanh(z[:, 3 * HIDDEN:])
@@ -208,10 +205,23 @@ def _scan(w: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, list]:
         tc = np.tanh(c)
         h = o * tc
         states[:, t] = h
-        kept.append((before, c_before, i, f, o, g, tc))
+        if keep:
+            kept.append((before, c_before, i, f, o, g, tc))
     return states, kept
 
 
+def _base(w: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return x @ w[:x.shape[2]] + w[-1]
+
+
+def _score(m: Labeller, x: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """P(main text) without what training keeps: memory for a few numbers a block besides `x`."""
+    hf = _scan(m.forward, _base(m.forward, x), keep=False)[0]
+    hb = _reversed(_scan(m.backward, _reversed(_base(m.backward, x), size), keep=False)[0], size)
+    z = hf @ m.out[:HIDDEN] + hb @ m.out[HIDDEN:2 * HIDDEN] + x @ m.out[2 * HIDDEN:-1] + m.out[-1]
+    return _sigmoid(z)
+
+
 def _scan_gradient(w: np.ndarray, x: np.ndarray, kept: list, d_states: np.ndarray) -> np.ndarray:
     pages, steps, width = x.shape
     dz = np.zeros((pages, steps, 4 * HIDDEN), np.float32)
@@ -232,8 +242,8 @@ def _scan_gradient(w: np.ndarray, x: np.ndarray, kept: list, d_states: np.ndarra
 
 def _forward(m: Labeller, x: np.ndarray, size: np.ndarray) -> tuple:
     back = _reversed(x, size)
-    hf, kf = _scan(m.forward, x)
-    hb, kb = _scan(m.backward, back)
+    hf, kf = _scan(m.forward, _base(m.forward, x))
+    hb, kb = _scan(m.backward, _base(m.backward, back))
     seen = np.concatenate([hf, _reversed(hb, size), x, np.ones((*x.shape[:2], 1), np.float32)], axis=2)
     return _sigmoid(seen @ m.out), seen, back, kf, kb
 
@@ -295,61 +305,112 @@ def weak_label(path: tuple[str, ...]) -> bool:
     return not _MAIN.isdisjoint(path) and _OTHER.isdisjoint(path)
 
 
+# Marks the main text of generated pages; it lies in the private use area and is taken out again.
+_TRUE = "\ue000"
+
+
 def made_page(rng: np.random.Generator) -> str:
-    """A page of random words and of a random layout."""
+    """A page of random words and of a random layout, its main blocks marked.
+
+    Half of the pages name nothing: their parts are plain elements, or have names without meaning.
+    """
+    # A page has words of its own, few of them frequent, as in any language: no word tells main text.
     letters = "etaoinshrdlucmfwypvbgk"
+    own = ["".join(letters[int(k)] for k in np.minimum(rng.geometric(0.12, rng.integers(1, 10)) - 1, 21)) for _ in range(300)]
+    often = np.cumsum(1 / np.arange(1, 301) ** rng.uniform(0.3, 1.2))
 
     def words(low: int, high: int) -> str:
-        return " ".join("".join(letters[int(k)] for k in np.minimum(rng.geometric(0.12, rng.integers(2, 9)) - 1, 21))
-                        for _ in range(rng.integers(low, high)))
+        n = rng.integers(low, high)
+        return " ".join(own[k] for k in np.searchsorted(often, rng.random(n) * often[-1]).tolist())
 
     def pick(*of: str) -> str:
         return of[int(rng.integers(len(of)))]
 
     def paragraph() -> str:
-        text = ". ".join(words(3, 14).capitalize() for _ in range(rng.integers(1, 6))) + "."
-        return pick(f"<p>{text}</p>", f"<p>{text}", f"<p><b>{text}<br>", f"<p>{text}</p>", f"<h2>{words(2, 6)}</h2><p>{text}</p>",
-                    f"<ul><li>{words(2, 9)}</li><li>{words(2, 9)}</li></ul>", f"<blockquote>{text}</blockquote>",
-                    f"<p>{words(1, 3)}</p>")
+        text = _TRUE + ". ".join(words(3, 14).capitalize() for _ in range(rng.integers(1, 6))) + "."
+        if in_divs and rng.random() < 0.85:
+            return pick(f"<div>{text}</div>", f"<div{own_name}>{text}</div>", f"<div{own_name}><span>{text}</span></div>")
+        return pick(f"<p>{text}</p>", f"<p>{text}", f"<p><b>{text}<br>", f"<p>{text}</p>", f"<h2>{_TRUE}{words(2, 6)}</h2><p>{text}</p>",
+                    f"<ul><li>{_TRUE}{words(2, 9)}</li><li>{_TRUE}{words(2, 9)}</li></ul>", f"<blockquote>{text}</blockquote>",
+                    f"<p>{_TRUE}{words(1, 3)}</p>")
+
+    def links(low: int, high: int) -> str:
+        items = [f'<a href="/{i}">{words(1, 4)}</a>' for i in range(rng.integers(low, high))]
+        return pick("<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>", " | ".join(items), "".join(f"<div>{x}</div>" for x in items))
+
+    def plain_name() -> str:
+        return pick("", "", f' class="{pick(*"abcdefghk")}{rng.integers(1, 99)}"', f' id="{words(1, 2)}"', f' class="{words(1, 3)}"',
+                    f' class="{pick("col", "row", "box", "wrap", "inner", "left", "right", "page", "grid", "block")}-{rng.integers(1, 12)}"')
+
+    def plain_other() -> str:
+        inner = pick(links(2, 9), f"<h3>{words(1, 4)}</h3>{links(2, 7)}", f"<p>&copy; {rng.integers(1990, 2030)} {words(1, 5)}</p>",
+                     f'<p>{words(1, 5)} <a href="/x">{words(1, 3)}</a></p>', f"<h4>{words(1, 3)}</h4><p>{words(1, 5)}</p>",
+                     f'<a href="/">{words(1, 3)}</a>', f"<span>{words(1, 3)}</span>", f"<form>{words(1, 4)}<button>{words(1, 2)}</button></form>")
+        return f"<div{plain_name()}>{inner}</div>"
 
     def other() -> str:
+        if plain:
+            return plain_other()
         name = pick(*[n for n in OTHER_NAMES if n not in ("head", "label", "select", "button")])
-        inner = pick("<ul>" + "".join(f'<li><a href="/{i}">{words(1, 3)}</a></li>' for i in range(rng.integers(2, 8))) + "</ul>",
-                     words(3, 30).capitalize() + ".", f"<p>{words(4, 30)}.</p><p>{words(2, 20)}</p>",
+        inner = pick(links(2, 8), words(3, 30).capitalize() + ".", f"<p>{words(4, 30)}.</p><p>{words(2, 20)}</p>",
                      f"<h3>{words(1, 4)}</h3><p>{words(4, 40)}.</p>")
-        kind = pick("div", "section", "ul" if inner.startswith("<li") else "div") if name[0] == "." else name
+        kind = pick("div", "section", "div") if name[0] == "." else name
         mark = f' {pick("class", "id")}="{name[1:]}{pick("", "-1", " box")}"' if name[0] == "." else ""
         return f"<{kind}{mark}>{inner}</{kind}>"
 
     def others(low: int, high: int) -> str:
         return "".join(other() for _ in range(rng.integers(low, high)))
 
+    plain = rng.random() < 0.5
+    in_divs = plain and rng.random() < 0.4
+    own_name = plain_name()
     name = pick("article", "article", "article", "main", *MAIN_NAMES)
     kind, mark = ("div", f' class="{name[1:]}"') if name[0] == "." else (name, "")
-    inside = "".join(paragraph() + (other() if rng.random() < 0.08 else "") for _ in range(rng.integers(1, 14)))
+    if plain:
+        kind, mark = pick("div", "div", "section", "td"), plain_name()
+    inside = "".join(paragraph() + (other() if rng.random() < 0.08 else "")
+                     for _ in range(rng.integers(2 if plain else 1, 14)))
     title = words(2, 9)
-    head = f"<h1>{title}</h1>" if rng.random() < 0.9 else ""
+    head = f"<h1>{_TRUE}{title}</h1>" if rng.random() < 0.9 else ""
+    around = (others(1, 5), others(1, 5)) if plain else (others(0, 4), others(0, 4))
     return (f"<!DOCTYPE html><html><head><title>{title}</title><script>var a='</p>';</script></head><body>"
-            f"{others(0, 4)}<{kind}{mark}>{head}{inside}</{kind}>{others(0, 4)}"
-            + (f"<footer>&copy; {words(1, 5)}</footer>" if rng.random() < 0.7 else "") + "</body></html>")
+            f"{around[0]}<{kind}{mark}>{head}{inside}</{kind}>{around[1]}"
+            + (f"<footer>&copy; {words(1, 5)}</footer>" if not plain and rng.random() < 0.7 else "") + "</body></html>")
+
+
+def labelled(page: str) -> tuple[list[Block], np.ndarray]:
+    """The blocks of a generated page, without the marks, and which of them are main text."""
+    found = blocks_of(page)
+    truth = np.array([_TRUE in b.text for b in found], np.float32)
+    return [Block(b.path, b.text.replace(_TRUE, ""), b.linked) for b in found], truth
+
+
+def weakly_labelled(page: str) -> tuple[list[Block], np.ndarray]:
+    """The blocks of a page and what its markup says of them; none if it names no main text."""
+    found = blocks_of(page)
+    if all(_MAIN.isdisjoint(b.path) for b in found):
+        return [], np.zeros(0, np.float32)
+    return found, np.array([weak_label(b.path) for b in found], np.float32)
 
 
 def fit(pages: DataFrame, body: str = "html", page_id: str = "page_id", max_pages: int = MAX_TRAIN_PAGES,
         made: int = MADE_PAGES, seed: int = 7) -> Labeller:
     """A labeller from `made` generated pages and at most `max_pages` pages of the table.
 
-    Labels are `weak_label`. The sample is bounded by `max_pages`, so it fits the driver.
+    Generated pages know their main text. Pages of the table are labelled by their markup
+    (`weak_label`); those whose markup names no main text teach nothing and are left out, so they
+    are judged by what the labeller has learnt elsewhere. The sample takes pages of at most
+    MAX_TRAIN_BYTES, so it fits the driver: `max_pages` times that.
     """
     # Only ids are compared across tasks; pages themselves come for the chosen ids alone.
-    chosen = pages.where(F.col(body).isNotNull()).select(F.col(page_id).alias("__id")).distinct().orderBy(
-        F.xxhash64("__id"), "__id").limit(max_pages)
-    rows = pages.select(page_id, body).where(F.col(body).isNotNull()).join(
+    short = pages.where(F.octet_length(body) <= MAX_TRAIN_BYTES)
+    chosen = short.select(F.col(page_id).alias("__id")).distinct().orderBy(F.xxhash64("__id"), "__id").limit(max_pages)
+    rows = short.select(page_id, body).join(
         F.broadcast(chosen), F.col(page_id) == F.col("__id")).groupBy(page_id).agg(F.min(body)).orderBy(page_id).collect()
     rng = np.random.default_rng(seed)
-    texts = [r[1] for r in rows] + [made_page(rng) for _ in range(made)]
-    parsed = [b for b in map(blocks_of, texts) if b]
-    return train(new_labeller(seed), [vectors(b) for b in parsed],
-                 [np.array([weak_label(x.path) for x in b], np.float32) for b in parsed], seed=seed)
+    examples = [weakly_labelled(r[1]) for r in rows] + [labelled(made_page(rng)) for _ in range(made)]
+    examples = [(b, y) for b, y in examples if b]
+    return train(new_labeller(seed), [vectors(b) for b, _ in examples], [y for _, y in examples], seed=seed)
 
 
 def extract(pages: DataFrame, labeller: Labeller, keep: tuple[str, ...] = ("page_id", "url"),
@@ -358,7 +419,7 @@ def extract(pages: DataFrame, labeller: Labeller, keep: tuple[str, ...] = ("page
 
     text joins, one per line, all blocks that the labeller holds for main text, in page order;
     it is empty if there are none, as for null or empty html. Whole pages are read and nothing
-    is cut. Equal rows give equal texts; other columns are not read.
+    is cut; time and memory grow with a page's length, whatever its markup. Equal rows give equal texts; other columns are not read.
     """
     shared = pages.sparkSession.sparkContext.broadcast(
         Labeller(labeller.forward, labeller.backward, labeller.out))  # a few thousand weights

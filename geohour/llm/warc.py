@@ -14,15 +14,14 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType
 
 from geohour.llm.common import struct_type
+from geohour.llm.markup import tags
 
 WARC_DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space for addresses
-_HIDDEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)")
-_BREAK = re.compile(r"(?i)</?(?:p|div|h[1-6]|li|ul|ol|br|tr|td|th|table|article|section|header|footer|nav|aside|"
-                    r"title|form|blockquote|pre|hr|body|head|html|main|figure|dl|dt|dd)\b[^>]*>")
-_TAG = re.compile(r"<[/!?a-zA-Z][^>]*>")
-_SPACES = re.compile(r"[^\S\n]+")
-_LINES = re.compile(r"\s*\n\s*")
+# Tags that end a line of text; others lie inside one.
+_BREAKS = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol br tr td th table article section header footer nav aside title form "
+                    "blockquote pre hr figure dl dt dd body head html main".split())
+_HIDDEN = ("script", "style", "noscript", "template")
 RECORD = ("record_type string, record_id string, refers_to string, target_uri string, "
           "content_type string, content_length long, block_digest string, payload_digest string, "
           "record binary")
@@ -40,8 +39,16 @@ def record_id(kind: str, url: str, payload: bytes) -> str:
 
 def plain_text(page: str) -> str:
     """Text outside markup, scripts and styles: one line per block, one space between words."""
-    text = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub("\n", page)))
-    return _LINES.sub("\n", _SPACES.sub(" ", entities.unescape(text))).strip()
+    parts, at = [], 0
+    for tag in tags(page, _HIDDEN):
+        parts.append(page[at:tag.start])
+        if tag.name in _BREAKS or not tag.name:
+            parts.append("\n")
+        at = tag.end
+    parts.append(page[at:])
+    text = entities.unescape("".join(parts))
+    lines = (" ".join(line.split()) for line in text.split("\n"))
+    return "\n".join(line for line in lines if line)
 
 
 def _record(headers: list[tuple[str, str | None]], block: bytes) -> bytes:

@@ -119,3 +119,96 @@ def check_packing(rows, ids_of, sequence=1024):
 
 def sha(data):
     return hashlib.sha256(data).hexdigest()
+
+
+def fill_in_middle(doc_id, text, seed=7):
+    """(n, form, prefix_chars, middle_chars, output) of one text."""
+    text = text or ""
+    units = re.findall(r"[^\n]*\n|[^\n]+", text)
+    digest = hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(digest[8 * i:8 * i + 8], 16) for i in range(4)]
+    a, b = sorted((h[0] % (len(units) + 1), h[1] % (len(units) + 1)))
+    if not text or any(s in text for s in ("<P>", "<S>", "<M>")):
+        return len(units), "plain", None, None, text
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    if h[3] % 100 < 50:
+        return len(units), "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
+    return len(units), "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
+
+
+def order_minhash(text, k=5, entries=64, ell=2):
+    """Hex digits of the fingerprint of a text without blankless scripts."""
+    def chain(values, seed=42):
+        for v in values:
+            seed = xxhash.xxh64_intdigest(v, seed=seed)
+        return seed
+
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    def raw(x):
+        return (x & (1 << 64) - 1).to_bytes(8, "little")
+
+    units = [chain([u.encode()]) for u in re.split(r"[ \t\n\x0b\f\r]+", text or "") if u]
+    if not units:
+        return ""
+    h = [signed(chain([raw(u) for u in units[i:i + k]])) for i in range(max(len(units) - k, 0) + 1)]
+    bits = len(bin(len(h))) - 2
+    first, count, keys = {}, Counter(), []
+    for i, x in enumerate(h):
+        group = x >> bits
+        first.setdefault(group, x)
+        o = count[group]
+        count[group] += 1
+        key = x if not o else signed(chain([raw(first[group]), o.to_bytes(4, "little", signed=True)]))
+        keys.append((key >> bits, i))
+    out = []
+    for e in range(entries):
+        mark = (e * (1 << 64) // entries - (1 << 63)) >> bits
+        order = sorted(keys, key=lambda x: ((x[0] - mark) % (1 << 64 - bits), x[1]))
+        places = sorted(i for _, i in order[:min(ell, len(h))])
+        out.append(f"{chain([raw(h[i]) for i in places]) >> 32:08x}")
+    return "".join(out)
+
+
+def share(a, b):
+    if not a and not b:
+        return 1.0
+    same = sum(a[i:i + 8] == b[i:i + 8] for i in range(0, min(len(a), len(b)), 8))
+    return same / (max(len(a), len(b)) // 8)
+
+
+def edited(docs):
+    """{doc_id: (edited text, next id)} of {doc_id: text}, by descending id."""
+    ids = sorted(docs, reverse=True)
+    out = {}
+    for d, after in zip(ids, ids[1:] + ids[:1]):
+        text, other = docs[d] or "", docs[after] or ""
+        cut = len(text) // 3
+        out[d] = text[:len(text) - cut] + other[:cut], after
+    return out
+
+
+def one_edit(a, b):
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) > len(b):
+        a, b = b, a
+    i = next((i for i in range(len(a)) if a[i] != b[i]), len(a))
+    return a[i + 1:] == b[i + 1:] if len(a) == len(b) else a[i:] == b[i + 1:]
+
+
+def variants(n, ratio=5):
+    """{word: (form, root, n, n_near, form_n)} of {word: n}."""
+    near = {w: [x for x in n if one_edit(w, x)] for w in n}
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda x: (-n[x], x), default=None)
+        form[w] = best if best is not None and n[best] >= ratio * n[w] else None
+
+    def root(w):
+        while form[w] is not None:
+            w = form[w]
+        return w
+
+    return {w: (form[w], root(w), n[w], len(near[w]), n.get(form[w])) for w in n}

@@ -2,17 +2,21 @@
 
 import os
 import sys
+import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import brute  # noqa: E402
 
 from geohour.llm import (  # noqa: E402
-    decontaminate, extract, grades, licenses, packing, quality_rules, simhash, suffixes, urls, warc,
+    decontaminate, extract, grades, licenses, markup, middle, order_minhash, packing, quality_rules, simhash, spelling,
+    suffixes, urls, warc,
 )
 from geohour.llm.common import connected_components, free_name, prepare  # noqa: E402
 
@@ -188,11 +192,77 @@ def test_extraction_edges(spark):
 
 def test_labeller_on_pages_it_has_not_seen():
     rng = np.random.default_rng(99)
-    made = [extract.blocks_of(extract.made_page(rng)) for _ in range(240)]
-    y = [np.array([extract.weak_label(b.path) for b in p], np.float32) for p in made]
-    m = extract.train(extract.new_labeller(), [extract.vectors(p) for p in made[:180]], y[:180])
-    p = m.probabilities([extract.vectors(b) for b in made[180:]])
-    assert np.mean(np.concatenate([(a >= 0.5) == b for a, b in zip(p, y[180:])])) > 0.97
+    made, y = zip(*[extract.labelled(extract.made_page(rng)) for _ in range(500)])
+    m = extract.train(extract.new_labeller(), [extract.vectors(p) for p in made[:400]], y[:400])
+    p = m.probabilities([extract.vectors(b) for b in made[400:]])
+    assert np.mean(np.concatenate([(a >= 0.5) == b for a, b in zip(p, y[400:])])) > 0.97
+
+
+PLAIN_PAGES = (
+    ("""<html><body><div id=top><a href=/>Home</a> <a href=/news>News</a> <a href=/sport>Sport</a></div>
+     <table><tr><td><h1>#Bridge closed for repairs</h1><p>#The old stone bridge will stay closed until spring, the council said
+     on Monday. Engineers found cracks in two of its arches.</p><p>#Drivers must use the ring road, which adds about ten
+     minutes to the way into town. Buses run as before.</p><p>#Shops on the far bank fear for their trade.</p></td></tr></table>
+     <div><h3>Most read</h3><ul><li><a href=/1>Storm ahead</a><li><a href=/2>New school opens</a><li><a href=/3>Cup final</a></ul></div>
+     <div>Copyright 2021 Valley Press</div></body></html>"""),
+    ("""<body><ul><li><a href="/a">Recipes</a></li><li><a href="/b">Drinks</a></li><li><a href="/c">Shop</a></li></ul>
+     <div class="col-8 x1"><h2>#Bread without kneading</h2><div>#Stir flour, salt, yeast and water in a bowl until no dry flour is
+     left. Cover it and let it stand overnight.</div><div>#In the morning the dough has doubled. Fold it twice, put it on a floured
+     board and wait for an hour.</div><div>#Bake it in a hot pot for forty minutes. Let it cool before you cut it.</div></div>
+     <div class="col-4"><h4>More</h4><div><a href="/p1">Rye bread</a></div><div><a href="/p2">Flat bread</a></div></div>
+     <div><form>Your mail <input name=m><button>Send</button></form></div><p>&copy; 2019 Kitchen</p></body>"""),
+    ("""<html><body><span><a href="/">Log</a></span><section><h1>#Three weeks on foot</h1><p>#We set out from the coast in rain, with more
+     in our bags than we could carry. After two days we sent half of it home.<p>#The hills came sooner than the map had promised. On
+     the fourth evening we slept in a barn, and the farmer woke us with coffee.<p>#What I remember best is the quiet.</section>
+     <div><a href="/x">Older</a> | <a href="/y">Newer</a> | <a href="/z">Archive</a></div></body></html>"""),
+)
+
+
+def test_labeller_on_plain_pages_written_by_hand(spark):
+    """Pages whose markup names nothing, also where the table holds many such pages and few others."""
+    pages = [p.replace("#", "") for p in PLAIN_PAGES]
+    crawl = [(i, "u", f"<body><div><a href=/>x</a></div><div><p>{prose(30, i)}.</p><p>{prose(20, -i % 97)}.</p></div></body>") for i in range(150)]
+    labeller = extract.fit(spark.createDataFrame(crawl, "page_id long, url string, html string"))
+    kept = lost = junk = 0
+    for marked, page in zip(PLAIN_PAGES, pages):
+        truth = ["#" in b.text for b in extract.blocks_of(marked)]
+        got = labeller.probabilities([extract.vectors(extract.blocks_of(page))])[0] >= 0.5
+        kept, lost, junk = kept + sum(g and t for g, t in zip(got, truth)), lost + sum(t and not g for g, t in zip(got, truth)), \
+            junk + sum(g and not t for g, t in zip(got, truth))
+    assert kept >= 9 and lost <= 3 and junk <= 2
+
+
+def test_tags_end_outside_quotes():
+    got = [(t.name, t.closing, t.attributes) for t in markup.tags(
+        """<p title="a > b" x='>'>1 < 2<a href="x>l</a> <b k="y">don't</B><!-- > --><script>if(a<b)"</p>"</script ><br/><q""")]
+    assert got == [("p", False, """ title="a > b" x='>'"""), ("a", False, ' href="x>l</a> <b k="y"'), ("b", True, ""),
+                   ("", False, ""), ("", False, ""), ("br", False, "/")]
+    page = '<div><a title="a > b" href="x">link</a> text</div>'
+    assert warc.plain_text(page) == "link text" and [b.text for b in extract.blocks_of(page)] == ["link text"]
+
+
+@pytest.mark.parametrize("piece", ["<a", "<a ", '<a "', '<a ="', "<a =' >", "<!", "<!--", "<script ", "<", "</scr", "<a =\" > \" '", "<p>x"])
+def test_markup_takes_linear_time(piece):
+    page = "<p>" + piece * (200_000 // len(piece))
+    begin = time.perf_counter()
+    markup_tags = sum(1 for _ in markup.tags(page))
+    assert time.perf_counter() - begin < 5 and markup_tags >= 1
+    extract.blocks_of(page)
+    warc.plain_text(page)
+    assert time.perf_counter() - begin < 15
+
+
+def test_long_pages_are_scored_in_bounded_memory():
+    blocks = extract.blocks_of("<article>" + "<p>Some words, as ever.</p>" * 60_000)
+    m = extract.new_labeller()
+    x = extract.vectors(blocks)
+    tracemalloc.start()
+    p = m.probabilities([x])[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(p) == 60_000 and peak < 6 * x.nbytes
+    full = extract._forward(m, x[None, :500], np.array([500]))[0][0]
+    assert np.allclose(full, m.probabilities([x[:500]])[0], atol=1e-5)
 
 
 def test_all_words_of_a_block_are_hashed():
@@ -208,9 +278,9 @@ def test_lstm_gradient():
     x, up = rng.normal(size=(2, 4, 5)), rng.normal(size=(2, 4, extract.HIDDEN))
 
     def loss(v):
-        return float((extract._scan(v, x)[0] * up).sum())
+        return float((extract._scan(v, extract._base(v, x))[0] * up).sum())
 
-    g = extract._scan_gradient(w, x, extract._scan(w, x)[1], up)
+    g = extract._scan_gradient(w, x, extract._scan(w, extract._base(w, x))[1], up)
     for i, j in ((0, 3), (7, 20), (-1, 40), (12, 60)):
         d = np.zeros_like(w)
         d[i, j] = 1e-2
@@ -435,3 +505,130 @@ def test_url_edges(spark):
     assert by[8] == ("x.org", "/x/y", "org/x/y", "block") and by[9][1:] == ("/xz", "org/x", "allow")
     assert urls.judge_urls(df, rules.limit(0)).where("rule IS NULL").count() == 12
     assert urls.judge_urls(df.limit(0), rules).count() == 0
+
+
+def test_fill_in_middle_edges(spark, docs, none):
+    extra = [(20, "a\n\n\nb"), (21, "\n"), (22, "no break"), (23, "ü\n日本\n€uro"), (24, "holds <S> already\nx"), (25, "x\n" * 5000),
+             (26, "\n\n"), (27, "<P"), (None, "one\ntwo\n"), (28, "a\r\nb\rc\n")]
+    df = docs.select("doc_id", "text", "lang", F.lit("z").alias("fim")).unionByName(
+        spark.createDataFrame([(d, t, None, "z") for d, t in extra], "doc_id long, text string, lang string, fim string"))
+    made = middle.fill_in_middle(df, out="made").withColumn("back", middle.restored(F.col("made.output"), F.col("made.form")))
+    rows = made.collect()
+    assert len(rows) == df.count() and made.columns == ["doc_id", "text", "lang", "fim", "made", "back"]
+    for r in rows:
+        m = r.made
+        assert (m.n, m.form, m.prefix_chars, m.middle_chars, m.output) == brute.fill_in_middle(r.doc_id, r.text)
+        assert r.back == (r.text or "")
+    assert {r.made.form for r in rows} == {"plain", "spm", "psm"}
+    assert middle.fill_in_middle(none).collect() == []
+    assert {r.fim.form for r in middle.fill_in_middle(df, rate=0).collect()} == {"plain"}
+    for bad in (("<P>", "<P>", "<M>"), ("<P>", "x", "<M>"), ("<<", "<S>", "<M>")):
+        with pytest.raises(ValueError):
+            middle.fill_in_middle(docs, sentinels=bad)
+
+
+def test_select_in_words():
+    rng = np.random.default_rng(1)
+    for share in (0.02, 0.3, 1.0):
+        data = np.where(rng.random(1003) < share, 10, rng.integers(0, 256, 1003)).astype(np.uint8)
+        marks = middle.Marks(middle.byte_marks(middle.words_of(data), 10))
+        at = np.flatnonzero(data == 10)
+        assert (marks.select(np.arange(len(at))) == at).all()
+        places = np.arange(len(data) + 1)
+        assert (marks.rank(places) == np.searchsorted(at, places)).all()
+
+
+def test_order_minhash_edges(spark, docs, none):
+    texts = [t for t, in docs.select("text").distinct().collect()] + [
+        " leading and trailing ", "a b c d e", "a b c d e f", "a " * 700, "same words " * 50 + "end", "x\ty\nz w v u t"]
+    df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, fingerprint string")
+    got = {r.doc_id: r.fingerprint for r in order_minhash.fingerprints(df).collect()}
+    assert got == {i: brute.order_minhash(t) for i, t in enumerate(texts)}
+    assert got[texts.index(None)] == got[texts.index("")] == ""
+    assert order_minhash.edited_fingerprints(none).collect() == []
+    # a text of a script without blanks has a unit for each character
+    near = spark.createDataFrame([("日本語の文章は単語の間に空白を置かない", "日本語の文章は単語の間に空白を置きます"), ("日本 語", "日本語")], "a string, b string")
+    like = near.select(order_minhash.likeness(*[order_minhash.order_minhash(F.col(c)) for c in "ab"]).alias("x")).collect()
+    assert 0.2 < like[0].x < 1 and like[1].x == 1
+
+
+def test_order_minhash_follows_edits_and_order(spark):
+    words = prose(900, 31).split()
+    near = [*words[:450], *prose(30, 32).split(), *words[480:]]
+    rows = [(" ".join(words), " ".join(x)) for x in (words, near, words[450:] + words[:450], prose(900, 33).split())]
+    made = spark.createDataFrame(rows, "a string, b string").select(
+        order_minhash.likeness(*[order_minhash.order_minhash(F.col(c)) for c in "ab"]).alias("x")).collect()
+    same, edited, moved, other = [r.x for r in made]
+    assert same == 1 and 0.7 < edited < 1 and moved < edited - 0.2 and other < 0.05
+
+
+def test_edited_fingerprints(spark, docs):
+    numbered = {r.doc_id: r.text for r in docs.where("doc_id IS NOT NULL").collect()}
+    df = docs.where("doc_id IS NOT NULL").select("doc_id", "text", "fp")
+    assert df.count() == len(numbered) + 1  # one row comes twice
+    rows = order_minhash.edited_fingerprints(df).collect()
+    assert len(rows) == df.count()
+    want = brute.edited(numbered)
+    for r in rows:
+        text, after = want[r.doc_id]
+        own, changed, following = (brute.order_minhash(t) for t in (numbered[r.doc_id], text, numbered[after]))
+        assert (r.n_chars, r.edited_sha256) == (len(numbered[r.doc_id] or ""), brute.sha(text.encode()))
+        assert (r.fingerprint, r.edited_fingerprint) == (own, changed)
+        assert (r.near_edited, r.near_next) == (brute.share(own, changed), brute.share(own, following))
+    odd = spark.createDataFrame([(None, "x y"), (None, "x y"), (None, None), (1, "a b c"), (1, "d e f g h i")], "doc_id long, text string")
+    got = order_minhash.edited_fingerprints(odd).collect()
+    assert Counter((r.doc_id, r.n_chars) for r in got) == Counter({(None, 3): 2, (None, 0): 1, (1, 5): 1, (1, 11): 1})
+    assert len({(r.doc_id, r.n_chars, r.edited_sha256, r.near_next) for r in got}) == 4
+    alone = order_minhash.edited_fingerprints(odd.where("text = 'a b c'")).collect()
+    assert [(r.n_chars, r.near_next, r.edited_sha256) for r in alone] == [(5, 1.0, brute.sha(b"a b a"))]
+
+
+@pytest.mark.parametrize("letters,longest,count", [("ab", 7, 150), ("abc", 9, 250), ("abcdeé", 10, 300)])
+def test_two_way_index_finds_all_words_one_edit_away(letters, longest, count):
+    rng = np.random.default_rng(count)
+    words = sorted({"".join(rng.choice(list(letters), rng.integers(1, longest + 1))) for _ in range(count)})
+    index = spelling.TwoWayIndex(words)
+    asked = [*words[::2], "zz", "abz", letters * 3]
+    for first in (True, False):
+        q, w = index.near(asked, first, np.array([x in set(words) for x in asked]))
+        want = {(a, b) for a in asked for b in words if brute.one_edit(a, b) and (
+            b.startswith(a[:len(a) // 2]) if first else b.endswith(a[len(a) // 2:]))}
+        assert {(asked[i], words[j]) for i, j in zip(q, w)} == want and len(q) == len(want)
+
+
+def test_spelling_variants_equal_brute_force(spark):
+    prepare(spark)
+    rng = np.random.default_rng(8)
+    base = ["color", "colour", "colours", "coloura", "x" * 400, "x" * 399 + "y", "été", "ete", "aaaaaa", "aaaaaaa", "aaaaaaaa", "solo"]
+    words = {w: int(rng.integers(1, 400)) for w in base + ["".join(rng.choice(list("abc"), rng.integers(4, 8))) for _ in range(500)]}
+    words |= {"chainaa": 625, "chainab": 125, "chainbb": 25, "chainbc": 5, "tiea": 50, "tieb": 50, "tie": 10}
+    df = spark.createDataFrame([(w, n, "z") for w, n in words.items()], "word string, n long, form string")
+    want = brute.variants(words)
+    for rows in (10_000, 40):  # with 40, many halves are dealt over several shards
+        got = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in spelling.group_variants(df, shard_rows=rows).collect()}
+        assert got == want
+    assert got["chainbc"][:2] == ("chainbb", "chainaa") and got["tie"][0] == "tiea"
+    odd = spark.createDataFrame([("abc", 2), ("abc", 3), (None, 9), ("", 9), ("abd", 100)], "word string, n long")
+    assert sorted(tuple(r) for r in spelling.group_variants(odd).collect()) == [
+        ("abc", "abd", "abd", 5, 1, 100), ("abd", None, "abd", 100, 1, None)]
+    assert spelling.group_variants(odd.limit(0)).collect() == []
+    with pytest.raises(ValueError):
+        spelling.group_variants(odd, ratio=1)
+
+
+def test_noisy_words(spark, docs, none):
+    import re
+    import zlib
+
+    text = "Abcdefg ÀBCDEFé short x-rayed naïvement " + " ".join(f"Wörter{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600))
+    df = docs.select("doc_id", "text", "term").unionByName(spark.createDataFrame([(77, text, "z"), (None, text, "z")], "doc_id long, text string, term string"))
+    want = Counter()
+    for r in df.collect():
+        for run in re.findall("[A-Za-zÀ-ÿ]+", r.text or ""):
+            run = run.translate(brute.LOWER)
+            h = zlib.crc32(f"{'' if r.doc_id is None else r.doc_id}:{run}".encode())
+            want[run[:h % len(run)] + run[h % len(run) + 1:] if h % 199 == 0 else run] += len(run) >= 6
+    want = {w: n for w, n in want.items() if n >= 1 and len(w) >= 6}
+    got = {r.word: r.n for r in spelling.vocabulary(spelling.noisy_words(df), min_count=1).collect()}
+    assert got == want and any(w.startswith("örter") or "wrter" in w for w in got)
+    assert spelling.noisy_words(none).count() == 0
