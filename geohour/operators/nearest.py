@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from geohour.operators import quadtree
 from geohour.operators.cells import Bounds, bounds_of, with_cell
-from geohour.operators.shapes import edge_cells, point_segment_distance2, segment_bounds
+from geohour.operators.shapes import segment_bounds
 from geohour.session import materialize
 
 
@@ -124,68 +125,23 @@ def _meet(points: DataFrame, chosen: DataFrame, candidates: DataFrame, placed: D
     )
 
 
-def _fine_step(segments: DataFrame, b: Bounds, step: float, crowd: int = 256) -> float:
-    """A cell edge at which no cell is crowded with segments, as far as that does not cut the
-    segments into very many cells. Only the work depends on it, not the result.
-    """
-    extent = max(b.max_x - b.min_x, b.max_y - b.min_y)
-    length = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
-    n, longest = segments.agg(F.count(F.lit(1)), F.max(length)).first()
-    for _ in range(6):
-        cells = edge_cells(segments.select("x1", "y1", "x2", "y2"), b.min_x, b.min_y, step)
-        per_cell = cells.groupBy("ix", "iy").count()
-        fullest, cut = per_cell.agg(F.max("count"), F.sum("count")).first()
-        # What the next step would cut a segment into is known before it is tried.
-        finer = step / 8
-        if fullest <= crowd or extent / finer > 2**26 or longest / finer > 2**16 or cut > 16 * n:
-            break
-        step = finer
-    return step
-
-
 def nearest_distance(
     points: DataFrame, point_id: str, x: str, y: str, segments: DataFrame, feature: str,
     step: float = 100.0, out: str = "distance",
 ) -> DataFrame:
     """Distance of each point to the nearest segment, with that segment's feature.
 
-    One row per point; of features equally near the one with the smallest id is taken.
-    Without any segment the distance is NULL.
+    One row per point; of features equally near the one with the smallest id is taken. Without
+    any segment the distance is NULL. Crowded places are cut into cells of down to a thousandth
+    of `step` (`quadtree`); only the work depends on it, not the result.
     """
     b = bounds_of(points, x, y)
     s = segment_bounds(segments)
     if b.min_x is None or s.min_x is None:
         none = F.lit(None).cast(segments.schema[feature].dataType)
         return points.withColumns({out: F.lit(None).cast("double"), feature: none})
-    b = _union_bounds(b, s)
-    step = _fine_step(segments, b, step)
-    top = _levels_to_cover(b, step)
-    places = points.select(point_id, F.col(x).alias("px"), F.col(y).alias("py")).dropna()
-    located = with_cell(places, "px", "py", b.min_x, b.min_y, step)
-    shape = [feature, "x1", "y1", "x2", "y2"]
-    touched = edge_cells(segments.select(*shape), b.min_x, b.min_y, step)
-    occupied = touched.groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("n"))
-    chosen, candidates = _candidate_cells(located, occupied, 1, top, step, None, [])
-    candidates = materialize(candidates, "candidate-cells")
-    wanted = candidates.select("level", F.col("ox").alias("cx"), F.col("oy").alias("cy")).distinct()
-    # Segments are repeated for the levels in use only; their number is bounded by the extent.
-    levels = sorted(r.level for r in candidates.select("level").distinct().collect())
-    at_levels = touched.withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels or [0]]))).withColumns({
-        "cx": F.expr("shiftright(ix, level)"), "cy": F.expr("shiftright(iy, level)")})
-    placed = (
-        at_levels
-        .join(wanted, ["level", "cx", "cy"], "left_semi")
-        .select("level", F.col("cx").alias("ox"), F.col("cy").alias("oy"), *shape)
-        .distinct()
-    )
-    best = (
-        _meet(located, chosen, candidates, placed, [])
-        .groupBy(F.col(point_id).alias("_id"))
-        .agg(F.min(F.struct(
-            point_segment_distance2(F.col("px"), F.col("py")).alias("d2"), feature
-        )).alias("_best"))
-        .select("_id", F.sqrt("_best.d2").alias(out), F.col(f"_best.{feature}").alias(feature))
-    )
+    best = quadtree.nearest(points, point_id, x, y, segments, feature, _union_bounds(b, s), step / 1024)
+    best = best.select(F.col(point_id).alias("_id"), F.sqrt("d2").alias(out), feature)
     return points.join(best, F.col(point_id) == F.col("_id"), "left").drop("_id")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from geohour.operators.cells import Bounds, join_cells, number_cells, with_cell
 from geohour.operators.idw import idw_interpolate, idw_over_time
+from geohour.operators import quadtree
 from geohour.operators.nearest import knn_radius, nearest_distance, nearest_over_time
 from geohour.operators.shapes import PARTS_TYPE, covering_grid, polygon_cells, ring_segments
 from geohour.plans.terrain import cell_elevation, grid_generate, intersects_flag, river_distance_class
@@ -148,6 +149,37 @@ def test_nearest_with_many_copies_of_a_segment(spark):
     assert rows(out.select("id", "distance", "feature_id")) == [(1, 5.0, 0), (2, 0.0, 0)]
 
 
+def test_nearest_on_a_sparse_map_with_a_crowded_spot(spark, tmp_path):
+    rnd = random.Random(11)
+    spot = [(50_000 + rnd.uniform(0, 3), 20_000 + rnd.uniform(0, 3)) for _ in range(3000)]
+    lines = [(x, y, x + rnd.uniform(-0.02, 0.02), y + rnd.uniform(-0.02, 0.02)) for x, y in spot]
+    lines += [(rnd.uniform(0, 1e5), rnd.uniform(0, 1e5), rnd.uniform(0, 1e5), rnd.uniform(0, 1e5)) for _ in range(12)]
+    lines += [(100.0, 5.0, 90_000.0, 70_005.0 + i / 1e6) for i in range(150)]  # on top of each other along the map
+    points = [(50_000 + rnd.uniform(-5, 8), 20_000 + rnd.uniform(-5, 8)) for _ in range(150)]
+    points += [(rnd.uniform(-1e4, 1.2e5), rnd.uniform(-1e4, 1.2e5)) for _ in range(150)]
+    segments = spark.createDataFrame([(i, *e) for i, e in enumerate(lines)], "feature_id int, x1 double, y1 double, x2 double, y2 double")
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "id int, x double, y double")
+    got = {r.id: (r.distance, r.feature_id) for r in nearest_distance(df, "id", "x", "y", segments, "feature_id").collect()}
+    for i, (x, y) in enumerate(points):
+        near = sorted((distance(x, y, ((a, b), (c, d))), j) for j, (a, b, c, d) in enumerate(lines))
+        assert got[i][0] == pytest.approx(near[0][0], rel=1e-9, abs=1e-9)
+        assert got[i][1] in {j for v, j in near if v <= near[0][0] * (1 + 1e-9) + 1e-9}
+    b = Bounds(-1e4, -1e4, 1.2e5, 1.2e5)
+    pieces, children, _ = quadtree.build(segments, "feature_id", b, 0.01)
+    sizes = pieces.groupBy("level", "cx", "cy").agg(F.count("*").alias("n"), F.min("feature_id").alias("first")).collect()
+    # Depth follows the place: the spot is cut finely, most cells of the map are not.
+    assert max(r.level for r in sizes if r.first < 3000) >= 5 and all(r.n <= quadtree.CROWD for r in sizes if r.first < 3000)
+    assert len(sizes) < 3000 and pieces.count() < 12 * len(lines) and len(children) <= 8
+
+
+def test_nearest_takes_the_smallest_feature_of_equals(spark):
+    sides = [(7, 0.0, 1.0, 9.0, 1.0), (3, 0.0, -1.0, 9.0, -1.0), (5, 0.0, 1.0, 9.0, 1.0), (9, 4.0, 5.0, 4.0, 5.0)]
+    segments = spark.createDataFrame(sides + [(8, None, 1.0, 2.0, 3.0)], "feature_id int, x1 double, y1 double, x2 double, y2 double")
+    df = spark.createDataFrame([(1, 2.0, 0.0), (2, 4.0, 5.0), (3, 4.0, 1.0)], "id int, x double, y double")
+    out = nearest_distance(df, "id", "x", "y", segments, "feature_id").select("id", "distance", "feature_id")
+    assert rows(out) == [(1, 1.0, 3), (2, 0.0, 9), (3, 0.0, 5)]
+
+
 def test_nearest_without_features(spark):
     df = spark.createDataFrame([(1, 500.0, 300.0)], "id int, x double, y double")
     none = polygons(spark, [[box(0, 0, 1, 1)]]).where("feature_id = 5")

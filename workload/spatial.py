@@ -120,15 +120,17 @@ CLAMP_SQL = """
 
 @query("nearest_distance", f"""
     WITH {stage.SHAPES_SQL}, {stage.SEGMENTS_SQL}, seg AS ({SEGMENT_ROWS_SQL}),
-         pairs AS (SELECT c_custkey, {DISTANCE_SQL} AS dist FROM
+         pairs AS (SELECT c_custkey, feature_id, {DISTANCE_SQL} AS dist FROM
                    (SELECT *, {CLAMP_SQL} AS t FROM
                     (SELECT c_custkey, x AS px, y AS py FROM {POINTS_SQL}), seg))
-    SELECT c_custkey, round(min(dist), 6) AS distance FROM pairs GROUP BY c_custkey""")
+    SELECT c_custkey, round(min(dist), 6) AS distance,
+           arg_min(feature_id, {{'dist': dist, 'feature_id': feature_id}}) AS feature_id
+    FROM pairs GROUP BY c_custkey""")
 def nearest(spark, d):
     edges = stage.segments(stage.district_polygons(spark, d))
     near = nearest_distance(stage.customer_points(spark, d), "c_custkey", "x", "y", edges,
                             "feature_id", STEP)
-    return near.select("c_custkey", F.round("distance", 6).alias("distance"))
+    return near.select("c_custkey", F.round("distance", 6).alias("distance"), "feature_id")
 
 
 KNN_SQL = f"""
