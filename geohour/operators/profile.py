@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -39,65 +40,88 @@ def class_balance(df: DataFrame, flag: str) -> DataFrame:
     ).withColumn("positive_pct", F.col("n_positive") * 100 / F.nullif("n_rows", F.lit(0)))
 
 
+def _literal(v: float) -> str:
+    return f"{v!r}D" if math.isfinite(v) else f"double('{v}')"
+
+
 def _range_of(column: str, cuts: list[float]) -> str:
     """SQL for the number of cuts below a value, as a balanced tree of comparisons."""
-    def literal(v: float) -> str:
-        return f"{v!r}D" if math.isfinite(v) else f"double('{v}')"
-
     def tree(lo: int, hi: int) -> str:
         if lo == hi:
             return str(lo)
         mid = (lo + hi) // 2
-        return (f"CASE WHEN {column} <= {literal(cuts[mid])} THEN {tree(lo, mid)} "
+        return (f"CASE WHEN {column} <= {_literal(cuts[mid])} THEN {tree(lo, mid)} "
                 f"ELSE {tree(mid + 1, hi)} END")
 
     return tree(0, len(cuts))
 
 
+class _Range(NamedTuple):
+    low: float  # smallest and largest value in it
+    high: float
+    n: int
+
+
+def _narrowed(values: DataFrame, ranges: list[_Range], pivots: int) -> dict[int, list[_Range]]:
+    """The parts of each range, in order: a sketch of the range cuts it, and its largest value is apart."""
+    which = "CASE " + " ".join(
+        f"WHEN _v BETWEEN {_literal(r.low)} AND {_literal(r.high)} THEN {i}" for i, r in enumerate(ranges)) + " END"
+    inside = values.withColumn("_range", F.expr(which)).where(F.col("_range").isNotNull())
+    shares = F.array(*[F.lit(i / pivots) for i in range(1, pivots)])
+    cuts = {r["_range"]: sorted({c for c in r["cuts"] if c < ranges[r["_range"]].high}) for r in inside.groupBy("_range").agg(
+        F.percentile_approx("_v", shares, 4 * pivots).alias("cuts")).collect()}
+    part = "CASE " + " ".join(
+        f"WHEN _range = {i} THEN CASE WHEN _v = {_literal(r.high)} THEN {pivots} ELSE {_range_of('_v', cuts[i])} END"
+        for i, r in enumerate(ranges)) + " END"
+    counted = inside.groupBy("_range", F.expr(part).alias("_part")).agg(
+        F.min("_v").alias("low"), F.max("_v").alias("high"), F.count(F.lit(1)).alias("n"))
+    parts: dict[int, list[_Range]] = {}
+    for r in sorted(counted.collect(), key=lambda r: (r["_range"], r["_part"])):
+        parts.setdefault(r["_range"], []).append(_Range(r.low, r.high, r.n))
+    return parts
+
+
 def exact_quantiles(
-    df: DataFrame, column: str, quantiles: dict[str, float], pivots: int = 256
+    df: DataFrame, column: str, quantiles: dict[str, float], pivots: int = 256, most: int = 1 << 20
 ) -> DataFrame:
     """Exact linear-interpolated quantiles as one row.
 
-    Spark's `percentile` gathers all distinct values in one task. Here an approximate sketch
-    cuts the values into ranges, rows are counted per range, and only the few ranges that hold
-    a wanted rank are sorted. The sketch and the counts, at most `pivots` numbers each, are all
-    that comes to the driver.
+    Spark's `percentile` gathers all distinct values in one task. Here the ranges that hold a
+    wanted rank are cut by a sketch and counted, again and again, until each holds at most `most`
+    rows or a single value; only these are sorted. A pass divides a range by about `pivots`, so
+    10**13 rows take three. What comes to the driver are at most `pivots` numbers a rank and pass.
     """
     values = df.select(F.col(column).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    shares = F.array(*[F.lit(i / pivots) for i in range(1, pivots)])
-    sketch = values.agg(F.percentile_approx("_v", shares, 4 * pivots)).first()[0]
-    ranged = values.withColumn("_range", F.expr(_range_of("_v", sorted(set(sketch or [])))))
-    counts = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}
-    n = sum(counts.values())
-
-    def locate(rank: int) -> tuple[int, int]:
-        """Range of a rank, and the rank inside it."""
-        for r in sorted(counts):
-            if rank < counts[r]:
-                return r, rank
-            rank -= counts[r]
-        return -1, 0
-
-    spots = {}
-    for name, q in quantiles.items():
-        at = q * (n - 1)
-        spots[f"_{name}_lo"], spots[f"_{name}_hi"] = locate(math.floor(at)), locate(math.ceil(at))
-    wanted = sorted({r for r, _ in spots.values()})
-    inside = Window.partitionBy("_range").orderBy("_v")
-    ranked = (
-        ranged.where(F.col("_range").isin(wanted))
-        .groupBy("_range", "_v").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_end", F.sum("_n").over(inside))
-    )
-    picks = [
-        F.max(F.when(
-            (F.col("_range") == r) & (F.col("_end") - F.col("_n") <= rank) & (F.col("_end") > rank),
-            F.col("_v"),
-        )).alias(spot)
-        for spot, (r, rank) in spots.items()
-    ]
-    row = ranked.agg(*picks)
+    n, low, high = values.agg(F.count("_v"), F.min("_v"), F.max("_v")).first()
+    if not n:
+        return values.agg(*[F.max("_v").alias(name) for name in quantiles])
+    ranks = {f"_{name}_{end}": int(f(q * (n - 1))) for name, q in quantiles.items()
+             for end, f in (("lo", math.floor), ("hi", math.ceil))}
+    spots = {spot: (_Range(low, high, n), rank) for spot, rank in ranks.items()}  # and the rank in it
+    while open_ranges := sorted({r for r, _ in spots.values() if r.n > most and r.low < r.high}):
+        parts = _narrowed(values, open_ranges, pivots)
+        for spot, (r, rank) in spots.items():
+            if r in open_ranges:
+                for part in parts[open_ranges.index(r)]:
+                    if rank < part.n:
+                        break
+                    rank -= part.n
+                spots[spot] = part, rank
+    wanted = sorted({r for r, _ in spots.values() if r.low < r.high})
+    picks = [F.lit(r.low).alias(spot) for spot, (r, _) in spots.items() if r.low == r.high]
+    row = df.sparkSession.range(1).select(*picks)
+    if wanted:
+        which = "CASE " + " ".join(
+            f"WHEN _v BETWEEN {_literal(r.low)} AND {_literal(r.high)} THEN {i}" for i, r in enumerate(wanted)) + " END"
+        inside = Window.partitionBy("_range").orderBy("_v")  # at most `most` rows a range
+        ranked = (
+            values.withColumn("_range", F.expr(which)).where(F.col("_range").isNotNull())
+            .groupBy("_range", "_v").agg(F.count(F.lit(1)).alias("_n")).withColumn("_end", F.sum("_n").over(inside)))
+        sorted_out = ranked.agg(*[
+            F.max(F.when((F.col("_range") == wanted.index(r)) & (F.col("_end") - F.col("_n") <= rank) & (F.col("_end") > rank),
+                         F.col("_v"))).alias(spot)
+            for spot, (r, rank) in spots.items() if r.low < r.high])
+        row = sorted_out.select("*", *picks)
     out = []
     for name, q in quantiles.items():
         share = q * (n - 1) - math.floor(q * (n - 1))

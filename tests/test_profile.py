@@ -1,7 +1,10 @@
+from unittest import mock
+
 import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from conftest import rows
 from geohour.operators import profile
@@ -49,3 +52,25 @@ def test_quantiles_with_infinities(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     row = profile.exact_quantiles(df, "v", {"q25": 0.25, "q50": 0.5, "q90": 0.9}).first()
     assert row.q50 == 44.5 and row.q90 == float("inf") and 19 <= row.q25 <= 20
+
+
+@pytest.mark.parametrize("most", [1, 20, 400])
+def test_quantiles_narrow_until_few_rows_are_left(spark, most):
+    rng = np.random.default_rng(4)
+    values = [*rng.normal(size=900).tolist(), *[0.25] * 500, *[3.0] * 300, *[-9.0] * 200, float("inf"), float("-inf")]
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+    shares = {f"q{i}": i / 40 for i in range(1, 40)}
+    r = profile.exact_quantiles(df, "v", shares, pivots=8, most=most).first()
+    for name, q in shares.items():
+        assert r[name] == pytest.approx(np.quantile(values, q), abs=1e-12)
+
+
+def test_narrowing_sorts_a_bounded_range(spark):
+    df = spark.range(200_000).select((F.col("id") % 50_021).cast("double").alias("v"))
+    seen = []
+    kept = profile._narrowed
+    with mock.patch.object(profile, "_narrowed", side_effect=lambda v, r, p: seen.append([x.n for x in r]) or kept(v, r, p)):
+        r = profile.exact_quantiles(df, "v", {"q50": 0.5}, pivots=16, most=1000).first()
+    assert r.q50 == np.quantile(np.arange(200_000) % 50_021, 0.5)
+    # each pass is far smaller than the one before, and the last one leaves at most 1000 rows
+    assert len(seen) == 3 and all(max(b) < max(a) / 4 for a, b in zip(seen, seen[1:]))
