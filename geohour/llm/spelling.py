@@ -15,6 +15,7 @@ LETTERS = r"[A-Za-zÀ-ÿ]"
 MIN_CHARS, MIN_COUNT = 6, 5
 RATIO = 5  # how much more frequent than a word its form must be
 SHARD_ROWS = 8_000  # rows of words and questions that one index is built for, on average
+SHARDS_A_TASK = 8
 BLOCK = 64  # symbols between two stored counts of an index
 ROWS_AT_ONCE = 1 << 16  # states that a step looks at together
 QUERIES_AT_ONCE = 2_048
@@ -297,6 +298,8 @@ def near_words(vocab: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     dealt = cut.withColumn("part", F.explode(parts)).select(
         F.pmod(F.xxhash64("first", "half", "part"), F.lit(shards)).alias("shard"), "first", "word", "n", "asked",
         (F.col("part") == home).alias("held"))
+    # A given number, which is not coalesced: these rows are few bytes but much work.
+    dealt = dealt.repartition(-(-shards // SHARDS_A_TASK), "shard")
     found = dealt.groupBy("shard").applyInPandas(_search, "word string, n_near long, best_n long, best string")
     return found.groupBy("word").agg(
         F.sum("n_near").alias("n_near"), F.min(F.struct((-F.col("best_n")).alias("minus_n"), F.col("best").alias("word"))).alias("best"))
