@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import time
 import warnings
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from datetime import datetime, timedelta
 
 import pyarrow as pa
@@ -56,39 +56,45 @@ def level_source(
     name: str, fetch: Fetch, count: Callable[[str], int],
     window: Callable[[int], tuple[str, str]] = last_hour,
     districts: tuple[str, ...] = DISTRICTS, page_rows: int = PAGE_ROWS, ticks: int | None = None,
-    wait: float = 0.2,
+    wait: float = 0.2, max_rows: int | None = None,
 ) -> type[DataSource]:
     """A data source class for `spark.dataSource.register`.
 
     `count(district)` tells the rows of a district, `window(tick)` the requested hours of a poll.
-    Calls are repeated before they count as failed. A district that cannot be counted is left
-    out of that poll as a whole, with a warning. A page that fails afterwards fails the poll: it
-    runs again from its offset, and no half district is ever stored. `ticks` ends the stream
-    after so many polls.
+    Calls are repeated before they count as failed. A page that fails fails the poll: it runs
+    again from its offset, and no half district is ever stored. `ticks` ends the stream after so
+    many polls.
+
+    The stream keeps an offset for each district: the hour from which it is owed. A district that
+    cannot be counted, or that does not fit in the `max_rows` of a poll, is left out of that poll
+    as a whole, and the next one asks for all hours since. Those owed longest come first, and a
+    poll takes at least one district. A batch read leaves out what cannot be counted, with a warning.
     """
     root, fields = PAYLOAD_ROOT, dict(PAYLOAD_FIELDS)
 
     class Page(InputPartition):
-        def __init__(self, district: str, first: int, last: int, tick: int):
-            self.district, self.first, self.last, self.tick = district, first, last, tick
+        def __init__(self, district: str, first: int, last: int, start: str = "", end: str = ""):
+            self.district, self.first, self.last, self.start, self.end = district, first, last, start, end
 
-    def pages(tick: int) -> list[InputPartition]:
-        out: list[InputPartition] = []
-        for district in districts:
+    def counted(what: str, of: Iterable[str]) -> Iterator[tuple[str, int]]:
+        """Districts with their rows, as far as they answer."""
+        for district in of:
             try:
-                n = _again(lambda: count(district), f"district {district}", wait)
+                yield district, _again(lambda: count(district), f"district {district}", wait)
             except RuntimeError as e:
-                warnings.warn(f"left out of poll {tick}: {e}", stacklevel=2)
-                continue
-            out += [Page(district, i, min(i + page_rows - 1, n), tick)
-                    for i in range(1, n + 1, page_rows)]
-        return out or [Page("", 1, 0, tick)]
+                warnings.warn(f"left out of {what}: {e}", stacklevel=2)
+
+    def pages(of: Iterable[tuple[str, int, str, str]]) -> list[InputPartition]:
+        out: list[InputPartition] = [
+            Page(district, i, min(i + page_rows - 1, n), start, end)
+            for district, n, start, end in of for i in range(1, n + 1, page_rows)]
+        return out or [Page("", 1, 0)]
 
     def rows(page: Page) -> Iterator[pa.RecordBatch]:
         if page.last < page.first:
             return
         payload = _again(
-            lambda: fetch(page.district, page.first, page.last, *window(page.tick)),
+            lambda: fetch(page.district, page.first, page.last, page.start, page.end),
             f"district {page.district}, rows {page.first} to {page.last}", wait)
         records = payload.get(root, {}).get("row", [])
         yield pa.RecordBatch.from_arrays(
@@ -96,27 +102,46 @@ def level_source(
 
     class Batch(DataSourceReader):
         def partitions(self):
-            return pages(0)
+            start, end = window(0)
+            return pages((d, n, start, end) for d, n in counted("the read", districts))
 
         def read(self, partition):
             return rows(partition)
 
     class Stream(DataSourceStreamReader):
+        """An offset says what its poll reads, and since when each other district is owed."""
+
         def __init__(self):
-            self.tick = 0
+            self.offset = self.initialOffset()
+            self.planned = 0
 
         def initialOffset(self):
-            return {"tick": 0}
+            return {"tick": 0, "end": "", "read": {}, "owed": {}}
 
         def latestOffset(self):
-            if ticks is None or self.tick < ticks:
-                self.tick += 1
-            return {"tick": self.tick}
+            last = self.offset
+            if ticks is not None and last["tick"] >= ticks:
+                return last
+            tick = last["tick"] + 1
+            start, end = window(tick - 1)
+            owed = dict(last["owed"])
+            if last["tick"] > self.planned:  # no batch has taken the last poll yet
+                owed |= {d: since for d, (_, since) in last["read"].items()}
+            read, size = {}, 0
+            for district, n in counted(f"poll {tick}", sorted(districts, key=lambda d: (owed.get(d, start), districts.index(d)))):
+                if max_rows is None or not read or size + n <= max_rows:
+                    read[district] = [n, owed.get(district, start)]
+                    size += n
+            self.offset = {"tick": tick, "end": end, "read": read,
+                           "owed": {d: owed.get(d, start) for d in districts if d not in read}}
+            return self.offset
 
         def partitions(self, start, end):
-            # After a restart the offsets come from the checkpoint.
-            self.tick = max(self.tick, end["tick"])
-            return [p for t in range(start["tick"], end["tick"]) for p in pages(t)]
+            # After a restart the offsets come from the checkpoint; each holds all that its poll needs.
+            if end["tick"] >= self.offset["tick"]:
+                self.offset = end
+            self.planned = max(self.planned, end["tick"])
+            return pages((d, n, since, end["end"]) for d, (n, since) in end["read"].items())
 
         def read(self, partition):
             return rows(partition)

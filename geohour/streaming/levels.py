@@ -1,6 +1,7 @@
 """Polled level readings as a stream: deduplicate, enrich, hourly maximum, upsert.
 
-Late data is always accepted unless a watermark is asked for; a watermark bounds the state.
+Late data is always accepted unless a watermark is asked for. What has been seen is kept in a
+stored log of keys and not in the query's state, so memory does not grow with the history.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 from geohour.functions.temporal import floor_hour, parse_time
 from geohour.functions.values import normalize_id, safe_cast
 from geohour.operators.tables import hourly_max
-from geohour.sources.storage import append_batch
+from geohour.session import materialize
+from geohour.sources.storage import append_batch, path_exists, read_log
 
 
 def dedup_readings(
@@ -69,6 +71,29 @@ def to_hourly(
     return hourly_max(rows, ["time", "grid_id"], "water_level")
 
 
+def unseen(batch: DataFrame, keys_root: str, batch_id: int, sensor: str = "sensor_id", time: str = "time") -> DataFrame:
+    """The first rows of each (trimmed sensor, raw time text) of a batch that no earlier batch had.
+
+    The keys of a batch become a batch of the log at `keys_root`; one that runs again replaces
+    its own and is compared with earlier ones only. The log is read between the least and largest
+    time text of the batch, which its files are sorted by, so a batch of the present does not
+    read the past; a late one reads what it needs. `storage.compact_log` puts the log together.
+    """
+    spark = batch.sparkSession
+    first = batch.withColumn("_sensor", normalize_id(sensor)).dropDuplicates(["_sensor", time])
+    if path_exists(spark, keys_root):
+        low, high = batch.agg(F.min(time), F.max(time)).first()
+        log = read_log(spark, keys_root)
+        known = log.where((F.col("batch_id") < batch_id) & (
+            F.col("time").isNull() if low is None else F.col("time").isNull() | F.col("time").between(low, high)))
+        known = known.select(F.col("sensor").alias("_k"), F.col("time").alias("_t"))
+        first = first.join(known, F.col("_sensor").eqNullSafe(F.col("_k")) & F.col(time).eqNullSafe(F.col("_t")), "left_anti")
+    first = materialize(first, "unseen")
+    keys = first.select(F.col("_sensor").alias("sensor"), F.col(time).alias("time"))
+    append_batch(keys.repartitionByRange("time", "sensor").sortWithinPartitions("time", "sensor"), keys_root, batch_id)
+    return first.drop("_sensor")
+
+
 def start_level_stream(
     readings: DataFrame, sensor_map: DataFrame, root: str, checkpoint: str,
     interval: str | None = "300 seconds", watermark: str | None = None,
@@ -76,17 +101,20 @@ def start_level_stream(
     """Store the hourly maxima of each micro-batch as one batch of the log at `root`.
 
     A batch that runs again after a failure replaces itself, so nothing is lost or doubled.
-    `interval=None` takes what is there and ends. Late readings are always stored. The keys
-    known to the deduplication stay in state for good unless `watermark` bounds them: then a
-    reading that comes again later than that counts anew, which maxima do not feel.
+    `interval=None` takes what is there and ends. Late readings are always stored, and repeats of
+    any age are known: what has been seen is the log `<root>-seen` (`unseen`), and the query has
+    no state. With a `watermark` the keys are in state instead, for so long: a reading that
+    comes again later counts anew, which maxima do not feel.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
+        if watermark is None:
+            batch = unseen(batch, f"{root}-seen", batch_id)
         append_batch(to_hourly(enrich(batch, sensor_map)), root, batch_id)
 
+    once = readings
     if watermark is not None:
-        readings = readings.withColumn("_event", parse_time("time"))
-    once = dedup_readings(readings, event_time="_event", watermark=watermark)
+        once = dedup_readings(readings.withColumn("_event", parse_time("time")), event_time="_event", watermark=watermark)
     writer = once.writeStream.foreachBatch(save).option(
         "checkpointLocation", checkpoint
     )

@@ -310,6 +310,54 @@ def test_rest_source_stores_no_half_district(spark):
     assert len(start) == len(end) == 10 and start < end
 
 
+def test_a_district_that_failed_is_asked_for_its_missed_hours(spark, tmp_path):
+    calls, log = {"01": 2, "02": 3, "03": 4}, []
+
+    def fetch(district, first, last, start, end):
+        return {"DrainpipeMonitoringInfo": {"row": [{"UNQ_NO": district, "MSRMT_YMD": f"{start}-{end}"}]}}
+
+    def count(district):
+        if district == "02" and len(log) in (1, 2):
+            raise OSError("down")
+        return calls[district]
+
+    source = level_source("levels_owed", fetch, count, lambda tick: (f"h{tick}", f"h{tick + 1}"), ("01", "02", "03"),
+                          page_rows=10, wait=0)
+    reader = source({}).streamReader(None)
+    offsets, read = [reader.initialOffset()], []
+    for _ in range(5):
+        end = json.loads(json.dumps(reader.latestOffset()))
+        read.append({p.district: (p.start, p.end) for p in reader.partitions(offsets[-1], end)})
+        offsets.append(end)
+        log.append(end)
+    assert read[0] == {"01": ("h0", "h1"), "02": ("h0", "h1"), "03": ("h0", "h1")}
+    assert "02" not in read[1] and "02" not in read[2]
+    assert read[3] == {"01": ("h3", "h4"), "02": ("h1", "h4"), "03": ("h3", "h4")}
+    assert read[4]["02"] == ("h4", "h5")
+    # A restarted reader goes on from the offset in the checkpoint, owed hours included.
+    later = source({}).streamReader(None)
+    later.partitions(offsets[1], offsets[3])
+    log.append(None)
+    assert later.latestOffset()["read"]["02"] == [3, "h1"]
+    # A poll that no batch took is read by the next one.
+    later.latestOffset()
+    assert later.latestOffset()["read"]["01"] == [2, "h3"]
+
+
+def test_polls_are_limited_and_starve_no_district(spark):
+    source = level_source("levels_limit", lambda *a: {}, lambda d: 6, lambda tick: (f"h{tick}", f"h{tick + 1}"),
+                          ("01", "02", "03"), page_rows=4, wait=0, max_rows=12)
+    reader, seen = source({}).streamReader(None), []
+    last = reader.initialOffset()
+    for _ in range(4):
+        end = reader.latestOffset()
+        pages = reader.partitions(last, end)
+        last = end
+        assert sum(p.last - p.first + 1 for p in pages) <= 12
+        seen.append({p.district: p.start for p in pages})
+    assert seen == [{"01": "h0", "02": "h0"}, {"03": "h0", "01": "h1"}, {"02": "h1", "01": "h2"}, {"03": "h2", "01": "h3"}]
+
+
 def test_registry(spark):
     known = spark.createDataFrame([("1", "a", 1.0, 2.0), (" 2", "b, x", None, 2.0)],
                                   "sensor_id string, location string, lat double, lon double")

@@ -1,3 +1,4 @@
+import json
 from datetime import datetime as dt
 
 from pyspark.sql import functions as F
@@ -87,3 +88,28 @@ def test_unmatched_sensors(spark):
     readings = spark.createDataFrame([("1 ", "a"), ("2", "b"), ("2", "b")], "sensor_id string, location string")
     sensors = spark.createDataFrame([("1", 5), ("2", None)], "sensor_id string, grid_id int")
     assert rows(levels.unmatched(readings, sensors)) == [("2", "b")]
+
+
+def test_repeats_of_any_age_are_known_without_state(spark, tmp_path):
+    root = str(tmp_path)
+    sensors = spark.createDataFrame([("1", 7), ("2", 7)], "sensor_id string, grid_id bigint")
+    days = [f"2024-01-{d:02d} 10:20" for d in range(1, 9)]
+    for i, at in enumerate(days):
+        feed(spark, f"{root}/in", f"d{i}", ("1", "5.0", at), (" 1", "6.0", at), ("2", str(i), at))
+        run(spark, root, sensors)
+    # The first day again, a week later: a repeat, a late new reading, and a new time text.
+    feed(spark, f"{root}/in", "late", ("1 ", "99", days[0]), ("2", "99", days[0]), ("1", "3.0", "2024-01-01 10:50"))
+    q = levels.start_level_stream(stream(spark, f"{root}/in"), sensors, f"{root}/log", f"{root}/checkpoint", interval=None)
+    q.awaitTermination()
+    assert all(not p["stateOperators"] for p in map(json.loads, [x.json for x in q.recentProgress]))  # no state at all
+    log = storage.read_log(spark, f"{root}/log")
+    last = log.agg(F.max("batch_id")).first()[0]
+    assert rows(log.where(F.col("batch_id") == last).select("time", "grid_id", "water_level")) == [(dt(2024, 1, 1, 10), 7, 3.0)]
+    seen = storage.read_log(spark, f"{root}/log-seen")
+    assert seen.count() == seen.select("sensor", "time").distinct().count() == 2 * len(days) + 1
+    # A batch that runs again sees the earlier ones only, and stores the same.
+    again = levels.unseen(spark.createDataFrame([("1", "3.0", "2024-01-01 10:50", "x"), (None, "1", None, "x")], SCHEMA), f"{root}/log-seen", last)
+    assert again.count() == 2 and storage.read_log(spark, f"{root}/log-seen").count() == 2 * len(days) + 2
+    assert levels.unseen(spark.createDataFrame([(None, "2", None, "x")], SCHEMA), f"{root}/log-seen", last + 1).count() == 0
+    plan = storage.read_log(spark, f"{root}/log-seen").where(F.col("time").between(days[6], days[7]))._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(time," in plan  # the time range reaches the files

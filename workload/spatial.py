@@ -86,15 +86,17 @@ def vertices(spark, d):
 
 
 @query("geom_type_filter", """
-    SELECT doc_id, lang, n_chars FROM documents WHERE lang IN ('en', 'de') AND len(text) > 0""")
+    SELECT s_suppkey, CASE s_nationkey % 5 WHEN 0 THEN 'LineString' ELSE 'MultiLineString' END AS geom_type
+    FROM supplier WHERE s_nationkey % 5 IN (0, 1) AND s_suppkey % 3 > 0""")
 def geom_type_filter(spark, d):
-    kinds = F.when(F.col("lang") == "en", LINE_TYPES[0]).when(F.col("lang") == "de", LINE_TYPES[1])
-    rows = table(spark, d, "documents").withColumns({
-        "geom_type": kinds, "coords": F.split("text", " "),
-    })
-    return geometry_filter(rows, LINE_TYPES, "geom_type", "coords").where(
-        F.length("text") > 0
-    ).select("doc_id", "lang", "n_chars")
+    # Lines, surfaces, points and no type; a third of each has no coordinates: none, or an empty list.
+    types = F.array(*[F.lit(t) for t in (*LINE_TYPES, "Polygon", "Point", None)])
+    point = F.struct(F.col("s_acctbal").alias("x"), F.col("s_acctbal").alias("y"))
+    some = F.array(F.array(point, point))
+    coords = F.when(F.col("s_suppkey") % 3 > 0, some).when(F.col("s_suppkey") % 6 == 0, F.array().cast(LINES_TYPE))
+    rows = table(spark, d, "supplier").withColumns({
+        "geom_type": F.get(types, (F.col("s_nationkey") % 5).cast("int")), "lines": coords.cast(LINES_TYPE)})
+    return geometry_filter(rows, LINE_TYPES, "geom_type", "lines").select("s_suppkey", "geom_type")
 
 
 SEGMENT_ROWS_SQL = f"""
