@@ -507,6 +507,28 @@ def test_url_edges(spark):
     assert urls.judge_urls(df.limit(0), rules).count() == 0
 
 
+def test_many_url_rules_equal_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    labels = [chr(97 + i) * int(n) for i, n in zip(range(12), rng.integers(1, 9, 12))]
+    hosts = sorted({".".join(rng.choice(labels, rng.integers(1, 5))) for _ in range(400)} | {"", "com."})
+    paths = ["", "/"] + ["/" + "/".join(rng.choice(["x", "yy", "zzz"], rng.integers(1, 6))) for _ in range(60)]
+    rules = {(str(rng.choice(hosts)), str(rng.choice(paths))): str(rng.choice(["allow", "block"])) for _ in range(2500)}
+    asked = [("http://" + ".".join(rng.choice(labels, rng.integers(1, 6))) + str(rng.choice(paths)) + "tail") for _ in range(300)]
+    asked += ["http://" + "a." * 5000 + hosts[9] + "/x", "http://com./x", "http:///x"]
+    table = spark.createDataFrame([(h, p, v) for (h, p), v in rules.items()], "host string, path string, verdict string")
+    df = spark.createDataFrame(list(enumerate(asked)), "page_id long, url string")
+    want = {}
+    for i, u in enumerate(asked):
+        host, _, path = u.split("://", 1)[1].partition("/")
+        path = "/" + path if "/" in u.split("://", 1)[1] else ""
+        fit = [(len(h + p), len(h), v, h + p) for (h, p), v in rules.items() if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        want[i] = max(fit)[3:1:-1] if fit else (None, "allow")
+    for limit in (None, 0):  # broadcast, and shuffled
+        if limit is not None:
+            monkeypatch.setattr(urls, "small", lambda d: d)
+        assert {r.page_id: (r.rule, r.verdict) for r in urls.judge_urls(df, table).collect()} == want
+
+
 def test_fill_in_middle_edges(spark, docs, none):
     extra = [(20, "a\n\n\nb"), (21, "\n"), (22, "no break"), (23, "ü\n日本\n€uro"), (24, "holds <S> already\nx"), (25, "x\n" * 5000),
              (26, "\n\n"), (27, "<P"), (None, "one\ntwo\n"), (28, "a\r\nb\rc\n")]
