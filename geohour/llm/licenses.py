@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from geohour.llm.common import small
+from geohour.llm.license_texts import TEMPLATES
 from geohour.session import materialize
 
 SHINGLE = 5
@@ -15,28 +18,6 @@ CONTAINMENT = 0.8
 BANDS = 22
 MISS = (1 - CONTAINMENT / (3 - CONTAINMENT)) ** BANDS
 
-# The notices to look for.
-TEMPLATES = (
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("apache-2.0-header",
-     'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in '
-     "compliance with the License. You may obtain a copy of the License at"),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl-3.0-header",
-     "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-     "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-     "option) any later version."),
-    ("mit", "Released under the MIT License."),
-    ("mit-grant",
-     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-     'documentation files (the "Software"), to deal in the Software without restriction, including without '
-     "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of "
-     "the Software"),
-    ("mpl-2.0",
-     "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-)
-
 
 def words_of(text: Column) -> Column:
     """Lower-cased runs of letters and digits (and whatever is not ASCII)."""
@@ -59,20 +40,28 @@ def _band(shingle: Column, band: Column) -> Column:
     return F.xxhash64(shingle, band)
 
 
-def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
-    """(template, own, n, band, lowest, argmin): a row per template and band.
+def template_table(spark: SparkSession, templates: DataFrame | Iterable[tuple[str, str]] = TEMPLATES) -> DataFrame:
+    """(template, number, own, n): the shingles of each template that has any.
+
+    `templates` is a table with template and text, or rows of these two.
+    """
+    rows = templates if isinstance(templates, DataFrame) else spark.createDataFrame(list(templates), "template string, text string")
+    own = rows.select("template", F.array_distinct(shingles_of(words_of(F.col("text")))).alias("own")).distinct()
+    return own.where(F.size("own") > 0).select(
+        "template", F.xxhash64("template", "own").alias("number"), "own", F.size("own").alias("n"))
+
+
+def band_table(table: DataFrame) -> DataFrame:
+    """(shingle, number, n, band, lowest): a row per template and band.
 
-    `lowest` is the template's MinHash in the band and `argmin` the shingle that attains it.
+    `lowest` is the template's MinHash in the band, which it attains at `shingle`.
     """
-    rows = spark.createDataFrame(list(templates), "template string, text string").where("text IS NOT NULL")
-    own = rows.select("template", F.array_distinct(shingles_of(words_of(F.col("text")))).alias("own")).where(F.size("own") > 0)
-    bands = own.select("*", F.size("own").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
+    bands = table.select("number", "own", "n", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
     low = F.array_min(F.transform("own", lambda s: F.struct(_band(s, F.col("band")).alias("h"), s.alias("s"))))
-    return bands.withColumn("low", low).select(
-        "template", "own", "n", "band", F.col("low.h").alias("lowest"), F.col("low.s").alias("argmin"))
+    return bands.withColumn("low", low).select(F.col("low.s").alias("shingle"), "number", "n", "band", F.col("low.h").alias("lowest"))
 
 
-def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
+def scan(docs: DataFrame, templates: DataFrame | Iterable[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """(doc_id, template, containment, first_window, n_windows): templates found in documents.
 
     A template of n shingles is looked for in windows of 2n shingles that begin every n
@@ -82,23 +71,37 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     occurs, which retrieves exactly the same windows. Retrieved windows are verified: at least
     CONTAINMENT of the template's shingles must be in the window. One row per document id and
     template, with the best containment, the number of the first verified window and how many
-    there are. Null and empty texts match nothing; rows that repeat count as one; an empty table
-    gives no rows; templates without words match nothing.
+    there are.
+
+    Shingles meet the bands as narrow rows, and only texts with a hit are opened again for their
+    windows, so a list of templates of any length moves no text more than once. Whatever is small by
+    a count of its bytes is broadcast; the rest is shuffled, with the same result.
+
+    Null and empty texts match nothing; long texts are read whole; rows that repeat count as one;
+    extra columns are not read; an empty table gives no rows; templates without words match
+    nothing, and templates that repeat count once.
     """
-    table = materialize(template_table(docs.sparkSession, templates), "licence-bands")
-    lead = table.select(F.col("argmin").alias("shingle"), "template", "own", "n", "band", "lowest")
-    opened = docs.select("doc_id", shingles_of(words_of(F.col("text"))).alias("all")).select(
-        "doc_id", "all", F.posexplode("all").alias("at", "shingle"))
-    hit = opened.join(small(lead), "shingle").select(
-        "doc_id", "template", "own", "n", "band", "lowest", "all",
-        F.explode(F.sequence(F.greatest((F.col("at") / F.col("n")).cast("int") - 1, F.lit(0)),
-                             (F.col("at") / F.col("n")).cast("int"))).alias("window"))
-    cut = hit.withColumn("in_window", F.slice("all", F.col("window") * F.col("n") + 1, 2 * F.col("n"))).drop("all")
+    table = materialize(template_table(docs.sparkSession, templates), "licence-templates")
+    bands = materialize(band_table(table), "licence-bands")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    places = texts.select("doc_id", "key", F.posexplode(shingles_of(words_of(F.col("text")))).alias("at", "shingle"))
+    last = (F.col("at") / F.col("n")).cast("int")
+    hits = places.join(small(bands), "shingle").withColumn(
+        "window", F.explode(F.sequence(F.greatest(last - 1, F.lit(0)), last)))
+    of_text = materialize(hits.groupBy("doc_id", "key").agg(F.collect_set(F.struct(
+        "number", "n", "band", "lowest", "window")).alias("hits")), "licence-hits")  # no more than its own shingles' bands
+    asked = small(of_text.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "hits"))
+    opened = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select(
+        "doc_id", "hits", shingles_of(words_of(F.col("text"))).alias("all"))
+    cut = opened.select("doc_id", "all", F.explode("hits").alias("hit")).select(
+        "doc_id", "hit.*", F.slice("all", F.col("hit.window") * F.col("hit.n") + 1, 2 * F.col("hit.n")).alias("in_window"))
     same = cut.where(
-        F.array_min(F.transform("in_window", lambda s: _band(s, F.col("band")))) == F.col("lowest"))
+        F.array_min(F.transform("in_window", lambda s: _band(s, F.col("band")))) == F.col("lowest")
+    ).drop("n", "band", "lowest")
     shared = F.size(F.array_intersect("own", "in_window")) / F.col("n")
     return (
-        same.withColumn("containment", shared).where(F.col("containment") >= CONTAINMENT)
+        same.join(small(table), "number")
+        .withColumn("containment", shared).where(F.col("containment") >= CONTAINMENT)
         .groupBy("doc_id", "template", "window").agg(F.max("containment").alias("containment"))
         .groupBy("doc_id", "template").agg(
             F.max("containment").alias("containment"), F.min("window").cast("long").alias("first_window"),

@@ -44,7 +44,7 @@ LICENCE_SQL = r"""list_filter(regexp_split_to_array(lower(coalesce(text, '')),
   '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
 LICENCE_RUNS = """CASE WHEN len(w) = 0 THEN [] ELSE list_transform(range(1, greatest(len(w) - 4, 1) + 1),
   lambda i: array_to_string(w[i : i + 4], ' ')) END"""
-LICENCE_ROWS = ", ".join(f"('{a}', '{b}')" for a, b in licenses.TEMPLATES)
+LICENCE_ROWS = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in licenses.TEMPLATES)
 
 
 @query("op2_license_scan", f"""

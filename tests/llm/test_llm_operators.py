@@ -141,6 +141,31 @@ def test_licence_edges(spark, docs, none):
     assert licenses.MISS < 1e-3
 
 
+def test_many_licence_templates(spark, monkeypatch):
+    prepare(spark)
+    templates = [(f"t{i}", prose(20 + i, 500 + i)) for i in range(300)]
+    cut = templates[7][1].split()
+    texts = [(i, f"{prose(50, 900 + i)} {templates[i][1]} {prose(70, 950 + i)} {templates[(i * 7) % 300][1]}", "x") for i in range(0, 300, 11)]
+    texts += [(1000, " ".join(cut[:-2]), "x"), (1001, " ".join(cut[:len(cut) // 2]), "x"), (None, templates[9][1], "x"), (None, None, "x")]
+    df = spark.createDataFrame(texts, "doc_id long, text string, own string")
+    table = spark.createDataFrame(templates + [("t3", templates[3][1]), ("none", None)], "template string, text string")
+    want = {(d, f"t{k}") for d, _, _ in texts[:-4] for k in (d, d * 7 % 300)} | {(1000, "t7"), (None, "t9")}
+    plain = licenses.scan(df, table).collect()
+    assert {(r.doc_id, r.template) for r in plain} == want
+    assert all(r.containment == 1 for r in plain if r.doc_id != 1000)
+    monkeypatch.setattr(licenses, "small", lambda d: d)  # as with tables too large to broadcast
+    assert sorted(map(str, licenses.scan(df, table).collect())) == sorted(map(str, plain))
+
+
+def test_full_licence_texts_are_told_apart(spark):
+    texts = dict(licenses.TEMPLATES)
+    df = spark.createDataFrame([(k, f"{prose(80, i)} {v} {prose(90, i + 50)}") for i, (k, v) in enumerate(texts.items())], "doc_id string, text string")
+    found = {(r.doc_id, r.template) for r in licenses.scan(df).collect() if r.containment == 1}
+    assert {(k, k) for k in texts} <= found
+    assert ("mit-text", "mit-grant") in found and ("mit-grant", "mit-text") not in found
+    assert ("bsd-2-clause", "bsd-3-clause") not in found
+
+
 def test_decontamination_edges(docs, none, items):
     texts = docs.select("doc_id", "text").collect()
     known = {r.item_id: r.text for r in items.collect() if r.item_id not in ("i1", None)}
