@@ -9,11 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from geohour.operators.cells import Bounds
 from geohour.operators.shapes import explode_vertices
 from geohour.operators.tables import drop_all_null_columns, validate
 from geohour.plans.flood import flood_clean
 from geohour.plans.water import registry_refresh, sensor_cells
-from geohour.sources import storage
+from geohour.sources import placed, storage
 from geohour.sources.delimited import (
     quarantined_files, read_csv_any_charset, read_gauge_csv, read_level_files, read_station_csv, standardize_columns,
 )
@@ -261,6 +262,26 @@ def test_upserts(spark, tmp_path):
     assert rows(storage.resolve_last(storage.read_log(spark, root), ["grid_id"])) == [(1, 2.0), (2, 7.0)]
 
 
+def test_a_box_reads_few_files(spark, tmp_path):
+    path = str(tmp_path / "by place+x")
+    rnd = random.Random(4)
+    points = [(i, rnd.uniform(0, 1000), rnd.uniform(0, 1000)) for i in range(20_000)]
+    points += [(20_000 + i, 500.0 + rnd.random(), 500.0) for i in range(5000)] + [(-1, None, 3.0), (-2, 3.0, None)]
+    df = spark.createDataFrame(points, "id int, x double, y double").repartition(6)
+    placed.write_by_place(df, path, files=64)
+    assert spark.read.parquet(path).count() == len(points)
+    every = len(spark.read.parquet(path).inputFiles())
+    for box in (Bounds(100, 100, 200, 180), Bounds(499, 499, 501, 501), Bounds(0, 990, 1000, 1000)):
+        out = placed.read_box(spark, path, box)
+        want = {i for i, x, y in points if x is not None and y is not None and box.min_x <= x <= box.max_x and box.min_y <= y <= box.max_y}
+        assert {r.id for r in out.collect()} == want
+        assert len(out.inputFiles()) < every / 2
+    assert len(placed.read_box(spark, path, Bounds(100, 100, 200, 180)).inputFiles()) <= every / 8
+    assert placed.read_box(spark, path, Bounds(-9, -9, -8, -8)).collect() == []
+    placed.write_by_place(df.limit(0), str(tmp_path / "none"))
+    assert placed.read_box(spark, str(tmp_path / "none"), Bounds(0, 0, 1, 1)).collect() == []
+
+
 def test_compaction_sorts(spark, tmp_path):
     for i in (3, 1, 2):
         spark.range(i * 10, i * 10 + 10).write.parquet(f"{tmp_path}/in/chunk_{i}.parquet")

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from geohour.functions.temporal import floor_hour
+from geohour.operators.cells import Bounds
 from geohour.operators.shapes import ring_segments
 from geohour.session import run_dir
-from geohour.sources import delimited, storage
+from geohour.sources import delimited, placed, storage
 from geohour.plans.dataset import write_dataset
 from geohour.sources.features import read_feature_lines, read_geojson, read_years, square_feature
 from geohour.sources.features import write_geojson as store_geojson
@@ -214,6 +215,16 @@ def scan_geojson(spark, d):
     ).agg(F.count(F.lit(1)).alias("n_segments"))
 
 
+@query("box_slice", """
+    SELECT c_custkey, c_nationkey, c_acctbal FROM customer
+    WHERE c_nationkey BETWEEN 5 AND 15 AND c_acctbal BETWEEN 1000 AND 4000""")
+def box_slice(spark, d):
+    root = run_dir(spark, "placed")
+    rows = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    placed.write_by_place(rows, root, "c_nationkey", "c_acctbal")
+    return placed.read_box(spark, root, Bounds(5, 1000.0, 15, 4000.0), "c_nationkey", "c_acctbal")
+
+
 @query("compact_chunks", """
     SELECT l_orderkey AS grid_id, l_shipdate AS time, l_linenumber, l_quantity FROM lineitem""")
 def compact_chunks(spark, d):
