@@ -39,7 +39,8 @@ BROADCAST_BYTES = 64 << 20
 def small(df: DataFrame, *, limit: int = BROADCAST_BYTES) -> DataFrame:
     """`df` marked for broadcast if its rows, which are counted, take at most `limit` bytes.
 
-    A row counts 16 bytes a column and the length of its strings and arrays. Beyond the limit
+    A row counts 16 bytes a column and the length of its strings and arrays, 8 bytes for each
+    number in them and 32 more for a struct. Beyond the limit
     `df` is returned as it is, and the join shuffles.
     """
     width = F.lit(16 * len(df.columns))
@@ -47,7 +48,8 @@ def small(df: DataFrame, *, limit: int = BROADCAST_BYTES) -> DataFrame:
         if kind == "string":
             width = width + F.coalesce(F.octet_length(name), F.lit(0))
         elif kind.startswith("array"):
-            width = width + 8 * F.greatest(F.size(name), F.lit(0))
+            each = 32 + 8 * kind.count(":") if kind.startswith("array<struct") else 8
+            width = width + each * F.greatest(F.size(name), F.lit(0))
     size = df.agg(F.sum(width.cast("long"))).first()[0] or 0
     return F.broadcast(df) if size <= limit else df
 
