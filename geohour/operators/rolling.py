@@ -1,13 +1,16 @@
 """Time-range rolling features per key.
 
-A window over one key puts that key's whole history into one task. Here the history is cut into
-calendar chunks; each chunk also gets the rows of the longest window before it, so a hot key is
-spread over many tasks and every frame is still complete.
+A window over one key puts that key's whole history into one task, and Spark adds up a sliding
+frame anew for each of its rows. Here a frame is put together from whole minutes and running totals
+inside its first and last minute. Minutes are cut into calendar chunks, each with the longest
+window before it, and the rows of a minute stand for themselves. So a hot key, day or hour is spread
+over many tasks, the work of a row does not grow with the rows around it, and every frame is
+complete.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from geohour.functions.temporal import day_bucket, floor_hour
 
@@ -36,15 +39,13 @@ def rolling_features(
     maxes: dict[str, int] | None = None,
     chunk_days: int = 16,
     unique: bool = False,
-    sliding_rows: int = 2000,
 ) -> DataFrame:
     """Add rolling sums, means and maxima over (t - hours, t] to every row.
 
-    Nulls are skipped; a frame without any value gives NULL. `unique=True` states that the rows
-    are hourly and (key, time) is unique, as in a gauge table. Otherwise copies of one
-    (key, time) are first reduced to one row, and the features are joined back; and where some
-    key has more than `sliding_rows` times on one day, which is counted, frames are put together
-    from whole hours, since Spark adds up a sliding frame anew for every row.
+    Nulls are skipped; a frame without any value gives NULL, as does a row without a time; rows
+    without a key are a key of their own. Copies of one (key, time) are first reduced to one
+    row, and the features are joined back. `unique=True` states that the rows are hourly and
+    (key, time) is unique, as in a gauge table: then a frame has a row an hour and is summed directly.
     """
     sums, means, maxes = sums or {}, means or {}, maxes or {}
     longest = max([*sums.values(), *means.values(), *maxes.values()])
@@ -58,21 +59,14 @@ def rolling_features(
         })
         return _sliding(rows, key, time, sums, means, maxes, chunk_days)
 
-    rows = df.groupBy(key, time).agg(
+    rows = df.where(F.col(time).isNotNull()).groupBy(F.col(key).alias("_k"), F.col(time).alias("_t")).agg(
         F.sum(F.col(value).cast("double")).alias("_s"),
         F.count(value).alias("_n"),
         F.max(value).alias("_m"),
     )
-    per_day = df.select(key, time).distinct().groupBy(key, F.to_date(time)).count()
-    densest = per_day.agg(F.max("count")).first()[0] or 0
-    if densest <= sliding_rows:
-        out = _sliding(rows, key, time, sums, means, maxes, chunk_days)
-    else:
-        out = _by_hours(rows, key, time, sums, means, maxes)
     names = [*sums, *means, *maxes]
-    joined = df.join(out.select(F.col(key).alias("_k"), F.col(time).alias("_t"), *names),
-                     F.col(key).eqNullSafe(F.col("_k")) & F.col(time).eqNullSafe(F.col("_t")),
-                     "left")
+    out = _by_minutes(rows, sums, means, maxes, chunk_days)
+    joined = df.join(out, F.col(key).eqNullSafe(F.col("_k")) & (F.col(time) == F.col("_t")), "left")
     return joined.select(*df.columns, *names)
 
 
@@ -100,72 +94,57 @@ def _sliding(rows: DataFrame, key: str, time: str, sums: dict[str, int], means:
     )
 
 
-def _by_hours(rows: DataFrame, key: str, time: str, sums: dict[str, int],
-              means: dict[str, int], maxes: dict[str, int]) -> DataFrame:
-    """Frames as (rest of the first hour) + (whole hours between) + (own hour up to t).
+_TOTALS = {"s": "sum(_s)", "n": "sum(_n)", "m": "max(_m)"}
 
-    The two ends are running totals inside one hour of one key, forward and backward, so that
-    the work per row does not grow with the frame. Nothing is subtracted: a dry frame stays 0.
+
+def _by_minutes(rows: DataFrame, sums: dict[str, int], means: dict[str, int], maxes: dict[str, int],
+                chunk_days: int) -> DataFrame:
+    """(_k, _t, features): frames as (rest of the first minute) + (minutes between) + (own minute up to t).
+
+    A window is whole hours, so the first minute of a row's frame is its own minute, so many hours
+    ago. Rows are sent to their own minute and, with their time moved on, to those that their
+    minute begins a frame of; there one running total backwards serves all rows. Nothing is
+    subtracted: a dry frame stays 0.
     """
-    windows = sorted({*sums.values(), *means.values(), *maxes.values()})
-    rows = rows.select(F.col(key).alias("_k"), F.col(time).alias("_t"), "_s", "_n", "_m",
-                       floor_hour(time).alias("_h"))
-
-    def totals(w) -> list[Column]:
-        return [F.sum("_s").over(w).alias("s"), F.sum("_n").over(w).alias("n"),
-                F.max("_m").over(w).alias("m")]
-
-    in_hour = Window.partitionBy("_k", "_h")
-    forward = in_hour.orderBy("_t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = rows.select("_k", "_t", "_h", F.struct(*totals(forward)).alias("_own"))
-
-    # The frame of w hours starts right after t - w: a question put to that hour.
-    asked = rows.select(
-        "_k", F.explode(F.array(*[F.lit(w) for w in windows])).alias("_w"),
-        F.col("_t").alias("_for"), "_h",
-    ).select("_k", "_for", "_w", *[
-        (F.col(c) - F.make_dt_interval(F.lit(0), F.col("_w"))).alias(o)
-        for c, o in (("_for", "_t"), ("_h", "_h"))
-    ])
-    # Later rows first; a row at the very time of the question is outside the frame.
-    backward = in_hour.orderBy(F.desc("_t"), F.asc_nulls_last("_w")).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    starts = (
-        rows.unionByName(asked, allowMissingColumns=True)
-        .withColumn("_part", F.struct(*totals(backward)))
-        .where(F.col("_w").isNotNull())
-        .groupBy("_k", F.col("_for").alias("_t"))
-        .agg(*[F.max(F.when(F.col("_w") == w, F.col("_part"))).alias(f"_first{w}") for w in windows])
-    )
-    hourly = rows.groupBy("_k", "_h").agg(
-        F.sum("_s").alias("_s"), F.sum("_n").alias("_n"), F.max("_m").alias("_m")
-    )
-    between = hourly.select("_k", "_h", *[
-        F.struct(*[
-            F.expr(f"{f}({c}) OVER (PARTITION BY _k ORDER BY _h RANGE BETWEEN INTERVAL '{w - 1}' "
-                   "HOUR PRECEDING AND INTERVAL '1' HOUR PRECEDING)").alias(o)
-            for f, c, o in (("sum", "_s", "s"), ("sum", "_n", "n"), ("max", "_m", "m"))
-        ]).alias(f"_mid{w}")
-        for w in windows if w > 1
-    ])
-    joined = ends.join(between, ["_k", "_h"]).join(starts, ["_k", "_t"])
-
-    def parts(w: int, field: str) -> list[Column]:
-        pieces = [f"_first{w}", *([f"_mid{w}"] if w > 1 else []), "_own"]
-        return [F.col(f"{p}.{field}") for p in pieces]
-
-    def total(w: int, field: str) -> Column:
-        terms = parts(w, field)
-        some = F.coalesce(*terms).isNotNull()
-        return F.when(some, sum((F.coalesce(t, F.lit(0)) for t in terms[1:]),
-                                F.coalesce(terms[0], F.lit(0))))
+    wanted = {w: {*("s" for x in (*sums.values(), *means.values()) if x == w), *("n" for x in means.values() if x == w),
+                  *("m" for x in maxes.values() if x == w)} for w in {*sums.values(), *means.values(), *maxes.values()}}
+    rows = rows.withColumn("_minute", floor_hour("_t") + F.make_dt_interval(F.lit(0), F.lit(0), F.minute("_t")))
+
+    # The minutes between: at most so many as the window has, however many rows they hold.
+    minutes = rows.groupBy("_k", "_minute").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"), F.max("_m").alias("_m"))
+    own = day_bucket("_minute", chunk_days)
+    later = day_bucket(F.col("_minute") + F.make_dt_interval(F.lit(0), F.lit(max(wanted))), chunk_days)
+    chunked = minutes.withColumn("_own", own).withColumn("_chunk", F.explode(F.sequence(own, later)))
+    between = chunked.select("_k", "_minute", "_own", "_chunk", *[
+        F.expr(f"{_TOTALS[o]} OVER (PARTITION BY _k, _chunk ORDER BY _minute RANGE BETWEEN INTERVAL '{60 * w - 1}' MINUTE "
+               "PRECEDING AND INTERVAL '1' MINUTE PRECEDING)").alias(f"_mid_{o}{w}")
+        for w, of in wanted.items() for o in of
+    ]).where("_chunk = _own").drop("_chunk", "_own")
+
+    moved = rows.select("_k", "_s", "_n", "_m", "_t", "_minute", F.explode(F.array(*[F.lit(w) for w in (0, *wanted)])).alias("_w"))
+    moved = moved.withColumns({c: F.col(c) + F.make_dt_interval(F.lit(0), F.col("_w")) for c in ("_t", "_minute")})
+    # At one time a row comes before those moved there, which are outside its frame.
+    back = "OVER (PARTITION BY _k, _minute ORDER BY _t DESC, _w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    on = "OVER (PARTITION BY _k, _minute ORDER BY _t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    first = moved.select("*", *[
+        F.expr(f"{_TOTALS[o].replace('(_', f'(CASE WHEN _w = {w} THEN _').replace(')', ' END)')} {back}").alias(f"_first_{o}{w}")
+        for w, of in wanted.items() for o in of
+    ]).where("_w = 0")
+    ends = first.select("*", *[F.expr(f"{_TOTALS[o]} {on}").alias(f"_own_{o}") for o in sorted(set().union(*wanted.values()))])
+    parts = ends.withColumnsRenamed({"_k": "_key", "_minute": "_at"}).join(
+        between, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_at") == F.col("_minute")))
+
+    def terms(w: int, o: str) -> list[Column]:
+        return [F.col(f"_first_{o}{w}"), F.col(f"_mid_{o}{w}"), F.col(f"_own_{o}")]
+
+    def total(w: int, o: str) -> Column:
+        a, b, c = (F.coalesce(t, F.lit(0)) for t in terms(w, o))
+        return F.when(F.coalesce(*terms(w, o)).isNotNull(), a + b + c)
 
     features = {name: total(w, "s") for name, w in sums.items()}
     features |= {name: total(w, "s") / F.nullif(total(w, "n"), F.lit(0)) for name, w in means.items()}
-    features |= {name: F.greatest(*parts(w, "m")) for name, w in maxes.items()}
-    return joined.select(F.col("_k").alias(key), F.col("_t").alias(time),
-                         *[c.alias(n) for n, c in features.items()])
+    features |= {name: F.greatest(*terms(w, "m")) for name, w in maxes.items()}
+    return parts.select("_k", "_t", *[c.alias(n) for n, c in features.items()])
 
 
 def rain_features(df: DataFrame, key: str = "station", time: str = "time",

@@ -1,4 +1,4 @@
-from datetime import datetime as dt
+from datetime import datetime as dt, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,7 +21,7 @@ def series(spark, values, key=1):
     )
 
 
-WAYS = [dict(unique=True), dict(), dict(sliding_rows=0)]
+WAYS = [dict(unique=True), dict()]
 
 
 @pytest.mark.parametrize("way", WAYS)
@@ -53,22 +53,51 @@ def test_rolling_crosses_chunk_borders(spark):
         assert r.s == sum(int(r.v) - i for i in range(n))
 
 
-def test_rolling_by_hours_equals_sliding(spark):
-    df = spark.range(0, 3000).select(
-        (F.col("id") % 3).alias("k"), (F.col("id") % 7).cast("double").alias("v"),
-        (F.lit(dt(2020, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval(
-            F.lit(0), F.lit(0), F.lit(0), F.pmod(F.xxhash64("id"), F.lit(400_000)).cast("int"))).alias("t"))
-    asked = ({"a": 1, "b": 3, "c": 24}, {"d": 3}, {"e": 1, "f": 6})
-    one = rolling_features(df, "k", "t", "v", *asked)
-    two = rolling_features(df, "k", "t", "v", *asked, sliding_rows=0)
-    assert rows(one) == rows(two)
-
-
-@pytest.mark.parametrize("sliding_rows", [2000, 0])
-def test_rolling_keeps_copies(spark, sliding_rows):
+@pytest.mark.parametrize("n, span", [(3000, 400_000), (1500, 3 * 3600), (1500, 90)])
+def test_rolling_equals_brute_force_at_every_density(spark, n, span):
+    df = spark.range(0, n).select(
+        F.when(F.col("id") % 11 > 0, F.col("id") % 3).alias("k"), F.when(F.col("id") % 13 > 0, (F.col("id") % 7).cast("double")).alias("v"),
+        (F.lit(dt(2020, 1, 1)).cast("timestamp_ntz") + F.expr(
+            f"make_dt_interval(0, 0, 0, pmod(xxhash64(id), {span}) + if(id % 2 = 0, 0, 0.000001 * pmod(id, 1000000)))")).alias("t"))
+    # on the hour before another row, an exact hour after it, and without a time
+    df = df.unionByName(df.where("k = 1").limit(40).select("k", "v", (F.col("t") + F.expr("INTERVAL 3 HOUR")).alias("t"))).unionByName(
+        df.limit(1).select("k", "v", F.lit(None).cast("timestamp_ntz").alias("t"))).cache()
+    out = rolling_features(df, "k", "t", "v", {"a": 1, "b": 3, "c": 24}, {"d": 3}, {"e": 1, "f": 6}, chunk_days=2).collect()
+    data = df.collect()
+    assert len(out) == len(data)
+    by_key = {}
+    for r in data:
+        by_key.setdefault(r.k, []).append(r)
+
+    def frame(r, hours):
+        return [x.v for x in by_key[r.k] if x.t and x.v is not None and r.t - timedelta(hours=hours) < x.t <= r.t]
+
+    for r in out[::7]:
+        if r.t is None:
+            assert (r.a, r.d, r.e) == (None, None, None)
+            continue
+        for name, hours in (("a", 1), ("b", 3), ("c", 24)):
+            assert r[name] == (sum(frame(r, hours)) if frame(r, hours) else None)
+        got = frame(r, 3)
+        assert r.d == (pytest.approx(sum(got) / len(got)) if got else None)
+        assert r.e == max(frame(r, 1), default=None) and r.f == max(frame(r, 6), default=None)
+
+
+def test_rolling_spreads_a_hot_hour(spark):
+    df = spark.range(0, 20_000).select(F.lit(1).alias("k"), F.lit(1.0).alias("v"), (
+        F.lit(dt(2020, 1, 1)).cast("timestamp_ntz") + F.expr("make_dt_interval(0, 0, 0, id * 0.18)")).alias("t"))
+    out = rolling_features(df, "k", "t", "v", {"s": 1})
+    assert out.agg(F.max("s"), F.count("s")).first()[:] == (20_000.0, 20_000)
+    windows = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if " Window [" in x]
+    # Frames that slide go over minutes of a key, and rows are ordered within one minute only.
+    assert windows and all("_minute" in x or "RangeFrame" in x for x in windows)
+    assert all("RowFrame" in x for x in windows if "_minute" in x.rsplit("], [", 2)[1])
+
+
+def test_rolling_keeps_copies(spark):
     df = spark.createDataFrame([(1, H[0], 2.0), (1, H[0], 2.0), (1, H[1], 5.0)],
                                "k int, t timestamp_ntz, v double")
-    out = rolling_features(df, "k", "t", "v", {"s": 3}, sliding_rows=sliding_rows)
+    out = rolling_features(df, "k", "t", "v", {"s": 3})
     assert rows(out.select("t", "s")) == [(H[0], 4.0), (H[0], 4.0), (H[1], 9.0)]
 
 
