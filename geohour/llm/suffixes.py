@@ -372,8 +372,13 @@ def _split(hot: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     A repeat begins lo to hi - 1 bytes before its anchor for some range; all its copies then
     agree on the bytes from lo before the anchor to REPEAT - hi + 1 after it. So a large group
     is cut into two halves of its range, each grouped by its own, longer string, until groups
-    are small enough. At a range of one the string is the whole repeat and Spark only counts.
-    No pair of copies is lost: their range is in one of the halves, with an equal string.
+    are small enough. No pair of copies is lost: their range is in one of the halves, with an
+    equal string.
+
+    In a group that stays large, anchors that agree on all bytes that any repeat of their range
+    can hold are alike: Spark counts them, all of the range is repeated for each, and one of
+    them goes on to meet the others. So what is copied to the next round are different
+    surroundings; at a range of one there are none left.
     """
     rows = hot.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(LEFT + 1))
     fine, whole = [], []
@@ -391,11 +396,21 @@ def _split(hot: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         fine.append(halves.join(small(large), "group", "left_anti").select(F.xxhash64("group").alias("kmer"), *own))
         if large.isEmpty():
             break
-        again = materialize(halves.join(small(large), "group", "left_semi"), "large-anchors")
-        start = F.col("pos") - F.col("lo")
-        whole.append(again.where("hi - lo = 1").select(
-            "doc_id", "text_key", start.cast("long").alias("start"), (start + REPEAT).cast("long").alias("stop")))
-        rows = again.where("hi - lo > 1")
+        # A text's edge may cut the range of an anchor short: `first` to `last` bytes before it.
+        first, last = F.greatest(F.col("lo"), REPEAT - F.col("right")), F.least(F.col("hi") - 1, F.col("pos"))
+        again = halves.join(small(large), "group", "left_semi").withColumns({"first": first, "last": last}).withColumns({
+            "like": F.md5(F.concat(
+                F.encode(F.concat_ws(" ", "first", "last", F.lit("")), "utf-8"),
+                F.col("seg").substr(LEFT + 1 - F.col("last"), REPEAT + F.col("last") - F.col("first")))),
+            "own": F.xxhash64("doc_id", "text_key", "pos")})
+        again = materialize(again.drop("group"), "large-anchors")
+        alike = small(materialize(again.groupBy("like").agg(
+            F.count("*").alias("n"), F.min("own").alias("one")).where("n > 1"), "like-anchors"))
+        marked = again.join(alike, "like", "left")
+        whole.append(marked.where("n IS NOT NULL").select(
+            "doc_id", "text_key", (F.col("pos") - F.col("last")).cast("long").alias("start"),
+            (F.col("pos") - F.col("first") + REPEAT).cast("long").alias("stop")))
+        rows = marked.where("(n IS NULL OR own = one) AND hi - lo > 1").select(*own, "lo", "hi")
         if rows.isEmpty():
             break
     return reduce(DataFrame.unionByName, fine), reduce(DataFrame.unionByName, whole) if whole else None
@@ -415,17 +430,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     Rows that repeat are copies of each other. Spans of one anchor are whole but may overlap
     those of another.
     """
-    base = docs.select("doc_id", F.hash("text").alias("text_key"), "text")
+    base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     anchors = materialize(base.select("doc_id", "text_key", "text").mapInArrow(
-        _anchor_rows, f"kmer long, around long, doc_id {id_type}, text_key int, pos int"), "anchors")
-    # Counted per task before the shuffle; the join may split the rows of a frequent kmer.
-    twice = anchors.groupBy("kmer").agg(
-        F.count("*").alias("n"), F.min("around").alias("low"), F.max("around").alias("high")).where("n > 1")
+        _anchor_rows, f"kmer long, around long, doc_id {id_type}, text_key long, pos int"), "anchors")
+    # Counted per task before the shuffle. The counts are stored, so that the join has nothing but
+    # shuffles below it: only then does Spark split the rows of a frequent kmer.
+    twice = materialize(anchors.groupBy("kmer").agg(
+        F.count("*").alias("n"), (F.min("around") < F.max("around")).alias("mixed")).where("n > 1").select("kmer", "mixed"), "twice")
     shared = materialize(anchors.join(twice, "kmer").select(
-        F.when(F.col("low") < F.col("high"), F.col("kmer")).alias("kmer"),
-        F.when(F.col("low") < F.col("high"), F.col("around")).alias("around"), "doc_id", "text_key", "pos"),
-        "shared-anchors")
+        F.when(F.col("mixed"), F.col("kmer")).alias("kmer"), F.when(F.col("mixed"), F.col("around")).alias("around"),
+        "doc_id", "text_key", "pos"), "shared-anchors")
     # All anchors of such a kmer have equal surroundings: each is wholly repeated.
     alike = shared.where("kmer IS NULL").select("doc_id", "text_key", "pos")
     mixed = shared.where("kmer IS NOT NULL")
@@ -446,7 +461,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         return squeezed.alias("t").join(
             places.alias("p"), F.col("t.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("t.text_key") == F.col("p.text_key"))
         ).select("t.doc_id", "t.text_key", "packed", "wanted").mapInArrow(
-            _segment_rows, f"kmer long, doc_id {id_type}, text_key int, pos int, right short, seg binary")
+            _segment_rows, f"kmer long, doc_id {id_type}, text_key long, pos int, right short, seg binary")
 
     large = materialize(kinds.groupBy("kmer").count().where(F.col("count") > SPLIT_ROWS).select("kmer"), "large-kmers")
     if large.isEmpty():
@@ -456,7 +471,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         segments = segments_of(kinds.join(small(large), "kmer", "left_anti")).unionByName(cut)
         whole = whole if found is None else whole.unionByName(found)
     induced = segments.repartition("kmer").sortWithinPartitions("kmer").mapInArrow(
-        _induced_rows, f"doc_id {id_type}, text_key int, start long, stop long")
+        _induced_rows, f"doc_id {id_type}, text_key long, start long, stop long")
     return materialize(
         whole.unionByName(induced).groupBy("doc_id", "text_key").agg(
             F.collect_list(F.struct("start", "stop")).alias("spans")), "repeated-spans")  # at most a text's anchors
@@ -502,7 +517,7 @@ def _with_spans(docs: DataFrame) -> tuple[DataFrame, str, str]:
     packed, spans, key, d, t = (free_name(docs, n) for n in ("__packed", "__spans", "__key", "__doc", "__text"))
     found = repeated_spans(docs.select("doc_id", "text")).select(
         F.col("doc_id").alias(d), F.col("text_key").alias(t), F.col("spans").alias(spans))
-    sent = docs.withColumn(key, F.hash("text")).withColumn(packed, _squeeze("text")).drop("text")
+    sent = docs.withColumn(key, F.xxhash64("text")).withColumn(packed, _squeeze("text")).drop("text")
     both = sent.join(found, sent["doc_id"].eqNullSafe(found[d]) & (sent[key] == found[t]), "left")
     return both.drop(d, t, key), packed, spans
 

@@ -458,7 +458,7 @@ def test_frequent_anchors_are_split(spark, monkeypatch, length):
     assert sizes and sizes[0] > 8
     rows = spark.createDataFrame([(7, i, 0, i, 200, bytearray(rng.integers(97, 101, 152, dtype=np.uint8)) + phrase.encode()[:48]
                                    + bytearray(rng.integers(97, 101, 152, dtype=np.uint8))) for i in range(40)],
-                                 "kmer long, doc_id long, text_key int, pos int, right short, seg binary")
+                                 "kmer long, doc_id long, text_key long, pos int, right short, seg binary")
     cut, _ = solve(rows.withColumn("pos", rows.pos + 152))
     assert max(r["count"] for r in cut.groupBy("kmer").count().collect()) <= 8
 
