@@ -47,19 +47,17 @@ LICENCE_RUNS = """CASE WHEN len(w) = 0 THEN [] ELSE list_transform(range(1, grea
 LICENCE_ROWS = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in licenses.TEMPLATES)
 
 
+# A window of 2n runs begins every n runs, so a run lies in the last one before it and in the one before that.
 @query("op2_license_scan", f"""
 WITH t AS (SELECT template, list_distinct({LICENCE_RUNS}) AS own FROM
   (SELECT template, {LICENCE_SQL} AS w FROM (VALUES {LICENCE_ROWS}) v(template, text))),
 d AS (SELECT doc_id, {LICENCE_RUNS} AS s FROM (SELECT doc_id, {LICENCE_SQL} AS w FROM documents)),
-sizes AS (SELECT DISTINCT len(own) AS n FROM t),
-win AS (
-  SELECT doc_id, n, k, s[k * n + 1 : k * n + 2 * n] AS win FROM
-    (SELECT doc_id, n, s, unnest(range(0, (len(s) + n - 1) // n)) AS k FROM d, sizes)),
-runs AS (SELECT doc_id, n, k, unnest(list_distinct(win)) AS run FROM win),
 own AS (SELECT template, len(own) AS n, unnest(own) AS run FROM t),
+place AS (SELECT doc_id, unnest(range(0, len(s))) AS p, unnest(s) AS run FROM d),
+met AS (SELECT doc_id, template, n, own.run, p // n AS k FROM place JOIN own ON place.run = own.run),
+within AS (SELECT * FROM met UNION ALL SELECT doc_id, template, n, run, k - 1 FROM met WHERE k > 0),
 shared AS (
-  SELECT doc_id, template, k, count(*) / any_value(own.n) AS containment
-  FROM runs JOIN own ON runs.n = own.n AND runs.run = own.run GROUP BY doc_id, template, k)
+  SELECT doc_id, template, k, count(DISTINCT run) / any_value(n) AS containment FROM within GROUP BY doc_id, template, k)
 SELECT doc_id, template, max(containment) AS containment, min(k) AS first_window, count(*) AS n_windows
 FROM shared WHERE containment >= 0.8 GROUP BY doc_id, template""")
 def op2_license_scan(spark, sf_dir):
