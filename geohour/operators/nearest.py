@@ -1,4 +1,4 @@
-"""Exact nearest and k-nearest joins over a pyramid of cells.
+"""Exact nearest joins over a tree of cells (`quadtree`), and k-nearest joins over a pyramid of cells.
 
 Level k has cells of edge step * 2**k. For each cell that holds points, the lowest level is taken
 at which the 3 x 3 cells around it hold enough targets. That bounds the distance of the k-th
@@ -20,7 +20,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from geohour.operators import quadtree
 from geohour.operators.cells import Bounds, bounds_of, with_cell
 from geohour.operators.shapes import segment_bounds
-from geohour.session import materialize
 
 
 def _union_bounds(a: Bounds, b: Bounds) -> Bounds:
