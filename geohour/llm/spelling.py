@@ -235,18 +235,25 @@ class TwoWayIndex:
 
 
 def _search(rows: pd.DataFrame) -> pd.DataFrame:
-    """Near words of the questions of one shard: how many, and the best of them for each question."""
+    """Near words of the questions of one shard: how many, and the best of them for each question.
+
+    A question of a half that is dealt over several shards counts only the words of its own part:
+    others may be here for another half of theirs, and are counted where their part is.
+    """
     held = rows[rows["held"]].drop_duplicates("word").sort_values("word", key=lambda w: w.str.encode("utf-32-be"))
     asked = rows[rows["asked"]]
     out = []
     if len(held) and len(asked):
-        words, n = held["word"].tolist(), held["n"].to_numpy()
+        words, n, deal = held["word"].tolist(), held["n"].to_numpy(), held["deal"].to_numpy()
         index, inside = TwoWayIndex(words), set(words)
         for first_exact in (True, False):
-            mine = sorted(asked.loc[asked["first"] == first_exact, "word"], key=len)
+            mine = asked[asked["first"] == first_exact].sort_values("word", key=lambda w: w.str.len(), kind="stable")
             for i in range(0, len(mine), QUERIES_AT_ONCE):
-                queries = mine[i:i + QUERIES_AT_ONCE]
+                some = mine.iloc[i:i + QUERIES_AT_ONCE]
+                queries, part, parts = some["word"].tolist(), some["part"].to_numpy(), some["parts"].to_numpy()
                 q, w = index.near(queries, first_exact, np.array([x in inside for x in queries]))
+                own = deal[w] % parts[q] == part[q]
+                q, w = q[own], w[own]
                 if not first_exact:  # those of the same first half are found by it
                     new = np.fromiter((not words[b].startswith(queries[a][:len(queries[a]) // 2]) for a, b in zip(q, w)), bool, len(q))
                     q, w = q[new], w[new]
@@ -293,11 +300,12 @@ def near_words(vocab: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
         "first", "half", F.ceil(F.col("rows") / shard_rows).cast("int").alias("parts")), "large-halves")
     shards = max(-(-keyed.count() // shard_rows), 1)
     cut = keyed.join(large, ["first", "half"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    home = F.pmod(F.xxhash64("word"), F.col("parts")).cast("int")
+    cut = cut.withColumn("deal", F.xxhash64("word"))
+    home = F.pmod("deal", F.col("parts")).cast("int")
     parts = F.when(F.col("asked"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(home))
     dealt = cut.withColumn("part", F.explode(parts)).select(
         F.pmod(F.xxhash64("first", "half", "part"), F.lit(shards)).alias("shard"), "first", "word", "n", "asked",
-        (F.col("part") == home).alias("held"))
+        "deal", "part", "parts", (F.col("part") == home).alias("held"))
     # A given number, which is not coalesced: these rows are few bytes but much work.
     dealt = dealt.repartition(-(-shards // SHARDS_A_TASK), "shard")
     found = dealt.groupBy("shard").applyInPandas(_search, "word string, n_near long, best_n long, best string")

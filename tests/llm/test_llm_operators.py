@@ -663,6 +663,18 @@ def test_spelling_variants_equal_brute_force(spark):
         spelling.group_variants(odd, ratio=1)
 
 
+def test_a_near_word_counts_once_where_a_half_lies_in_several_shards(spark):
+    prepare(spark)
+    rng = np.random.default_rng(3)
+    words = {"".join(rng.choice(list("abc"), rng.integers(6, 9))): int(rng.integers(5, 400)) for _ in range(700)}
+    words |= {"prefix" + "".join(rng.choice(list("abcd"), rng.integers(2, 6))): int(rng.integers(5, 4000)) for _ in range(300)}
+    want = brute.variants(words)
+    df = spark.createDataFrame(list(words.items()), "word string, n long")
+    for rows in (25, 60):
+        got = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in spelling.group_variants(df, shard_rows=rows).collect()}
+        assert got == want
+
+
 def test_noisy_words(spark, docs, none):
     import re
     import zlib
