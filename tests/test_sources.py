@@ -416,3 +416,21 @@ def test_validation_and_null_columns(spark):
     with pytest.raises(ValueError):
         validate(df.where("a = 2"), ["a"])
     assert validate(df, ["a"]) is df
+
+
+def test_collections_written_by_many_tasks_stay_whole(spark, tmp_path):
+    from workload import QUERIES
+
+    ids = F.col("id")
+    spark.range(3000).select(
+        ids.alias("s_suppkey"), (ids % 25).cast("int").alias("s_nationkey"), (ids % 97).cast("double").alias("s_acctbal")
+    ).write.parquet(f"{tmp_path}/supplier.parquet")
+    small = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k"}
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        assert QUERIES["scan_geojson"](spark, str(tmp_path)).count() == 3000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
